@@ -11,6 +11,8 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch: texts may be long, so a batch is kept to few of them.
 ARROW_ROWS = 512
@@ -54,11 +56,12 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 def over_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch that yields dicts of column values."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for out in f(batch):
-                yield pa.RecordBatch.from_pydict(out)
+                yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return df.mapInArrow(run, schema)
 

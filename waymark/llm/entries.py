@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, token_counts, toxicity
 from .common import small_batches
 
 
@@ -14,12 +16,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return quality.repetition(_table(spark, sf_dir, "documents"))
 
 
+def id_remainder(n: int) -> Column:
+    """crc32 of the doc_id as text, modulo n; null ids count as the text "null"."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % n
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(id_remainder(3) != 1))
+    return toxicity.score(docs, model).withColumn("held_out", id_remainder(3) == 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_counts": op4_token_counts,
     "op5_repetition": op5_repetition,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
