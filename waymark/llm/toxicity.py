@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier whose score may not hinge on which group a text mentions.
 
 Features are the words of a text and their first bytes (so that inflected forms of one stem share
-evidence), as 64-bit hashes. Those whose document frequencies differ most between the labels are
+evidence), as 64-bit hashes, each seen at least once, twice or three times. Those whose document frequencies differ most between the labels are
 kept. Weights minimise logistic loss plus a penalty on the squared change of the log odds when the
 identity terms of a labelled text are swapped for others of their kind.
 """
@@ -34,7 +34,9 @@ IDENTITY_GROUPS = (
     ("disabled", "deaf", "blind"),
     ("elderly", "young"),
 )
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
+#: Marks of a feature seen once, twice and three times or more in a text.
+_LEVELS = (np.uint64(0), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
 
 @dataclass(frozen=True)
@@ -44,7 +46,7 @@ class Settings:
     max_rows: int = 20_000
     features: int = 4096
     min_docs: int = 4
-    ridge: float = 2e-4
+    ridge: float = 3e-5
     #: weight of the squared change of log odds under a swap
     counterfactual: float = 1.0
     steps: int = 400
@@ -61,31 +63,41 @@ def swapped(text: str) -> str:
     return _TERMS.sub(lambda m: _NEXT[m[0].lower()], text)
 
 
+def _with_levels(rows: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, feature), and the same features marked as seen twice and three times or more."""
+    order = np.lexsort((feature, rows))
+    r, f = rows[order], feature[order]
+    first = np.ones(len(r), bool)
+    first[1:] = (r[1:] != r[:-1]) | (f[1:] != f[:-1])
+    at = np.flatnonzero(first)
+    n = np.diff(np.append(at, len(r)))
+    r, f = r[at], f[at]
+    deep = [n >= k for k in range(1, len(_LEVELS) + 1)]
+    return np.concatenate([r[d] for d in deep]), np.concatenate([f[d] ^ x for d, x in zip(deep, _LEVELS, strict=True)])
+
+
 def _pairs(texts: list[str], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, feature) of some texts. keep: sorted features, which then go by their place."""
     w = Words(texts, ends=NOT_ALNUM, prefixes=PREFIXES)
     row = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(w.offsets))
     rows, found = [], []
-    if keep is not None:
-        maybe = np.zeros(1 << 16, bool)
-        maybe[(keep & np.uint64(0xFFFF)).astype(np.int64)] = True
+    maybe = np.ones(1 << 16, bool)
+    if keep is not None:  # only what may be kept is sorted
+        maybe[:] = False
+        for x in _LEVELS:
+            maybe[((keep ^ x) & np.uint64(0xFFFF)).astype(np.int64)] = True
     for h in (w.hashes, *w.prefixes):
-        if keep is None:
-            at = np.flatnonzero(h)
-            rows.append(row[at])
-            found.append(h[at])
-            continue
-        at = np.flatnonzero(maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(keep, h[at]), max(0, len(keep) - 1))
-        hit = keep[place] == h[at] if len(keep) else np.zeros(0, bool)
-        rows.append(row[at[hit]])
-        found.append(place[hit].astype(np.uint64))
-    r, f = np.concatenate(rows), np.concatenate(found)
+        at = np.flatnonzero(maybe[(h & np.uint64(0xFFFF)).astype(np.int64)] & (h != 0))
+        rows.append(row[at])
+        found.append(h[at])
+    r, f = _with_levels(np.concatenate(rows), np.concatenate(found))
+    if keep is None:
+        return r, f
+    place = np.minimum(np.searchsorted(keep, f), max(0, len(keep) - 1))
+    hit = keep[place] == f if len(keep) else np.zeros(0, bool)
+    r, f = r[hit], place[hit]
     order = np.lexsort((f, r))
-    r, f = r[order], f[order]
-    first = np.ones(len(r), bool)
-    first[1:] = (r[1:] != r[:-1]) | (f[1:] != f[:-1])
-    return r[first], f[first]
+    return r[order], f[order]
 
 
 def _counts(batch: pa.RecordBatch) -> Iterator[dict]:
