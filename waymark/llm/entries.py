@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, token_counts, toxicity, url_rules, warc
+from . import ngram_join, quality, token_counts, toxicity, url_rules, warc
 from .common import small_batches
 
 
@@ -36,6 +36,30 @@ def id_remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % n
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select distinct doc_id, array_to_string(ws[i:i + 3], ' ') as g
+  from (select doc_id, ws, unnest(range(1, greatest(2, len(ws) - 2))) as i from w where len(ws) > 0)
+), n as (select doc_id, count(*) as n from s group by doc_id
+), o as (
+  select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all
+), e as (
+  select x, y from o join n p on p.doc_id = x join n q on q.doc_id = y where 100 * k >= 85 * (p.n + q.n - k)
+), r(d, c) as (
+  select doc_id, doc_id from documents union select r.d, e.y from r join e on r.c = e.x
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
+from documents d left join n using (doc_id) join (select d as doc_id, min(c) as component_id from r group by d) c using (doc_id)
+"""
+
+
 #: The rules of op7, as (host, path, verdict).
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -71,9 +95,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op4_token_counts": op4_token_counts,
     "op5_repetition": op5_repetition,
+    "op6_ngram_join": op6_ngram_join,
     "op7_url_rules": op7_url_rules,
     "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_ngram_join": OP6_SQL,
     "op7_url_rules": OP7_SQL,
 }
