@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, quality, token_counts, toxicity, url_rules, warc
+from . import katz, ngram_join, quality, token_counts, toxicity, url_rules, warc
 from .common import small_batches
 
 
@@ -84,6 +84,11 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from m where n
 """
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return katz.scores(_table(spark, sf_dir, "documents"), id_remainder(10) == 0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repetition": op5_repetition,
     "op6_ngram_join": op6_ngram_join,
     "op7_url_rules": op7_url_rules,
+    "op8_katz": op8_katz,
     "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
