@@ -8,9 +8,10 @@ order bound the overlap that a pair can still reach and discard pairs below what
 for the others the overlap is accumulated exactly over the whole rows.
 
 Components need a link between groups, not every link inside them. So the columns are multiplied
-twice: first each row of a column with the column's first row of about its size, whose exact
-overlaps give groups; then rows of different groups only, in blocks of bounded size. Every pair of
-sets is thus in one group, or has been tested, or cannot link.
+twice: first among rows that meet the same lead (their columns' first row of about their size) most
+often, in units of bounded size, whose exact overlaps give groups; then between rows of different
+groups only, in blocks of bounded size. Every pair of sets is thus in one group, or has been tested, or
+shares too few columns to link.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ from .words import windows, word_hashes
 FREQUENT = 200_000
 _LOCAL = 8
 _BLOCK_ROWS = 2048
-_BITS = 26
+_BLOCK_COLUMNS = 8192
+#: Sets in a unit of the first product.
+_UNIT = 400
+_BITS = 24
 
 
 def sets_of(texts: list[str], n: int) -> list[np.ndarray]:
@@ -183,22 +187,17 @@ def _rows(docs: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
     """(set_id, row) of the sets that share columns. firsts: (doc_id), one document for each of them.
 
     The scan is thinned by a bit map of fixed size over the wanted ids; what passes by chance finds
-    no partner later, so the map's size is a matter of speed alone."""
-    words = 1 << (_BITS - 6)
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _BITS))
-    bits = firsts.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id), {1 << _BITS}), 64) as int))")).alias("b")).toArrow()
-    wanted = np.zeros(words, np.int64)
-    wanted[bits.column("w").to_numpy()] = bits.column("b").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    look = docs.select("doc_id", "text", bit.alias("bit"))
+    no partner later or is a second copy of a wanted set, so the map's size is a matter of speed alone."""
+    bit = F.expr(f"pmod(xxhash64(doc_id), {1 << _BITS})")
+    one = F.expr("shiftleft(1L, cast(bit % 64 as int))")
+    wanted = firsts.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(one).alias("bits"))
+    here = docs.select("doc_id", "text", bit.alias("bit")).join(F.broadcast(wanted), F.shiftright("bit", 6) == F.col("w")).filter(F.col("bits").bitwiseAND(one) != 0)
 
     def f(batch: pa.RecordBatch) -> Iterator[dict]:
-        at = batch.column("bit").to_numpy()
-        hit = np.flatnonzero(shared.value[at >> 6] >> (at & 63) & 1)
-        sets = [s for s in sets_of(texts_of(batch.take(pa.array(hit))), n) if len(s)] if len(hit) else []
+        sets = [s for s in sets_of(texts_of(batch), n) if len(s)]
         yield {"set_id": [set_id(s) for s in sets], "row": [_pack(s) for s in sets]}
 
-    return stored(over_batches(look, f, "set_id long, row binary"), "rows").dropDuplicates(["set_id"])
+    return stored(over_batches(here.select("text"), f, "set_id long, row binary"), "rows")
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -217,8 +216,74 @@ def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return stored(over_batches(wide.select("a", "b", "row_a", "row_b"), f, "a long, b long, linked boolean"), "links")
 
 
+def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the same sets as all links among `sets` do: pairs of places.
+
+    Overlaps are a product of the sets' incidence matrix with its transpose, summed up over blocks
+    of the columns that two sets or more have."""
+    size = np.array([len(s) for s in sets])
+    token, inv, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), size)
+    use = count[inv] > 1
+    owner, column = owner[use], column[inv[use]]
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, _BLOCK_COLUMNS):
+        x, y = np.searchsorted(column, (at, at + _BLOCK_COLUMNS))
+        block = np.zeros((len(sets), min(_BLOCK_COLUMNS, int(column[-1]) + 1 - at)), np.float32)
+        block[owner[x:y], column[x:y] - at] = 1
+        overlap += block @ block.T
+    linked = 100 * overlap >= percent * (size[:, None] + size[None, :] - overlap)
+    left, out = np.ones(len(sets), bool), []
+    for i in range(len(sets)):
+        if not left[i]:
+            continue
+        left[i], edge = False, [i]
+        while edge:
+            j = edge.pop()
+            new = np.flatnonzero(linked[j] & left)
+            left[new] = False
+            out += [(j, int(k)) for k in new]
+            edge += new.tolist()
+    return out
+
+
+def _inside(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links inside sets of one lead, a forest for each unit of some _UNIT sets and the lead.
+
+    members: (set_id, lead). Large groups are dealt to several units, so no unit grows."""
+    unit = F.pmod(F.xxhash64("set_id"), F.col("units")).cast("int")
+    units = members.groupBy("lead").agg(F.ceil(F.count("*") / _UNIT).cast("int").alias("units"))
+    dealt = members.join(units, "lead").select("lead", unit.alias("unit"), "set_id")
+    leads = units.select("lead", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.col("lead").alias("set_id"))
+    arrow = to_arrow_schema(StructType.fromDDL("a long, b long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                ids = list(held)
+                pairs = forest([held[i] for i in ids], percent)
+                yield pa.RecordBatch.from_pydict({"a": [min(ids[i], ids[j]) for i, j in pairs], "b": [max(ids[i], ids[j]) for i, j in pairs]}, schema=arrow)
+
+        for batch in batches:
+            for lead, part, i, row in zip(*(batch.column(c).to_pylist() for c in ("lead", "unit", "set_id", "row")), strict=True):
+                if (lead, part) != key:
+                    yield from out()
+                    key, held = (lead, part), {}
+                if i not in held:
+                    held[i] = _unpack(row)
+        yield from out()
+
+    wide = dealt.filter("set_id <> lead").union(leads).join(rows, "set_id").select("lead", "unit", "set_id", "row")
+    return stored(wide.repartition("lead", "unit").sortWithinPartitions("lead", "unit").mapInArrow(run, "a long, b long"), "inside")
+
+
 def _across(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets in one column, of different groups, that can still link.
+    """Pairs (a, b) of sets of different groups that can still link, by all columns they share.
 
     entries: (token, set_id, place, label). Columns of one group are left out. A column of many
     entries is cut into blocks, and each pair of blocks is a unit of bounded size."""
@@ -226,7 +291,8 @@ def _across(entries: DataFrame, percent: int) -> DataFrame:
     block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     spread = entries.join(stats, "token").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = spread.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "place", "label")
-    arrow = to_arrow_schema(StructType.fromDDL("a long, b long"))
+    schema = "a long, b long, size_a long, size_b long, early boolean"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -240,30 +306,44 @@ def _across(entries: DataFrame, percent: int) -> DataFrame:
             own, s, p, label = (table.column(c).to_numpy() for c in ("own", "set_id", "place", "label"))
             size, at = p >> 32, p & 0xFFFFFFFF
             bounds = np.append(new[new < stop], stop)
-            left, right = [], []
+            found: list[tuple] = []
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_pydict(dict(zip(arrow.names, map(np.concatenate, zip(*found, strict=True)), strict=True)), schema=arrow)
+
             for x, y in zip(bounds[:-1], bounds[1:], strict=True):
                 if y - x < 2:
                     continue
                 z = slice(x, y)
-                half = max(1, 4_000_000 // (y - x))
-                for r in range(x, y, half):
-                    q = np.arange(r, min(r + half, y))[:, None]
-                    k = np.arange(x, y)[None, :]
-                    ok = (k > q) & (label[q] != label[z][None, :]) & _may_link(size[q], at[q], size[z][None, :], at[z][None, :], percent)
+                step = max(1, 4_000_000 // (y - x))
+                for r in range(x, y, step):
+                    q = np.arange(r, min(r + step, y))[:, None]
+                    big, least = np.maximum(size[q], size[z][None, :]), np.minimum(size[q], size[z][None, :])
+                    ok = (s[q] < s[z][None, :]) & (label[q] != label[z][None, :]) & (100 * least >= percent * big)
                     if i[x] != j[x]:
                         ok &= own[q] != own[z][None, :]
                     m, o = np.nonzero(ok)
-                    a, b = s[q[m, 0]], s[x + o]
-                    left.append(np.minimum(a, b))
-                    right.append(np.maximum(a, b))
-                    if sum(map(len, left)) > 200_000:
-                        yield pa.RecordBatch.from_pydict({"a": np.concatenate(left), "b": np.concatenate(right)}, schema=arrow)
-                        left, right = [], []
-            if left:
-                yield pa.RecordBatch.from_pydict({"a": np.concatenate(left), "b": np.concatenate(right)}, schema=arrow)
+                    m, o = q[m, 0], x + o
+                    found.append((s[m], s[o], size[m], size[o], _may_link(size[m], at[m], size[o], at[o], percent)))
+                    if sum(len(v[0]) for v in found) > 200_000:
+                        yield out()
+                        found.clear()
+            if found:
+                yield out()
             rest = table.slice(stop) if batch is not None else None
 
-    return unit.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    pairs = unit.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, schema)
+    met = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.max("early").alias("early"))
+    return met.filter(F.col("early") & _enough(percent)).select("a", "b")
+
+
+def _enough(percent: int):
+    """Whether sets of sizes size_a and size_b that share n columns can have enough in common.
+
+    Of the two the one whose columns end first has all further common n-grams among those behind its
+    columns, which are one fewer than the least overlap that its own size asks for."""
+    rest = F.expr(f"greatest(ceil({percent} * size_a / 100), ceil({percent} * size_b / 100)) - 1")
+    return (F.col("n") + rest) * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table | None]:
@@ -289,17 +369,30 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     entries = stored(_lead(_columns(docs, n, percent, order), percent), "columns")
 
     distinct = meta.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    rows = _rows(docs, distinct.join(entries.select("set_id").distinct(), "set_id"), n)
-    size, at = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF))
-    left = 1 + F.least(size("place") - at("place"), size("lead_place") - at("lead_place")) - 1
-    may = F.expr("lead <> set_id") & (left * (100 + percent) >= percent * (size("place") + size("lead_place")))
-    near = entries.filter(may).select(F.least("lead", "set_id").alias("a"), F.greatest("lead", "set_id").alias("b")).distinct()
-    first = _linked(near, rows, percent)
-    labels = components(first.filter("linked"))
+
+    def test(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")
+        used = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+        return _linked(pairs, _rows(docs, distinct.join(used, "set_id"), n), percent)
+
+    # of its columns' leads, each set goes with the one that it meets most often
+    columns_of = F.expr(f"size - ceil({percent} * size / 100) + 1")
+    members = stored(
+        entries.filter("lead <> set_id")
+        .groupBy("set_id", "lead")
+        .agg(F.count("*").alias("n"), F.max(F.shiftright("place", 32)).alias("size"))
+        .filter(5 * F.col("n") >= columns_of)
+        .groupBy("set_id")
+        .agg(F.max(F.struct("n", "lead"))["lead"].alias("lead")),
+        "members",
+    )
+    used = members.select("set_id").union(members.select("lead")).distinct()
+    first = _inside(members, _rows(docs, distinct.join(used, "set_id"), n), percent)
+    labels = components(first)
     labelled = entries.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("token", "set_id", "place", F.coalesce("label", "set_id").alias("label"))
-    second = _linked(_across(labelled, percent).join(first.select("a", "b"), ["a", "b"], "left_anti"), rows, percent)
+    second = test(_across(labelled, percent))
     if second.filter("linked").limit(1).count():
-        labels = components(first.filter("linked").unionByName(second.filter("linked")))
+        labels = components(first.unionByName(second.filter("linked").select("a", "b")))
 
     group = distinct.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("label", "set_id").alias("label"))
     least = group.groupBy("label").agg(F.min("doc_id").alias("component_id"))
