@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, katz, ngram_join, quality, token_counts, toxicity, url_rules, warc
+from . import decontamination, katz, ngram_join, pieces, quality, token_counts, toxicity, url_rules, warc
 from .common import small_batches
 
 
@@ -100,6 +100,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", id_remainder(3) == 1)
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_rules": op7_url_rules,
     "op8_katz": op8_katz,
     "op9_toxicity": op9_toxicity,
+    "op10_pieces": op10_pieces,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_join": OP6_SQL,

@@ -398,3 +398,13 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     least = group.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = group.join(least, "label").select("set_id", "component_id")
     return meta.join(named, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """One row of each group of `docs`, that of the least doc_id, with all its columns.
+
+    Rows equal in id and text are one. Rows without an id cannot be named by a group and all stay."""
+    groups = similar_groups(docs, n, percent)
+    named = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    first = docs.filter("doc_id is not null").join(named, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return first.unionByName(docs.filter("doc_id is null"))
