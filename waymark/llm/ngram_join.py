@@ -250,14 +250,8 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _inside(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links inside sets of one lead, a forest for each unit of some _UNIT sets and the lead.
-
-    members: (set_id, lead). Large groups are dealt to several units, so no unit grows."""
-    unit = F.pmod(F.xxhash64("set_id"), F.col("units")).cast("int")
-    units = members.groupBy("lead").agg(F.ceil(F.count("*") / _UNIT).cast("int").alias("units"))
-    dealt = members.join(units, "lead").select("lead", unit.alias("unit"), "set_id")
-    leads = units.select("lead", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.col("lead").alias("set_id"))
+def _forests(dealt: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a forest of the links inside each unit of `dealt` (lead, unit, set_id)."""
     arrow = to_arrow_schema(StructType.fromDDL("a long, b long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,19 +272,48 @@ def _inside(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
                     held[i] = _unpack(row)
         yield from out()
 
-    wide = dealt.filter("set_id <> lead").union(leads).join(rows, "set_id").select("lead", "unit", "set_id", "row")
+    wide = dealt.join(rows, "set_id").select("lead", "unit", "set_id", "row")
     return stored(wide.repartition("lead", "unit").sortWithinPartitions("lead", "unit").mapInArrow(run, "a long, b long"), "inside")
 
 
+def _inside(members: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) of sets that have a lead in common: every two of them are in one component of
+    labels or have been tested. members: (set_id, lead).
+
+    A lead's sets are dealt to units of some _UNIT, and the lead goes to each. Of a lead with several
+    units, the sets outside its largest component are then dealt to units again and each of these
+    meets each of the first, so that no unit grows and no set meets its own component again."""
+    unit = lambda n: F.pmod(F.xxhash64("set_id"), F.col(n)).cast("int")
+    units = members.groupBy("lead").agg(F.ceil(F.count("*") / _UNIT).cast("int").alias("units"))
+    dealt = stored(members.filter("set_id <> lead").join(units, "lead").select("lead", unit("units").alias("unit"), "set_id", "units"), "dealt")
+    leads = units.select("lead", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.col("lead").alias("set_id"))
+    first = _forests(dealt.drop("units").union(leads), rows, percent)
+    labels = components(first)
+    large = dealt.filter("units > 1").join(labels, F.col("set_id") == F.col("node"), "left").select("lead", "unit", "units", "set_id", F.coalesce("label", "set_id").alias("label"))
+    main = large.groupBy("lead", "label").count().groupBy("lead").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
+    apart = large.join(main, "lead").filter("label <> main")
+    blocks = apart.groupBy("lead").agg(F.ceil(F.count("*") / _UNIT).cast("int").alias("blocks"))
+    apart = apart.join(blocks, "lead").withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("blocks")).cast("int"))
+    met = F.col("unit") * F.col("blocks") + F.col("block")
+    here = large.join(blocks, "lead").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("lead", met.alias("unit"), "set_id")
+    there = apart.withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("units") - 1))).select("lead", met.alias("unit"), "set_id")
+    both = stored(here.union(there), "dealt")
+    if both.limit(1).count():
+        first = first.unionByName(_forests(both, rows, percent))
+        labels = components(first)
+    return first, labels
+
+
 def _across(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets of different groups that can still link, by all columns they share.
 
-    entries: (token, set_id, place, label). Columns of one group are left out. A column of many
+    entries: (token, set_id, place, label, lead). Columns of one group are left out, and so are pairs
+    that a common lead has brought together before. A column of many
     entries is cut into blocks, and each pair of blocks is a unit of bounded size."""
     stats = entries.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token", F.ceil(F.col("n") / _BLOCK_ROWS).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     spread = entries.join(stats, "token").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = spread.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "place", "label")
+    unit = spread.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "place", "label", "lead")
     schema = "a long, b long, size_a long, size_b long, early boolean"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -303,7 +326,7 @@ def _across(entries: DataFrame, percent: int) -> DataFrame:
             t, i, j = (table.column(c).to_numpy() for c in ("token", "i", "j"))
             new = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             stop = len(t) if batch is None else new[-1]
-            own, s, p, label = (table.column(c).to_numpy() for c in ("own", "set_id", "place", "label"))
+            own, s, p, label, lead = (table.column(c).to_numpy() for c in ("own", "set_id", "place", "label", "lead"))
             size, at = p >> 32, p & 0xFFFFFFFF
             bounds = np.append(new[new < stop], stop)
             found: list[tuple] = []
@@ -320,6 +343,7 @@ def _across(entries: DataFrame, percent: int) -> DataFrame:
                     q = np.arange(r, min(r + step, y))[:, None]
                     big, least = np.maximum(size[q], size[z][None, :]), np.minimum(size[q], size[z][None, :])
                     ok = (s[q] < s[z][None, :]) & (label[q] != label[z][None, :]) & (100 * least >= percent * big)
+                    ok &= (lead[q] != lead[z][None, :]) & (lead[q] != s[z][None, :]) & (s[q] != lead[z][None, :])
                     if i[x] != j[x]:
                         ok &= own[q] != own[z][None, :]
                     m, o = np.nonzero(ok)
@@ -387,9 +411,10 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         "members",
     )
     used = members.select("set_id").union(members.select("lead")).distinct()
-    first = _inside(members, _rows(docs, distinct.join(used, "set_id"), n), percent)
-    labels = components(first)
-    labelled = entries.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("token", "set_id", "place", F.coalesce("label", "set_id").alias("label"))
+    first, labels = _inside(members, _rows(docs, distinct.join(used, "set_id"), n), percent)
+    # a set without a lead leads itself
+    named = entries.select("token", "set_id", "place").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").join(members, "set_id", "left")
+    labelled = named.select("token", "set_id", "place", F.coalesce("label", "set_id").alias("label"), F.coalesce("lead", "set_id").alias("lead"))
     second = test(_across(labelled, percent))
     if second.filter("linked").limit(1).count():
         labels = components(first.unionByName(second.filter("linked").select("a", "b")))
