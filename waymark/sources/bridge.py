@@ -139,7 +139,7 @@ def requires(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"), F.sum(F.col("l_discount").cast("decimal(18,2)")).alias("d"), F.count("*").alias("n"))
         .select(
             F.concat(F.lit("b:"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("s:"), "p_name").alias("dst"), F.lit("REQUIRES").alias("relation"), F.lit("onet").alias("source"),
-            F.lit(None).cast("string").alias("requirement_level"), F.round(F.col("q").cast("double") / F.col("n") / 8, 2).alias("importance"), F.round(F.col("d").cast("double") / F.col("n") * 50, 2).alias("level_score"),
+            F.lit(None).cast("string").alias("requirement_level"), F.round(F.col("q").cast("double") / F.col("n") / 8 + 1e-9, 2).alias("importance"), F.round(F.col("d").cast("double") / F.col("n") * 50 + 1e-9, 2).alias("level_score"),
         )
     )
     return a.unionByName(b)
@@ -151,7 +151,7 @@ SQL_REQUIRES = """requires as (
   from part group by p_brand, p_name having min(p_partkey) % 3 <> 0
   union all
   select 'b:' || l_suppkey, 's:' || p_name, 'REQUIRES', 'onet', null,
-    round(cast(sum(cast(l_quantity as decimal(18,2))) as double) / count(*) / 8, 2), round(cast(sum(cast(l_discount as decimal(18,2))) as double) / count(*) * 50, 2)
+    round(cast(sum(cast(l_quantity as decimal(18,2))) as double) / count(*) / 8 + 1e-9, 2), round(cast(sum(cast(l_discount as decimal(18,2))) as double) / count(*) * 50 + 1e-9, 2)
   from lineitem join part on l_partkey = p_partkey group by l_suppkey, p_name
 )"""
 
