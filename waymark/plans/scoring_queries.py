@@ -303,8 +303,8 @@ ORACLE_SQL = {
     "graph_retrieve": f"{_FULL} select query_id, role, round(a, 6) as score, rank from (select query_id, role, round(acc, 9) as a, row_number() over (partition by query_id order by round(acc, 9) desc, role) as rank from gap where owned > 0) where rank <= 20",
     "isco_distance": f"with {b.SQL_ROLES_A} select a.id, z.id as other, round({_DIST.format(a='a.isco_group', z='z.isco_group')}, 6) as distance from roles_a a cross join roles_a z",
     "effort_score": f"""{_FULL}, {_EFFORT}, e as (select *, case when round(effort, 9) <= 0.3 then 'low' when round(effort, 9) <= 0.6 then 'moderate' when effort is not null then 'high' end as band from scored)
-      select query_id, role, missing, round(effort, 6) as effort, band, case when missing > 0 then greatest(1, floor(3 * missing)) when band = 'low' then 4 when band = 'moderate' then 12 else 36 end::int as weeks_low,
-      case when missing > 0 then greatest(4, floor(7 * missing)) when band = 'low' then 12 when band = 'moderate' then 36 else 72 end::int as weeks_high from e""",
+      select query_id, role, missing, round(effort, 6) as effort, band, case when missing > 0 then greatest(1, floor(5 * missing * 0.6::double)) when band = 'low' then 4 when band = 'moderate' then 12 else 36 end::int as weeks_low,
+      case when missing > 0 then greatest(4, floor(5 * missing * 1.4::double)) when band = 'low' then 12 when band = 'moderate' then 36 else 72 end::int as weeks_high from e""",
     "rank_by_effort": f"{_FULL}, {_EFFORT} select query_id, role, round(e, 6) as effort, rank from (select query_id, role, round(effort, 9) as e, row_number() over (partition by query_id order by round(effort, 9) asc nulls last, role) as rank from scored) where rank <= 5",
     "priority_skills": f"{_FULL}, {_PRIO} select query_id, skill, round(idf, 6) as idf, rank from prio where rank <= 8",
     "learning_plan": f"{_FULL}, {_PRIO} select query_id, cast((rank - 1) // 3 + 1 as int) as phase, count(*) as skills, string_agg(skill, '|' order by skill) as names from prio where rank <= 8 group by 1, 2",
