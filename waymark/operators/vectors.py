@@ -62,7 +62,8 @@ def _against(queries: DataFrame, points: DataFrame, pick) -> DataFrame:
                 if len(batch):
                     sims = np.round(matrix @ np.stack(batch["vec"].to_numpy()).T, 9)
                     q, p = pick(sims, ids, batch["id"].to_numpy())
-                    yield pd.DataFrame({"id": [ids[i] for i in q], "nbr": batch["id"].to_numpy()[p], "similarity": sims[q, p]})
+                    if len(q):
+                        yield pd.DataFrame({"id": [ids[i] for i in q], "nbr": batch["id"].to_numpy()[p], "similarity": sims[q, p]})
 
         part = points.select("id", "vec").mapInPandas(run, "id string, nbr string, similarity double")
         out = part if out is None else out.unionByName(part)

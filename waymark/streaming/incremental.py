@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream_pairs(steps: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+def stream_pairs(steps: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """(person, src, dst): valid transitions of a stream (person, ord, label).
 
-    Steps of a person arrive in order, over any number of batches; a state that stays idle for
-    idle_ms is dropped, so state is bounded by the people of that time."""
+    Steps of a person arrive in order, over any number of batches. In a stream that goes on, a state that
+    stays idle for idle_ms is dropped, so state is bounded by the people of that time. A run over what
+    is there must not set it: Spark would run empty batches for ever to look for idle states."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -31,10 +32,12 @@ def stream_pairs(steps: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
             last = (int(position), label)
         if last is not None:
             state.update(last)
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["person", "src", "dst"])
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        if out:
+            yield pd.DataFrame(out, columns=["person", "src", "dst"])
 
-    return steps.groupBy("person").applyInPandasWithState(update, "person long, src string, dst string", "ord long, label string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return steps.groupBy("person").applyInPandasWithState(update, "person long, src string, dst string", "ord long, label string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_available(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, files: int = 2) -> DataFrame:
