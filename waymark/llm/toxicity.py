@@ -46,7 +46,7 @@ class Settings:
     max_rows: int = 20_000
     features: int = 4096
     min_docs: int = 4
-    ridge: float = 3e-5
+    ridge: float = 2e-4
     #: weight of the squared change of log odds under a swap
     counterfactual: float = 1.0
     steps: int = 400
