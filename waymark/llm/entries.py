@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, katz, ngram_join, pieces, quality, token_counts, toxicity, url_rules, warc
+from . import decontamination, katz, licenses, ngram_join, pieces, quality, token_counts, toxicity, url_rules, warc
 from .common import small_batches
 
 
@@ -25,6 +25,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return licenses.licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -108,6 +113,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
+    "op3_licenses": op3_licenses,
     "op4_token_counts": op4_token_counts,
     "op5_repetition": op5_repetition,
     "op6_ngram_join": op6_ngram_join,
