@@ -91,6 +91,19 @@ def test_scores_equal_a_plain_model(spark, corpus, head, hot, monkeypatch):
         assert a[6] == pytest.approx(b[6], rel=1e-9)
 
 
+@pytest.mark.parametrize(("cached", "hot"), [(10**6, katz.HOT), (12, katz.HOT), (12, 0), (0, 3)])
+def test_every_training_word_has_its_own_probability(spark, corpus, cached, hot, monkeypatch):
+    monkeypatch.setattr(katz, "HOT", hot)
+    docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(5)
+    found = katz.scores(docs, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % 10 == 0, cached=cached).collect()
+    plain = Plain([t for i, t in corpus if not held(i)], math.inf)
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert len(found) == len(corpus)
+    for a, b in zip(sorted(((r.doc_id, r.score) for r in found), key=key), sorted(((i, plain.score(t)) for i, t in corpus), key=key), strict=True):
+        assert a[0] == b[0]
+        assert a[1] == pytest.approx(b[1], rel=1e-9)
+
+
 def test_probabilities_sum_to_one(corpus):
     plain = Plain([t for i, t in corpus if not held(i)], 12)
     for h in ["<s>", "the", "w0", "w59", "never seen"]:

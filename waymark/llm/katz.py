@@ -5,14 +5,15 @@ P(w | h) = d(r) r / (c(h) + 1/2)          for a pair seen r > 0 times behind h,
 
 d are Good-Turing discounts of counts up to five; left(h) is what the seen pairs leave of one. Half a
 count is held back in each context, so that something is left even where every pair is frequent. P1
-is the unigram level of the same recursion: discounted counts over N + 1/2 for the most frequent
-words; what they leave is shared equally by all other words of the training text and one place for
-the words never seen. Sums over the words seen behind a context and one unknown word are exactly one.
+is the unigram level of the same recursion: discounted counts over N + 1/2 for every word of the
+training text; what they leave is the place of the words never seen. Sums over the words seen behind a context and one unknown word are exactly one.
 
 Tokens travel as 64-bit hashes. Scoring needs, for every token of every text, its pair's count, its
 context's total and its word's count, and these meet in buckets by context; contexts so frequent
 that a bucket would stand out are dealt by the pair, and their totals summed up. A chunk of documents
-sends a bucket each distinct pair once, with the places of the documents that have it.
+sends a bucket each distinct pair once, with the places of the documents that have it. The counts of
+the most frequent words are broadcast; a bucket of pairs is told the others' counts by the words' own
+buckets, which a first pass over the texts asks for each word and bucket of pairs once.
 """
 
 from __future__ import annotations
@@ -33,13 +34,13 @@ from .words import hash_of, mix, word_hashes
 
 END, BEGIN = np.uint64(hash_of("\x00end\x01")), np.uint64(hash_of("\x00begin\x01"))
 DISCOUNTED = 5
-#: Words whose counts are broadcast, at most; the others' counts are joined.
+#: Words whose counts are broadcast, at most; the others' counts are joined, with equal results.
 HEAD = 1_000_000
 #: Contexts that are dealt by the pair, at most.
 HOT = 16_384
 BUCKETS = 8  # for each shuffle partition
 _CHUNK_TOKENS, _CHUNK_DOCS = 2_000_000, 60_000
-_PAIRS, _TAIL, _COUNTS, _DOCS, _SUMS, _BASE, _UNSEEN, _UNSEEN_HOT, _HOT_SUMS, _RARE = range(10)
+_PAIRS, _TAIL, _COUNTS, _DOCS, _SUMS, _BASE, _UNSEEN, _UNSEEN_HOT, _HOT_SUMS, _RARE, _ASK, _KNOWN = range(12)
 _ROW = "bucket int, kind int, chunk long, n int, a binary, b binary, c binary, d binary, e binary, f binary, g binary, ids array<long>"
 _COLUMNS = [x.split()[0] for x in _ROW.split(", ")]
 
@@ -65,7 +66,8 @@ class Unigrams:
     words: np.ndarray  # sorted hashes of the head
     counts: np.ndarray
     log_p: np.ndarray  # log10 P1 of the head
-    log_rest: float  # of any other word
+    log_rest: float  # of a word that has no probability of its own
+    discount: np.ndarray
     total: int
     distinct: int
     documents: int
@@ -79,6 +81,10 @@ class Unigrams:
         at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
         return np.where(self.words[at] == w, at, -1)
 
+    def log_own(self, c: np.ndarray) -> np.ndarray:
+        """log10 P1 of words seen c > 0 times."""
+        return np.log10(np.where(c <= DISCOUNTED, self.discount[np.minimum(c, DISCOUNTED)], 1.0) * c / (self.total + 0.5))
+
     def hot_place(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
         return np.where(self.hot[at] == h, at, -1)
@@ -112,15 +118,16 @@ def _count_words(docs: DataFrame, train: Column) -> DataFrame:
     return stored(docs.filter(train).select("text").mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
 
 
-def _unigrams(counted: DataFrame, buckets: int, head: int) -> tuple[Unigrams, int]:
-    """The unigram level, and the least count in its head."""
+def _unigrams(counted: DataFrame, buckets: int, head: int | None, cached: int) -> tuple[Unigrams, int]:
+    """The unigram level, and the least count in its head, which is of `cached` words at most, or of
+    `head` if only so many words have probabilities of their own."""
     hist = counted.groupBy(F.least("n", F.lit(1 << 20)).alias("c")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).toPandas().sort_values("c", ascending=False)
     total, distinct = int(hist["tokens"].sum()), int(hist["words"].sum())
     n = np.zeros(DISCOUNTED + 2)
     for c, words in zip(hist["c"], hist["words"], strict=True):
         if c <= DISCOUNTED + 1:
             n[int(c)] = words
-    fits = hist[hist["words"].cumsum() <= head]["c"]
+    fits = hist[hist["words"].cumsum() <= (cached if head is None else head)]["c"]
     least = int(fits.min()) if len(fits) else (1 << 62)
     top = counted.filter(F.col("n") >= least).toArrow()
     words, counts = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
@@ -128,7 +135,11 @@ def _unigrams(counted: DataFrame, buckets: int, head: int) -> tuple[Unigrams, in
     words, counts = words[by], counts[by]
     d = discounts(n)
     p = np.where(counts <= DISCOUNTED, d[np.minimum(counts, DISCOUNTED)], 1.0) * counts / (total + 0.5)
-    rest = (1 - p.sum()) / (distinct - len(words) + 1)
+    if head is None:
+        by_count = hist["c"].to_numpy()
+        rest = 1 - (np.where(by_count <= DISCOUNTED, d[np.minimum(by_count, DISCOUNTED)], 1.0) * hist["tokens"].to_numpy()).sum() / (total + 0.5)
+    else:
+        rest = (1 - p.sum()) / (distinct - len(words) + 1)
     ends = counts[words == END]
     documents = int(ends[0]) if len(ends) else 0
     if not len(ends) and total:
@@ -137,7 +148,7 @@ def _unigrams(counted: DataFrame, buckets: int, head: int) -> tuple[Unigrams, in
     often = often[np.argsort(-counts[often], kind="stable")][:HOT]
     hot, totals = np.append(words[often], BEGIN), np.append(counts[often], documents)
     by = np.argsort(hot)
-    return Unigrams(words, counts, np.log10(p) if len(p) else p, float(np.log10(max(rest, 1e-300))), total, distinct, documents, hot[by], totals[by]), least
+    return Unigrams(words, counts, np.log10(p) if len(p) else p, float(np.log10(max(rest, 1e-300))), d, total, distinct, documents, hot[by], totals[by]), least
 
 
 def _bytes(x: np.ndarray, kind) -> bytes:
@@ -148,6 +159,113 @@ def _row(**values) -> dict:
     return {c: values.get(c) for c in _COLUMNS}
 
 
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, sizes, last places) of texts, one behind the other, each with its end."""
+    h, at = word_hashes(texts)
+    size = np.diff(at) + 1
+    ends = np.cumsum(size) - 1
+    w = np.empty(len(h) + len(texts), np.uint64)
+    inner = np.ones(len(w), bool)
+    inner[ends] = False
+    w[inner], w[ends] = h, END
+    return w, size, ends
+
+
+def _ask(docs: DataFrame, model, buckets: int) -> DataFrame:
+    """Rows for the words' buckets: the words outside the head, and the buckets of the pairs they end."""
+    arrow = to_arrow_schema(StructType.fromDDL(_ROW))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Unigrams = model.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            w, to = _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            b = (mix(w) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(b, kind="stable")
+            w, to = w[by], to[by]
+            cut = np.searchsorted(b[by], np.arange(buckets + 1))
+            rows = [_row(bucket=i, kind=_ASK, chunk=0, a=_bytes(w[x:y], np.uint64), b=_bytes(to[x:y], np.uint32)) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
+            for k in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_pylist(rows[k : k + 256], schema=arrow)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w, sizes, ends = _tokens(texts_of(batch))
+            context = np.roll(w, 1)
+            context[ends - sizes + 1] = BEGIN
+            tail = m.place(w) < 0
+            w, context = w[tail], context[tail]
+            held.append((w, np.where(m.hot_place(context) >= 0, mix(context ^ mix(w)), mix(context)) % np.uint64(buckets)))
+            size += len(w)
+            if size > 2_000_000:
+                yield from packed()
+                held, size = [], 0
+        if size:
+            yield from packed()
+
+    return docs.select("text").mapInArrow(run, _ROW)
+
+
+def _distinct(w: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by = np.lexsort((to, w))
+    w, to = w[by], to[by]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]) | (to[1:] != to[:-1])
+    return w[new], to[new]
+
+
+def _tell(asked: DataFrame, buckets: int) -> DataFrame:
+    """Rows for the buckets of pairs: the counts of the words asked for, where the training text has them."""
+    arrow = to_arrow_schema(StructType.fromDDL(_ROW))
+
+    def found(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        asks, counts = ([r for r in rows if r["kind"] == kind] for kind in (_ASK, _COUNTS))
+        if not asks or not counts:
+            return None
+        w, to = _distinct(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in asks]), np.concatenate([np.frombuffer(r["b"], np.uint32) for r in asks]))
+        own, n = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in counts]), np.concatenate([np.frombuffer(r["f"], np.int64) for r in counts])
+        by = np.argsort(own)
+        own, n = own[by], n[by]
+        at = np.minimum(np.searchsorted(own, w), len(own) - 1)
+        has = own[at] == w
+        return w[has], n[at][has], to[has]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        rows: list[dict] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            w, n, to = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.argsort(to, kind="stable")
+            w, n = w[by], n[by]
+            cut = np.searchsorted(to[by], np.arange(buckets + 1))
+            out = [_row(bucket=i, kind=_KNOWN, chunk=0, a=_bytes(w[x:y], np.uint64), f=_bytes(n[x:y], np.int64)) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
+            for k in range(0, len(out), 256):
+                yield pa.RecordBatch.from_pylist(out[k : k + 256], schema=arrow)
+
+        def take() -> None:
+            if (x := found(rows)) is not None:
+                held.append(x)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if rows and rows[0]["bucket"] != r["bucket"]:
+                    take()
+                    rows = []
+                    if sum(len(x[0]) for x in held) > 4_000_000:
+                        yield from packed()
+                        held = []
+                rows.append(r)
+        take()
+        if held:
+            yield from packed()
+
+    return asked.repartition(parts(asked.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, _ROW)
+
+
 def _send(docs: DataFrame, held_out: Column, model, buckets: int) -> DataFrame:
     """Rows for the buckets: distinct pairs and rare words of a chunk, with the documents that have them."""
     arrow = to_arrow_schema(StructType.fromDDL(_ROW))
@@ -160,15 +278,7 @@ def _send(docs: DataFrame, held_out: Column, model, buckets: int) -> DataFrame:
         m: Unigrams = model.value
         order = np.argsort(held, kind="stable")  # training documents come first
         ids, texts, held = [ids[i] for i in order], [texts[i] for i in order], held[order]
-        h, at = word_hashes(texts)
-        size = np.diff(at) + 1
-        ends = np.cumsum(size) - 1
-        w = np.empty(len(h) + len(texts), np.uint64)
-        inner = np.ones(len(w), bool)
-        inner[ends] = False
-        w[inner], w[ends] = h, END
-        context = np.roll(w, 1)
-        context[ends - size + 1] = BEGIN
+        w, size, ends = _tokens(texts)
         doc = np.repeat(np.arange(len(texts)), size)
         u, inv = np.unique(w, return_inverse=True)
         place = m.place(u)
@@ -348,6 +458,15 @@ def _meet(sent: DataFrame, model) -> DataFrame:
         ctx, w = context[first], word[first]
         at = m.place(w)
         log_p1 = np.where(at >= 0, m.log_p[at] if len(m.log_p) else 0.0, m.log_rest)
+        told = [x for x in rows if x["kind"] == _KNOWN]
+        if told:
+            own, n = np.concatenate([np.frombuffer(x["a"], np.uint64) for x in told]), np.concatenate([np.frombuffer(x["f"], np.int64) for x in told])
+            by = np.argsort(own)
+            own, n = own[by], n[by]
+            tail = np.flatnonzero(at < 0)
+            place = np.minimum(np.searchsorted(own, w[tail]), len(own) - 1)
+            has = own[place] == w[tail]
+            log_p1[tail[has]] = m.log_own(n[place[has]])
         seen = r > 0
         rare += np.bincount(r[seen & (r <= DISCOUNTED + 1)], minlength=DISCOUNTED + 2)
         u, group = np.unique(ctx, return_inverse=True)
@@ -488,20 +607,25 @@ def _finish(met: DataFrame, totals: np.ndarray, id_type: str) -> DataFrame:
     return met.filter(F.col("kind").isin(*kinds)).drop("bucket", "n", "e", "f", "g").mapInArrow(weigh, schema).groupBy("chunk").applyInArrow(gather, result)
 
 
-def scores(docs: DataFrame, held_out: Column, head: int = HEAD) -> DataFrame:
+def scores(docs: DataFrame, held_out: Column, head: int | None = None, cached: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs` (doc_id, text).
 
     The model is learnt from the rows for which held_out is false, and every row is scored with it:
     score is log10 of the text's probability, its end included; base_score the sum over tokens of
     log10((c + 0.1) / (N + 0.1 (V + 1))). Words are lower-cased in A-Z; null and empty texts are their
-    end alone. Without a training row every token is unknown. Repeated rows and null ids give a row
+    end alone. Every training word has a unigram probability of its own; with `head`, only the most
+    frequent words, at most so many, and the others share what is left. `cached` is how many counts are
+    broadcast, at most, and changes no result. Without a training row every token is unknown. Repeated rows and null ids give a row
     each; other columns are not read."""
     spark = docs.sparkSession
     buckets = BUCKETS * parts(spark)
     counted = _count_words(docs, ~held_out)
-    unigrams, least = _unigrams(counted, buckets, head)
+    unigrams, least = _unigrams(counted, buckets, head, cached)
     model = spark.sparkContext.broadcast(unigrams)
-    sent = _send(docs, held_out, model, buckets).unionByName(_counts_by_bucket(counted, least, buckets))
+    counts = _counts_by_bucket(counted, least, buckets)
+    sent = _send(docs, held_out, model, buckets).unionByName(counts)
+    if head is None and unigrams.distinct > len(unigrams.words):
+        sent = sent.unionByName(_tell(_ask(docs, model, buckets).unionByName(counts), buckets))
     met = _meet(sent, model)
     found = _finish(met, unigrams.hot_totals.astype(float), docs.schema["doc_id"].dataType.simpleString())
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(unigrams.total).cast("long").alias("train_tokens"), "base_score", "score")
