@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith(("local[", "local-")) or spark.sparkContext.master == "local":
+    if spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
         own = tempfile.mkdtemp(prefix="waymark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", own)
@@ -41,7 +41,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/waymark-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[id(out)] = (out, path)
+    return out
+
+
+#: The tables of `stored` that are not released yet, by the frame that reads them.
+_TABLES: dict[int, tuple[DataFrame, str]] = {}
+
+
+def released(*frames: DataFrame) -> None:
+    """Remove tables of `stored` that no later frame reads. Frames of other origin are left alone."""
+    for df in frames:
+        _, path = _TABLES.pop(id(df), (None, None))
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def parts(spark: SparkSession) -> int:

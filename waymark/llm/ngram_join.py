@@ -10,14 +10,15 @@ for the others the overlap is accumulated exactly over the whole rows.
 Components need a link between groups, not every link inside them. So the columns are multiplied
 twice: first among rows that meet the same lead (their columns' first row of about their size) most
 often, in units of bounded size, whose exact overlaps give groups; then between rows of different
-groups only, in blocks of bounded size. Every pair of sets is thus in one group, or has been tested, or
-shares too few columns to link.
+groups only, in blocks of bounded size, where sketches that bound the overlap from above discard
+nearly all pairs that don't link before they leave the task. Every pair of sets is thus in one group,
+or has been tested, or has a bound on its overlap below what its sizes ask for.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import over_batches, stored, texts_of
+from .common import over_batches, released, stored, texts_of
 from .components import components
 from .words import windows, word_hashes
 
@@ -183,8 +184,8 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _rows(docs: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
-    """(set_id, row) of the sets that share columns. firsts: (doc_id), one document for each of them.
+def _thinned(docs: DataFrame, firsts: DataFrame, n: int, name: str, of: Callable[[list[np.ndarray]], list[bytes]]) -> DataFrame:
+    """(set_id, name): what `of` makes of each set. firsts: (doc_id), one document for each wanted set.
 
     The scan is thinned by a bit map of fixed size over the wanted ids; what passes by chance finds
     no partner later or is a second copy of a wanted set, so the map's size is a matter of speed alone."""
@@ -195,9 +196,14 @@ def _rows(docs: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
 
     def f(batch: pa.RecordBatch) -> Iterator[dict]:
         sets = [s for s in sets_of(texts_of(batch), n) if len(s)]
-        yield {"set_id": [set_id(s) for s in sets], "row": [_pack(s) for s in sets]}
+        yield {"set_id": [set_id(s) for s in sets], name: of(sets)}
+
+    return stored(over_batches(here.select("text"), f, f"set_id long, {name} binary"), name)
+
 
-    return stored(over_batches(here.select("text"), f, "set_id long, row binary"), "rows")
+def _rows(docs: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
+    """(set_id, row): packed sets, of the documents `firsts` (doc_id)."""
+    return _thinned(docs, firsts, n, "row", lambda x: list(map(_pack, x)))
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -301,22 +307,86 @@ def _inside(members: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFram
     if both.limit(1).count():
         first = first.unionByName(_forests(both, rows, percent))
         labels = components(first)
+    released(dealt, both)
     return first, labels
 
 
-def _across(entries: DataFrame, percent: int) -> DataFrame:
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of a set's hashes by their low bits, in a power of two of some two bits a hash, at least 128.
+
+    An element that only one of two sets has changes one bit of one sketch. Sketches that differ in k
+    bits are thus of sets that differ in k elements or more."""
+    bits = max(128, 1 << int(2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+
+
+def folded(x: np.ndarray, n_bytes: int) -> np.ndarray:
+    """Sketches (rows of bytes) as the shorter ones of n_bytes, of which the same holds."""
+    while x.shape[-1] > n_bytes:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
+
+def _sketches(docs: DataFrame, firsts: DataFrame, uses: DataFrame, n: int) -> DataFrame:
+    """(set_id, sketch) of the sets in `uses` (set_id, n_uses), folded so that all that is sent of a
+    set, n_uses times its sketch, is some 32 bytes for each of its n-grams, or 64 bytes a time."""
+    found = _thinned(docs, firsts, n, "sketch", lambda x: [sketch(s).tobytes() for s in x])
+
+    def f(batch: pa.RecordBatch) -> Iterator[dict]:
+        out = []
+        for x, k in zip(batch.column("sketch").to_pylist(), batch.column("n_uses").to_pylist(), strict=True):
+            most = max(64, 128 * len(x) // k)
+            out.append(folded(np.frombuffer(x, np.uint8), 1 << (most.bit_length() - 1)).tobytes())
+        yield {"set_id": batch.column("set_id"), "sketch": out}
+
+    return over_batches(found.join(uses, "set_id").select("set_id", "sketch", "n_uses"), f, "set_id long, sketch binary")
+
+
+def _near(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with these sketches, of these sizes together, can link."""
+    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return (100 + percent) * (sizes - apart) >= 2 * percent * sizes
+
+
+def _across(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets of different groups that can still link, by all columns they share.
 
-    entries: (token, set_id, place, label, lead). Columns of one group are left out, and so are pairs
-    that a common lead has brought together before. A column of many
-    entries is cut into blocks, and each pair of blocks is a unit of bounded size."""
-    stats = entries.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token", F.ceil(F.col("n") / _BLOCK_ROWS).cast("int").alias("blocks"))
+    mixed: (token, set_id, place, label, lead, blocks), the columns of several groups. A column of many
+    entries is cut into blocks, and each pair of blocks is a unit of bounded size. Inside it sizes,
+    groups and sketches decide which pairs leave; of sets that share much and don't link, few do.
+    Pairs that a common lead has brought together before are left out."""
     block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    spread = entries.join(stats, "token").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = spread.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "place", "label", "lead")
+    spread = mixed.join(sketches, "set_id").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = spread.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "place", "label", "lead", "sketch")
     schema = "a long, b long, size_a long, size_b long, early boolean"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def of_unit(cross: bool, own, s, p, label, lead, raw: list[bytes]) -> Iterator[tuple]:
+        size, at = p >> 32, p & 0xFFFFFFFF
+        length = np.array(list(map(len, raw)))
+        classes = {k: np.flatnonzero(length == k) for k in np.unique(length).tolist()}
+        bits = {k: np.frombuffer(b"".join([raw[i] for i in v]), np.uint8).reshape(-1, k) for k, v in classes.items()}
+        for k, v in classes.items():
+            for k2, v2 in classes.items():
+                if k2 < k or 100 * size[v].max() < percent * size[v2].min() or 100 * size[v2].max() < percent * size[v].min():
+                    continue
+                x, y = bits[k].view(np.uint64), np.ascontiguousarray(folded(bits[k2], k)).view(np.uint64)
+                step = max(1, 4_000_000 // k // len(v2))
+                for r in range(0, len(v), step):
+                    q, z = v[r : r + step, None], v2[None, :]
+                    ok = (s[q] < s[z]) if k == k2 else (s[q] != s[z])
+                    ok &= (label[q] != label[z]) & (100 * np.minimum(size[q], size[z]) >= percent * np.maximum(size[q], size[z]))
+                    ok &= (lead[q] != lead[z]) & (lead[q] != s[z]) & (s[q] != lead[z])
+                    if cross:
+                        ok &= own[q] != own[z]
+                    m, o = np.nonzero(ok)
+                    m += r
+                    keep = _near(x[m], y[o], size[v[m]] + size[v2[o]], percent)
+                    m, o = v[m[keep]], v2[o[keep]]
+                    m, o = np.where(s[m] < s[o], m, o), np.where(s[m] < s[o], o, m)
+                    yield s[m], s[o], size[m], size[o], _may_link(size[m], at[m], size[o], at[o], percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in _with_end(batches):
@@ -326,34 +396,15 @@ def _across(entries: DataFrame, percent: int) -> DataFrame:
             t, i, j = (table.column(c).to_numpy() for c in ("token", "i", "j"))
             new = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             stop = len(t) if batch is None else new[-1]
-            own, s, p, label, lead = (table.column(c).to_numpy() for c in ("own", "set_id", "place", "label", "lead"))
-            size, at = p >> 32, p & 0xFFFFFFFF
+            columns = [table.column(c).to_numpy() for c in ("own", "set_id", "place", "label", "lead")]
+            raw = table.column("sketch").to_pylist() if stop else []
             bounds = np.append(new[new < stop], stop)
-            found: list[tuple] = []
-
-            def out() -> pa.RecordBatch:
-                return pa.RecordBatch.from_pydict(dict(zip(arrow.names, map(np.concatenate, zip(*found, strict=True)), strict=True)), schema=arrow)
-
             for x, y in zip(bounds[:-1], bounds[1:], strict=True):
                 if y - x < 2:
                     continue
-                z = slice(x, y)
-                step = max(1, 4_000_000 // (y - x))
-                for r in range(x, y, step):
-                    q = np.arange(r, min(r + step, y))[:, None]
-                    big, least = np.maximum(size[q], size[z][None, :]), np.minimum(size[q], size[z][None, :])
-                    ok = (s[q] < s[z][None, :]) & (label[q] != label[z][None, :]) & (100 * least >= percent * big)
-                    ok &= (lead[q] != lead[z][None, :]) & (lead[q] != s[z][None, :]) & (s[q] != lead[z][None, :])
-                    if i[x] != j[x]:
-                        ok &= own[q] != own[z][None, :]
-                    m, o = np.nonzero(ok)
-                    m, o = q[m, 0], x + o
-                    found.append((s[m], s[o], size[m], size[o], _may_link(size[m], at[m], size[o], at[o], percent)))
-                    if sum(len(v[0]) for v in found) > 200_000:
-                        yield out()
-                        found.clear()
-            if found:
-                yield out()
+                for found in of_unit(i[x] != j[x], *(c[x:y] for c in columns), raw[x:y]):
+                    if len(found[0]):
+                        yield pa.RecordBatch.from_pydict(dict(zip(arrow.names, found, strict=True)), schema=arrow)
             rest = table.slice(stop) if batch is not None else None
 
     pairs = unit.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, schema)
@@ -397,7 +448,10 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     def test(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "pairs")
         used = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-        return _linked(pairs, _rows(docs, distinct.join(used, "set_id"), n), percent)
+        rows = _rows(docs, distinct.join(used, "set_id"), n)
+        out = _linked(pairs, rows, percent)
+        released(pairs, rows)
+        return out
 
     # of its columns' leads, each set goes with the one that it meets most often
     columns_of = F.expr(f"size - ceil({percent} * size / 100) + 1")
@@ -411,11 +465,18 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         "members",
     )
     used = members.select("set_id").union(members.select("lead")).distinct()
-    first, labels = _inside(members, _rows(docs, distinct.join(used, "set_id"), n), percent)
+    rows = _rows(docs, distinct.join(used, "set_id"), n)
+    first, labels = _inside(members, rows, percent)
+    released(rows)
     # a set without a lead leads itself
     named = entries.select("token", "set_id", "place").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").join(members, "set_id", "left")
     labelled = named.select("token", "set_id", "place", F.coalesce("label", "set_id").alias("label"), F.coalesce("lead", "set_id").alias("lead"))
-    second = test(_across(labelled, percent))
+    several = labelled.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    mixed = stored(labelled.join(several.select("token", F.ceil(F.col("n") / _BLOCK_ROWS).cast("int").alias("blocks")), "token"), "mixed")
+    uses = stored(mixed.groupBy("set_id").agg(F.count("*").alias("n_uses")), "uses")
+    released(entries, members)
+    second = test(_across(mixed, _sketches(docs, distinct.join(uses, "set_id"), uses, n), percent))
+    released(mixed, uses)
     if second.filter("linked").limit(1).count():
         labels = components(first.unionByName(second.filter("linked").select("a", "b")))
 
@@ -430,6 +491,6 @@ def representatives(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
 
     Rows equal in id and text are one. Rows without an id cannot be named by a group and all stay."""
     groups = similar_groups(docs, n, percent)
-    named = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    first = docs.filter("doc_id is not null").join(named, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    named = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    first = docs.filter("doc_id is not null").join(named, docs["doc_id"] == named["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return first.unionByName(docs.filter("doc_id is null"))
