@@ -23,9 +23,9 @@ def drop_repetitive(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near copies."""
+    """The document of the least id of each group of near copies: five-word shingles, similarity 0.8 or more."""
     small_batches(spark)
-    return ngram_join.representatives(docs)
+    return ngram_join.representatives(docs, n=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
