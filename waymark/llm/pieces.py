@@ -14,8 +14,10 @@ piece become byte pieces.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,6 +49,7 @@ class Pieces:
     byte_ids: list[int]
     kind: str  # "bpe" or "unigram"
     longest: int
+    digest: str
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, id, score)"""
@@ -73,7 +76,7 @@ def load(path: str) -> Pieces:
         else:
             ids[piece], scores[piece] = i, sp.get_score(i)
             raw.append(piece.encode())
-    return Pieces(ids, scores, raw, byte_ids, "bpe" if model.trainer_spec.model_type == 2 else "unigram", max(map(len, ids)))
+    return Pieces(ids, scores, raw, byte_ids, "bpe" if model.trainer_spec.model_type == 2 else "unigram", max(map(len, ids)), hashlib.sha256(model.SerializeToString()).hexdigest())
 
 
 def unit_pattern(pieces: Pieces) -> re.Pattern:
@@ -90,6 +93,25 @@ def written(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+#: In front of a unit that stands for itself; other keys are words, written with one space in front.
+_MARK = "\x00"
+
+
+def _plain(text: str) -> bool:
+    """Whether every space of the text begins a unit, so that its words by single spaces make it up."""
+    return bool(text) and text[0] != " " and "  " not in text and SPACE not in text and _MARK not in text
+
+
+def _key(unit: str) -> str:
+    """What a unit goes by: its word if one space is in front of it, else itself behind the mark."""
+    return unit[1:] if unit[0] == SPACE and unit[1:2] not in (SPACE, _MARK) else _MARK + unit
+
+
+def _units_of(key: str, pattern: re.Pattern) -> list[str]:
+    """The units of a word, one but where it holds white space that is a unit of its own."""
+    return [key[1:]] if key[:1] == _MARK else [SPACE + key] if key.isalnum() else pattern.findall(SPACE + key)
+
+
 def _span_ids(unit: str, bounds: list[int], p: Pieces) -> list[int]:
     out = []
     for a, b in zip(bounds, bounds[1:], strict=False):
@@ -101,8 +123,90 @@ def _span_ids(unit: str, bounds: list[int], p: Pieces) -> list[int]:
     return out
 
 
+class Merges:
+    """A BPE model's merges as whole numbers: that of ids a and b is at[a * n + b] = rank * n + id.
+
+    A character without a piece is n and more, and merges with nothing. joined: the pairs of
+    characters that stand side by side in some piece; no piece crosses any other pair."""
+
+    def __init__(self, p: Pieces):
+        self.n = n = len(p.bytes_of) + 1
+        self.ids = p.ids
+        made = Counter(s for piece, s in p.scores.items() if len(piece) > 1)
+        rank = {s: i for i, s in enumerate(sorted(made, reverse=True))}
+        # ties are the leftmost's, which one number can't say: how pieces of equal scores begin
+        self.tied = sorted({piece[:2] for piece, s in p.scores.items() if len(piece) > 1 and made[s] > 1})
+        self.at = {}
+        for piece, score in p.scores.items():
+            for k in range(1, len(piece)):
+                left, right = p.ids.get(piece[:k]), p.ids.get(piece[k:])
+                if left is not None and right is not None and len(piece) > 1:
+                    self.at[left * n + right] = rank[score] * n + p.ids[piece]
+        self.joined = {piece[i : i + 2] for piece in p.ids for i in range(len(piece) - 1)}
+
+    def parts(self, unit: str) -> list[str]:
+        """The unit cut where no piece crosses."""
+        joined, cut = self.joined, [0]
+        for i in range(1, len(unit)):
+            if unit[i - 1 : i + 1] not in joined:
+                cut.append(i)
+        return [unit] if len(cut) == 1 else [unit[x:y] for x, y in zip(cut, [*cut[1:], len(unit)], strict=True)]
+
+    def fold(self, unit: str, p: Pieces) -> list[int]:
+        n, get, none = self.n, self.at.get, 1 << 62
+        spans = [i if (i := self.ids.get(c)) is not None else n + ord(c) for c in unit]
+        joins = [get(a * n + b, none) for a, b in zip(spans, spans[1:], strict=False)]
+        while joins and (best := min(joins)) < none:
+            i = joins.index(best)
+            spans[i : i + 2] = [best % n]
+            del joins[i]
+            if i < len(joins):
+                joins[i] = get(spans[i] * n + spans[i + 1], none)
+            if i:
+                joins[i - 1] = get(spans[i - 1] * n + spans[i], none)
+        if max(spans) < n:
+            return spans
+        return [j for i in spans for j in ([i] if i < n else [p.byte_ids[x] for x in chr(i - n).encode("utf-8", "surrogatepass")])]
+
+
+#: Merges of the models that this process has met, and what it has folded with them.
+_MERGES: dict[str, tuple[Merges, dict[str, bytes]]] = {}
+
+
+def merges_of(p: Pieces) -> tuple[Merges, dict[str, bytes]]:
+    """The model's merges and a memory of folded parts, which later tasks of one process find filled."""
+    if p.digest not in _MERGES:
+        _MERGES.clear()
+        _MERGES[p.digest] = Merges(p), {}
+    return _MERGES[p.digest]
+
+
 def merge_unit(unit: str, p: Pieces) -> list[int]:
     """Ids of one unit by merges: the lattice's best edge over two neighbouring spans, again and again."""
+    return list(array("i", merged(unit, p)))
+
+
+def merged(unit: str, p: Pieces) -> bytes:
+    """Ids of one unit by merges, as bytes.
+
+    A unit is cut where no piece crosses; a short part's spans are searched again after each merge,
+    a long one's are a heap."""
+    merges, known = merges_of(p)
+    out = b""
+    for part in merges.parts(unit):
+        if (ids := known.get(part)) is None:
+            short = len(part) <= 2 * UNIT_CHARS and not any(x in part for x in merges.tied)
+            found = merges.fold(part, p) if short else _merge_long(part, p)
+            ids = array("i", found).tobytes()
+            if len(known) > 2 * _MEMORY:
+                known.clear()
+            if len(part) <= UNIT_CHARS:
+                known[part] = ids
+        out += ids
+    return out
+
+
+def _merge_long(unit: str, p: Pieces) -> list[int]:
     n, scores = len(unit), p.scores
     end, start = list(range(1, n + 1)), [0, *range(n)]  # by a span's begin: its end; by a span's end: its begin
     heap = [(-scores[unit[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if unit[i : i + 2] in scores]
@@ -193,16 +297,21 @@ def _unit_counts(docs: DataFrame, pattern: re.Pattern, text_col: str) -> DataFra
     arrow = to_arrow_schema(StructType.fromDDL("unit string, n long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: Counter = Counter()  # by word, or by unit with a mark in front
 
         def out() -> pa.RecordBatch:
-            often = [(u, c) for u, c in counts.items() if c >= 3 and len(u) <= UNIT_CHARS]
+            units: Counter = Counter()
+            for word, c in counts.items():
+                if c >= 3 and len(word) < UNIT_CHARS:
+                    for u in _units_of(word, pattern):
+                        units[u] += c
+            often = list(units.items())
             counts.clear()
             return pa.RecordBatch.from_pydict({"unit": [u for u, _ in often], "n": [c for _, c in often]}, schema=arrow)
 
         for batch in batches:
             for text in texts_of(batch, text_col):
-                counts.update(pattern.findall(written(text)))
+                counts.update(text.split(" ") if _plain(text) else map(_key, pattern.findall(written(text))))
                 if len(counts) > 2 * _MEMORY:
                     yield out()
         yield out()
@@ -220,26 +329,45 @@ def frequent_units(docs: DataFrame, p: Pieces, text_col: str = "text", most: int
 
 
 class Encoder:
-    """Encodes texts with a table of frequent units; the others it folds itself and remembers for a while."""
+    """Encodes texts with a table of frequent units; the others it folds itself and remembers for a while.
+
+    (ids as bytes, whether they decode to what they came from) is held for each word and unit, so
+    that a text's round trip is that of its parts."""
 
     def __init__(self, p: Pieces, frequent: dict[str, bytes]):
         self.p, self.frequent, self.pattern = p, frequent, unit_pattern(p)
-        self.fold = merge_unit if p.kind == "bpe" else viterbi_unit
+        self.fold = merged if p.kind == "bpe" else lambda u, p: array("i", viterbi_unit(u, p)).tobytes()
         self.recent: dict[str, bytes] = {}
+        self.wrong: set[str] = set()  # keys whose ids decode to something else
 
-    def _rare(self, unit: str) -> bytes:
-        ids = self.recent.get(unit)
+    def _rare(self, key: str) -> bytes:
+        ids = self.recent.get(key)
         if ids is None:
             if len(self.recent) > _MEMORY:
                 self.recent.clear()
-            ids = np.array(self.fold(unit, self.p), np.int32).tobytes()
-            if len(unit) <= UNIT_CHARS:
-                self.recent[unit] = ids
+            units = _units_of(key, self.pattern)
+            # a word of one unit has just been looked up
+            ids = self.fold(units[0], self.p) if len(units) == 1 else b"".join([self.frequent.get(_key(u)) or self.fold(u, self.p) for u in units])
+            if not same_bytes(ids, "".join(units), self.p):
+                self.wrong.add(key)
+            if len(key) <= UNIT_CHARS:
+                self.recent[key] = ids
         return ids
 
-    def __call__(self, text: str) -> np.ndarray:
+    def __call__(self, text: str) -> tuple[np.ndarray, bool]:
+        """(ids, whether they decode to the text)"""
         frequent, rare = self.frequent, self._rare
-        return np.frombuffer(b"".join([frequent.get(u) or rare(u) for u in self.pattern.findall(written(text))]), np.int32)
+        if plain := _plain(text):
+            keys = text.split(" ")
+        else:
+            keys = list(map(_key, self.pattern.findall(written(text))))
+        ids = np.frombuffer(b"".join([frequent.get(k) or rare(k) for k in keys]), np.int32)
+        return ids, (plain or SPACE not in text) and (not self.wrong or self.wrong.isdisjoint(keys))
+
+
+def same_bytes(ids: bytes, unit: str, p: Pieces) -> bool:
+    """Whether ids (as bytes) decode to a unit as it is written."""
+    return b"".join(map(p.bytes_of.__getitem__, array("i", ids))) == unit.encode("utf-8", "surrogatepass")
 
 
 def decode_ids(ids: np.ndarray, p: Pieces) -> str:
@@ -258,7 +386,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     p = load(model)
     spark = docs.sparkSession
     found = frequent_units(docs, p, text_col).toArrow()
-    table = {u: np.array(i, np.int32).tobytes() for u, i in zip(found.column("unit").to_pylist(), found.column("ids").to_pylist(), strict=True)}
+    table = {}
+    for u, i in zip(found.column("unit").to_pylist(), found.column("ids").to_pylist(), strict=True):
+        ids = np.array(i, np.int32).tobytes()
+        if same_bytes(ids, u, p):
+            table[_key(u)] = ids
     shared = spark.sparkContext.broadcast((p, table))
     arrow = to_arrow_schema(StructType.fromDDL(schema := f"{id_col} {docs.schema[id_col].dataType.simpleString()}, piece_ids array<int>, n_pieces int, round_trip boolean"))
 
@@ -267,11 +399,10 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         encoder = Encoder(pieces, frequent)
         for batch in batches:
             texts = texts_of(batch, text_col)
-            ids = [encoder(t) for t in texts]
+            ids, same = map(list, zip(*map(encoder, texts), strict=True)) if texts else ([], [])
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum(list(map(len, ids)), out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-            same = [decode_ids(i, pieces) == t for i, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), lists.cast(arrow.field(1).type), pa.array(np.diff(offsets)), pa.array(same, pa.bool_())], schema=arrow)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
