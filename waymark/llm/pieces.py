@@ -21,6 +21,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,10 @@ class Pieces:
     byte_ids: list[int]
     kind: str  # "bpe" or "unigram"
     longest: int
-    digest: str
+
+    @cached_property
+    def digest(self) -> str:
+        return hashlib.sha256(repr((self.kind, self.ids, self.scores)).encode("utf-8", "surrogatepass")).hexdigest()
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, id, score)"""
@@ -76,7 +80,7 @@ def load(path: str) -> Pieces:
         else:
             ids[piece], scores[piece] = i, sp.get_score(i)
             raw.append(piece.encode())
-    return Pieces(ids, scores, raw, byte_ids, "bpe" if model.trainer_spec.model_type == 2 else "unigram", max(map(len, ids)), hashlib.sha256(model.SerializeToString()).hexdigest())
+    return Pieces(ids, scores, raw, byte_ids, "bpe" if model.trainer_spec.model_type == 2 else "unigram", max(map(len, ids)))
 
 
 def unit_pattern(pieces: Pieces) -> re.Pattern:
