@@ -34,11 +34,14 @@ def heldout_metrics(predictions: DataFrame, held_out: DataFrame, ks: tuple[int,
 
 
 def event_values(events: DataFrame, predictions: DataFrame, k: int = 10) -> DataFrame:
-    """(person, rr, hit, ndcg) of each event (person, src, target) by the rank of its target."""
+    """(person, rr, hit, ndcg, covered) of each event (person, src, target) by the rank of its target.
+
+    covered says whether anything at all is predicted for the event's source."""
     p = predictions.select("src", F.col("dst").alias("target"), "rank")
-    j = events.join(p, ["src", "target"], "left")
+    some = predictions.select("src").distinct().withColumn("some", F.lit(True))
+    j = events.join(p, ["src", "target"], "left").join(some, "src", "left")
     hit = F.col("rank") <= k
-    return j.select("person", F.coalesce(1 / F.col("rank"), F.lit(0.0)).alias("rr"), F.when(hit, 1.0).otherwise(0.0).alias("hit"), F.when(hit, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0).alias("ndcg"), F.col("rank").isNotNull().alias("found"))
+    return j.select("person", F.coalesce(1 / F.col("rank"), F.lit(0.0)).alias("rr"), F.when(hit, 1.0).otherwise(0.0).alias("hit"), F.when(hit, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0).alias("ndcg"), F.col("some").isNotNull().alias("covered"))
 
 
 def draw(person: Column, replicate: Column) -> Column:
@@ -83,10 +86,44 @@ def auc(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def band_thresholds(scores: DataFrame, column: str) -> DataFrame:
-    """(low, high): thirds of the scores, clipped to [0.05, 0.95] and at least 0.01 apart."""
-    q = scores.agg(F.percentile(column, F.lit(1 / 3)).alias("a"), F.percentile(column, F.lit(2 / 3)).alias("b"), F.count(column).alias("n")).filter("n >= 3")
-    low = F.least(F.greatest("a", F.lit(0.05)), F.lit(0.94))
-    return q.select(low.alias("low"), F.least(F.greatest("b", low + 0.01), F.lit(0.95)).alias("high"))
+    """(low, high): the thirds of the finite scores within [0, 1], the second at least a millionth above the
+    first where there is room. Fails with fewer than three scores."""
+    c = F.col(column)
+    q = scores.filter(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))).agg(F.percentile(column, F.lit(1.0 / 3)).alias("a"), F.percentile(column, F.lit(2.0 / 3)).alias("b"), F.count(column).alias("n"))
+    unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    low = F.when(F.col("n") >= 3, unit(F.col("a"))).otherwise(F.raise_error(F.lit("three scores are needed")).cast("double"))
+    high = unit(F.col("b"))
+    return q.select(low.alias("low"), F.when(high > unit(F.col("a")), high).otherwise(F.least(F.lit(1.0), unit(F.col("a")) + 1e-6)).alias("high"))
+
+
+def ordering_inversions(cases: DataFrame, ranking: DataFrame, top: int = 3) -> DataFrame:
+    """(case, n, inversions, top_mean, monotone): pairs of a case's ranking whose later one is more accessible.
+
+    cases: (case), all to be reported; ranking: (case, rank, accessibility). Unknown accessibilities are left
+    out of pairs and means. Rows are counted from a running multiset of those before, a window over one ranking."""
+    w = Window.partitionBy("case").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    known = ranking.filter("accessibility is not null").withColumn("before", F.collect_list("accessibility").over(w))
+    each = known.withColumn("worse", F.size(F.filter("before", lambda x: x < F.col("accessibility"))))
+    by = each.groupBy("case").agg(F.count("*").alias("n"), F.sum("worse").alias("inversions"), F.avg(F.when(F.col("rank") <= top, F.col("accessibility"))).alias("top_mean"))
+    out = cases.select("case").distinct().join(by, "case", "left").na.fill(0, ["n", "inversions"])
+    return out.withColumn("monotone", F.col("inversions") == 0)
+
+
+def candidate_positions(observed: DataFrame, predictions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(src, dst, rank) of observed pairs in the full ranking of all candidates but the source, which comes last.
+
+    predictions: (src, dst, rank) come first, all other candidates behind them by id. A candidate without a
+    score stands behind those with one and behind the lesser ids that have none, so its place is counted
+    from the source's own list; sources and candidates are not multiplied. candidates: (dst), the ids."""
+    place = F.broadcast(candidates.select("dst").distinct()).withColumn("pos", F.row_number().over(Window.orderBy("dst")))
+    total = place.agg(F.count("*").alias("total"))
+    lists = predictions.filter("src <> dst").join(place, "dst").groupBy("src").agg(F.array_sort(F.collect_list("pos")).alias("scored"))
+    own = place.select(F.col("dst").alias("src"), F.col("pos").alias("own"))
+    j = observed.select("src", "dst").distinct().join(place, "dst").join(predictions.select("src", "dst", "rank"), ["src", "dst"], "left").join(lists, "src", "left").join(own, "src", "left").crossJoin(F.broadcast(total))
+    scored = F.coalesce("scored", F.array().cast("array<int>"))
+    behind = F.size(scored) + F.col("pos") - F.size(F.filter(scored, lambda p: p < F.col("pos"))) - F.coalesce((F.col("own") < F.col("pos")).cast("int"), F.lit(0))
+    rank = F.when(F.col("src") == F.col("dst"), F.col("total")).when(F.col("rank").isNotNull(), F.col("rank")).otherwise(behind)
+    return j.select("src", "dst", rank.cast("long").alias("rank"))
 
 
 def acceptance(metrics: DataFrame) -> DataFrame:

@@ -45,17 +45,30 @@ def transition_counts(pairs: DataFrame, min_support: int = 1) -> DataFrame:
     return counted.withColumn("probability", F.col("count") / F.col("source_total")).filter(F.col("count") >= min_support)
 
 
-def quality(steps: DataFrame) -> DataFrame:
-    """One row a split: people, rows, and counters of what cleaning does with them."""
-    positions = collapse_positions(steps, ("split",))
+def quality(steps: DataFrame, index: DataFrame) -> DataFrame:
+    """One row a split: counters of what is read, of what cleaning does with it, and the labels in no index.
+
+    steps: (person, ord, label, split), ord null where it isn't a number; index: (label)."""
+    known = steps.join(F.broadcast(index.select("label").distinct().withColumn("known", F.lit(True))), "label", "left")
+    read = known.groupBy("split").agg(
+        F.count("*").alias("rows"), F.countDistinct("person").alias("people"), F.count_if(F.col("ord").isNull()).alias("invalid_orders"), F.count_if(F.coalesce(F.trim("label"), F.lit("")) == "").alias("missing_labels"),
+        F.countDistinct("label").alias("labels"), F.countDistinct(F.when(F.col("known").isNull(), F.col("label"))).alias("unmapped_labels"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("known").isNull(), F.col("label")))), ",").alias("unmapped"),
+    )
+    positions = collapse_positions(steps.filter("ord is not null"), ("split",))
     of = positions.groupBy("split").agg(
-        F.countDistinct("person").alias("people"), F.sum("n_rows").alias("rows"), F.count("*").alias("positions"),
+        F.count("*").alias("positions"), F.count_if(F.col("n_labels") == 1).alias("kept_positions"), F.count_if(F.col("n_labels") == 0).alias("empty_positions"),
         F.sum(F.when(F.col("n_labels") == 1, F.col("n_rows") - 1).otherwise(0)).alias("exact_duplicates"), F.count_if(F.col("n_labels") > 1).alias("ambiguous_positions"),
     )
-    reasons = classified_pairs(positions.filter("n_labels = 1"), keys=("split",)).groupBy("split").agg(
-        F.count_if(F.col("reason") == "gap").alias("gaps"), F.count_if(F.col("reason") == "self").alias("self_transitions"), F.count_if(F.col("reason") == "valid").alias("valid_transitions")
+    ids = F.broadcast(index.select(F.col("label").alias("known_label")).distinct())
+    pairs = classified_pairs(positions.filter("n_labels = 1"), keys=("split",))
+    pairs = pairs.join(ids, pairs["src"] == ids["known_label"], "left").withColumnRenamed("known_label", "a").join(ids, F.col("dst") == F.col("known_label"), "left")
+    reason = F.when((F.col("reason") == "valid") & (F.col("a").isNull() | F.col("known_label").isNull()), "unmapped").otherwise(F.col("reason"))
+    by = pairs.withColumn("reason", reason).groupBy("split").agg(
+        F.count("*").alias("pairs"), *[F.count_if(F.col("reason") == r).alias(n) for r, n in (("gap", "gaps"), ("self", "self_transitions"), ("unmapped", "unmapped_transitions"), ("valid", "valid_transitions"))],
+        F.countDistinct(F.when(F.col("reason") == "valid", F.struct("src", "dst"))).alias("distinct_transitions"),
     )
-    return of.join(reasons, "split")
+    return read.join(of, "split").join(by, "split")
 
 
 def support_retention(counts: DataFrame, thresholds: tuple[int, ...] = (1, 2, 3, 5, 10, 25)) -> DataFrame:
@@ -117,43 +130,132 @@ def parse_quarter(text: Column) -> Column:
     return F.when(text.rlike(m), F.regexp_extract(text, m, 2).cast("int") * 4 + F.regexp_extract(text, m, 1).cast("int") - 1)
 
 
-def dated_rows(dated: DataFrame) -> DataFrame:
-    """Distinct dated rows with known codes: (person, code, start, end, university_level)."""
-    return dated.distinct().filter("matched_code <> 'unknown'").select(
-        F.col("resume_id").alias("person"), F.col("matched_code").alias("code"), parse_quarter(F.col("start_date")).alias("start"), parse_quarter(F.col("end_date")).alias("end"), "university_level"
+# Accepted spellings of education levels, and their order.
+EDUCATION = {"None": "None", "Secondary": "Secondary", "Secondary school": "Secondary", "Bachelor": "Bachelor", "Master": "Master", "PhD": "PhD"}
+EDUCATION_ORDER = ("None", "Secondary", "Bachelor", "Master", "PhD")
+
+
+def dated_stages(dated: DataFrame, index: DataFrame) -> DataFrame:
+    """The distinct rows of `dated` (resume_id, matched_code, start_date, end_date, university_level) with
+    what cleaning finds out about each.
+
+    index: (code, role), one role a code. reason, by the first that holds: unknown (no code), unmapped (not in
+    the index), range (ends before it starts), unordered (no date), accepted. order is the start or else
+    the end; a date is missing if blank and invalid if not of the form "Q1 2000"; an education level of another
+    spelling counts as None."""
+    rows = dated.select("resume_id", "matched_code", "start_date", "end_date", "university_level").distinct()
+    rows = rows.withColumn("code", F.trim(F.coalesce("matched_code", F.lit("")))).join(F.broadcast(index.select("code", "role")), "code", "left")
+    rows = rows.withColumn("start", parse_quarter(F.trim("start_date"))).withColumn("end", parse_quarter(F.trim("end_date")))
+    missing = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    level = F.create_map(*[F.lit(x) for pair in EDUCATION.items() for x in pair])[F.trim("university_level")]
+    reason = (
+        F.when((F.col("code") == "") | (F.lower("code") == "unknown"), "unknown")
+        .when(F.col("role").isNull(), "unmapped")
+        .when(F.col("end") < F.col("start"), "range")
+        .when(F.col("start").isNull() & F.col("end").isNull(), "unordered")
+        .otherwise("accepted")
+    )
+    return rows.select(
+        F.col("resume_id").alias("person"), "code", "role", F.coalesce("start", "end").alias("order"), "start", "end", F.coalesce(level, F.lit("None")).alias("university_level"), reason.alias("reason"),
+        missing("start_date").alias("missing_start"), missing("end_date").alias("missing_end"), (~missing("start_date") & F.col("start").isNull()).alias("invalid_start"), (~missing("end_date") & F.col("end").isNull()).alias("invalid_end"),
+        level.isNull().alias("invalid_education"),
     )
 
 
+def dated_rows(dated: DataFrame, index: DataFrame) -> DataFrame:
+    """The accepted rows: (person, code, role, order, start, end, university_level)."""
+    return dated_stages(dated, index).filter("reason = 'accepted'").select("person", "code", "role", "order", "start", "end", "university_level")
+
+
 def dated_pairs(rows: DataFrame) -> DataFrame:
-    """(person, src, dst, reason, overlap): neighbours by (start, end, code). Of equal start they are
-    ambiguous; an overlap is counted and kept."""
-    w = Window.partitionBy("person").orderBy("start", F.asc_nulls_last("end"), "code", "university_level")
-    near = rows.filter("start is not null").select("person", F.col("code").alias("src"), "start", "end", F.lead("code").over(w).alias("dst"), F.lead("start").over(w).alias("next_start")).filter("dst is not null")
-    reason = F.when(F.col("next_start") == F.col("start"), "ambiguous").when(F.col("src") == F.col("dst"), "self").otherwise("valid")
-    return near.select("person", "src", "dst", reason.alias("reason"), F.coalesce(F.col("next_start") < F.col("end"), F.lit(False)).alias("overlap"))
+    """(person, src, dst, reason, overlap): neighbours by (order, end, code, role). Of equal order they are
+    ambiguous; of the others, an overlap (the next starts before this ends) is marked and the pair kept."""
+    w = Window.partitionBy("person").orderBy("order", F.asc_nulls_last("end"), "code", "role", "start", "university_level")
+    near = rows.select("person", F.col("role").alias("src"), "order", "end", F.lead("role").over(w).alias("dst"), F.lead("order").over(w).alias("next_order"), F.lead("start").over(w).alias("next_start")).filter("next_order is not null")
+    reason = F.when(F.col("next_order") == F.col("order"), "ambiguous").when(F.col("src") == F.col("dst"), "self").otherwise("valid")
+    overlap = (F.col("next_order") != F.col("order")) & F.coalesce(F.col("next_start") < F.col("end"), F.lit(False))
+    return near.select("person", "src", "dst", reason.alias("reason"), overlap.alias("overlap"))
+
+
+def dated_quality(dated: DataFrame, index: DataFrame) -> DataFrame:
+    """One row of counters over all steps of cleaning, and the codes that are in no index.
+
+    Dates are counted over mapped rows, education over rows that have an order."""
+    raw = dated.agg(F.count("*").alias("raw_rows"), F.countDistinct("resume_id").alias("raw_people"))
+    each = dated_stages(dated, index)
+    is_ = lambda r: F.count_if(F.col("reason") == r)
+    mapped = ~F.col("reason").isin("unknown", "unmapped")
+    found = each.agg(
+        F.count("*").alias("distinct_rows"), is_("unknown").alias("unknown_code_rows"), is_("unmapped").alias("unmapped_code_rows"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("reason") == "unmapped", F.col("code")))), ",").alias("unmapped_codes"),
+        *[F.count_if(mapped & F.col(c)).alias(f"{c}_dates") for c in ("missing_start", "missing_end", "invalid_start", "invalid_end")],
+        is_("range").alias("invalid_date_ranges"), is_("unordered").alias("unordered_rows"), F.count_if((F.col("reason") == "accepted") & F.col("invalid_education")).alias("invalid_education_rows"),
+        is_("accepted").alias("accepted_rows"), F.countDistinct(F.when(F.col("reason") == "accepted", F.col("person"))).alias("accepted_people"),
+    )
+    pairs = dated_pairs(each.filter("reason = 'accepted'")).agg(
+        F.count_if(F.col("reason") == "ambiguous").alias("ambiguous_same_start_pairs"), F.count_if("overlap").alias("overlapping_pairs"), F.count_if(F.col("reason") == "self").alias("self_transitions"),
+        F.count_if(F.col("reason") == "valid").alias("valid_transitions"), F.countDistinct(F.when(F.col("reason") == "valid", F.struct("src", "dst"))).alias("distinct_transition_pairs"),
+    )
+    # three rows of one row each
+    return raw.crossJoin(found).withColumn("exact_duplicate_rows", F.col("raw_rows") - F.col("distinct_rows")).drop("distinct_rows").crossJoin(pairs)
+
+
+def _steps(value: Column, limits: tuple[int, ...], first: int) -> Column:
+    """first for values up to the first limit, one more for each further limit that is passed."""
+    out = F.lit(first)
+    for x in limits:
+        out = out + (value > x).cast("int")
+    return out
+
 
+def tenure_bucket(start: Column, end: Column) -> Column:
+    """Quarters in a role, 1 ... 8; 0 for unknown."""
+    return F.coalesce(_steps(end - start, (0, 1, 3, 7, 15, 31, 63), 1), F.lit(0))
 
-def tenure_bucket(quarters: Column) -> Column:
-    """0 for unknown, else 1 ... 8."""
-    return F.when(quarters.isNull() | (quarters < 0), 0).when(quarters == 0, 1).when(quarters <= 1, 2).when(quarters <= 2, 3).when(quarters <= 4, 4).when(quarters <= 8, 5).when(quarters <= 16, 6).when(quarters <= 32, 7).otherwise(8)
 
+def gap_bucket(previous_end: Column, start: Column) -> Column:
+    """Quarters between two roles, 1 (overlap) ... 7; 0 for unknown."""
+    return F.coalesce(_steps(start - previous_end, (-1, 0, 1, 3, 7, 15), 1), F.lit(0))
 
-def feature_prefixes(rows: DataFrame) -> DataFrame:
-    """(person, history, target, gap): a fold over a person's rows in order. A row is retained unless it
-    starts with the last retained row or repeats its code; each retained row but the first is a target."""
-    row = F.struct("start", F.coalesce("end", F.lit(1 << 30)).alias("e"), "code")
-    ordered = rows.filter("start is not null").groupBy("person").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    empty = F.array().cast("array<struct<start:int,code:string>>")
-    one = lambda r: F.array(F.struct(r["start"].alias("start"), r["code"].alias("code")))
+
+def education_bucket(level: Column, use: bool) -> Column:
+    """1 ... 5 by education; 0 for unknown, or for all where it is not to be used."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, EDUCATION_ORDER)), level), F.lit(0)).cast("int") if use else F.lit(0)
+
+
+def feature_prefixes(rows: DataFrame, longest: int = 20, education: bool = False) -> DataFrame:
+    """(person, n, history, target, tenure, gap, education): a fold over a person's rows by (order, role).
+
+    A row is retained unless it has the order or the role of the last retained one; each retained row but the
+    first is a target. What is said about it comes from the rows retained before: the last one's tenure
+    and education, and the gap between the two last."""
+    kind = "array<struct<order:int,role:string,start:int,end:int,university_level:string>>"
+    row = F.struct(F.col("order").cast("int").alias("order"), "role", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "university_level")
+    ordered = rows.groupBy("person").agg(F.array_sort(F.collect_list(row)).cast(kind).alias("rows"))
 
     def step(acc: Column, r: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
-        same = (last["start"] == r["start"]) | (last["code"] == r["code"])
-        return F.when(F.size(acc) == 0, one(r)).when(same, acc).otherwise(F.concat(acc, one(r)))
+        same = (last["order"] == r["order"]) | (last["role"] == r["role"])
+        return F.when(F.size(acc) == 0, F.array(r)).when(same, acc).otherwise(F.concat(acc, F.array(r))).cast(kind)
 
-    kept = ordered.select("person", F.aggregate("rows", empty, step).alias("kept"))
+    kept = ordered.select("person", F.aggregate("rows", F.array().cast(kind), step).alias("kept"))
     each = kept.select("person", "kept", F.posexplode("kept").alias("i", "r")).filter("i > 0")
-    return each.select("person", F.transform(F.slice("kept", 1, F.col("i")), lambda x: x["code"]).alias("history"), F.col("r.code").alias("target"), (F.col("r.start") - F.get("kept", F.col("i") - 1)["start"]).alias("gap"))
+    last, before = F.get("kept", F.col("i") - 1), F.get("kept", F.col("i") - 2)
+    history = F.transform(F.slice("kept", F.greatest(F.lit(1), F.col("i") - longest + 1), F.least(F.col("i"), F.lit(longest))), lambda x: x["role"])
+    return each.select(
+        "person", F.col("i").alias("n"), history.alias("history"), F.col("r.role").alias("target"),
+        tenure_bucket(last["start"], last["end"]).alias("tenure"), F.when(F.col("i") > 1, gap_bucket(before["end"], last["start"])).otherwise(0).alias("gap"), education_bucket(last["university_level"], education).alias("education"),
+    )
+
+
+def person_runs(rows: DataFrame) -> DataFrame:
+    """(person, runs, rows): stretches of neighbouring rows of one person in each file; more than one run means
+    that the person comes back. rows: (file, row_pos, person).
+
+    Files are read in parallel and each is walked in its own order."""
+    w = Window.partitionBy("file").orderBy("row_pos")
+    first = F.coalesce(F.lag("person").over(w) != F.col("person"), F.lit(True))
+    return rows.withColumn("first", first).groupBy("person").agg(F.count_if("first").alias("runs"), F.count("*").alias("rows"))
 
 
 def out_of_order(rows: DataFrame) -> DataFrame:

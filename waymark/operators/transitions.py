@@ -73,3 +73,25 @@ def second_order(first: DataFrame, contexts: DataFrame, weight: float = 0.5, alp
     p, c = F.coalesce("probability", F.lit(0.0)), F.coalesce("count", F.lit(0))
     full = both.withColumn("n", F.coalesce(total, F.sum(c).over(Window.partitionBy("previous", "current"))))
     return full.select("previous", "current", "dst", ((1 - weight) * p + weight * (alpha * p + c) / (F.col("n") + alpha)).alias("score"))
+
+
+def smooth_grid(counts: DataFrame, neighbours: DataFrame, ks: tuple[int, ...], weights: tuple[float, ...], temperatures: tuple[float, ...]) -> DataFrame:
+    """(k, direct_weight, temperature, src, dst, score): `smooth` for every configuration at once.
+
+    k and temperature are columns of the neighbours, so softmax and spreading are done once for all; the
+    direct weight is exploded where the two kinds of evidence meet."""
+    known = counts.select(F.col("src").alias("nbr")).distinct()
+    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("temperature")) for k in ks for t in temperatures])
+    w = Window.partitionBy("k", "temperature", "id")
+    near = neighbours.join(known, "nbr", "left_semi").withColumn("c", F.explode(grid)).select("id", "nbr", "similarity", "rank", "c.k", "c.temperature").filter("rank <= k")
+    e = near.withColumn("e", F.exp((F.col("similarity") - F.max("similarity").over(w)) / F.col("temperature")))
+    spread = e.withColumn("w", F.col("e") / F.sum("e").over(w)).join(counts.select(F.col("src").alias("nbr"), "dst", "probability"), "nbr").filter("dst <> id")
+    prior = spread.groupBy("k", "temperature", F.col("id").alias("src"), "dst").agg(F.sum(F.col("w") * F.col("probability")).alias("neighbour"))
+    direct = counts.select("src", "dst", F.col("probability").alias("direct")).withColumn("c", F.explode(grid)).select("c.k", "c.temperature", "src", "dst", "direct")
+    both = direct.join(prior, ["k", "temperature", "src", "dst"], "full")
+    by = Window.partitionBy("k", "temperature", "src")
+    d, n = F.coalesce("direct", F.lit(0.0)), F.coalesce("neighbour", F.lit(0.0))
+    has = both.select("k", "temperature", "src", "dst", d.alias("d"), n.alias("n"), (F.max("direct").over(by).isNotNull()).alias("has_d"), (F.max("neighbour").over(by).isNotNull()).alias("has_n"))
+    each = has.withColumn("direct_weight", F.explode(F.array(*map(F.lit, weights))))
+    score = F.when(F.col("has_d") & F.col("has_n"), F.col("direct_weight") * F.col("d") + (1 - F.col("direct_weight")) * F.col("n")).when(F.col("has_d"), F.col("d")).otherwise(F.col("n"))
+    return each.select("k", "direct_weight", "temperature", "src", "dst", score.alias("score")).filter("score > 0")

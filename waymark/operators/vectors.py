@@ -1,16 +1,16 @@
-"""Role vectors: cleaning, exact neighbours and threshold joins, in blocks of queries."""
+"""Role vectors: cleaning, exact neighbours and threshold joins, block by block."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries whose matrix is sent to the tasks at once.
-BLOCK = 4096
+#: Vectors of one side in a unit, about.
+BLOCK = 2048
 
 
 def norm(v: Column) -> Column:
@@ -27,9 +27,9 @@ def normalised(vectors: DataFrame, dim: int | None = None) -> DataFrame:
     return ok.select("id", F.transform("vec", lambda x: x.cast("double") / F.col("n")).alias("vec"))
 
 
-def load_report(ids: DataFrame, vectors: DataFrame) -> DataFrame:
+def load_report(ids: DataFrame, vectors: DataFrame, dim: int | None = None) -> DataFrame:
     """One row: how many of `ids` have a usable vector, none, or a rejected one."""
-    good = normalised(vectors).select("id", F.lit(True).alias("good"))
+    good = normalised(vectors, dim).select("id", F.lit(True).alias("good"))
     have = vectors.select("id", F.lit(True).alias("have")).distinct()
     each = ids.select("id").distinct().join(have, "id", "left").join(good, "id", "left")
     return each.agg(F.count("*").alias("requested"), F.count_if("good").alias("loaded"), F.count_if(F.col("have").isNull()).alias("missing"), F.count_if(F.col("have").isNotNull() & F.col("good").isNull()).alias("rejected"))
@@ -40,66 +40,79 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """The queries in blocks of BLOCK, each fetched when its turn comes."""
-    held: list = []
-    for r in queries.select("id", "vec").orderBy("id").toLocalIterator():
-        held.append(r)
-        if len(held) == BLOCK:
-            yield [x.id for x in held], np.array([x.vec for x in held])
-            held = []
-    if held:
-        yield [x.id for x in held], np.array([x.vec for x in held])
+def _units(queries: DataFrame, points: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """run(queries, points) over every pair of a block of queries and a block of points.
 
+    Both sides are dealt to blocks of about BLOCK rows by a hash of their ids, and each block is sent to every
+    unit that it has a part in: what a task holds is two blocks, whatever the sizes of the sides, and what is
+    shuffled is each side times the number of the other's blocks. Only the numbers of rows reach the driver."""
+    n_q, n_p = (max(1, -(-df.count() // BLOCK)) for df in (queries, points))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("qb", block(n_q)).withColumn("pb", every(n_p))
+    # columns of their own, for sides that come from one frame
+    p = points.select(*[F.col(c).alias(c) for c in points.columns]).withColumn("pb", block(n_p)).withColumn("qb", every(n_q))
+    return q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(run, schema)
 
-def _against(queries: DataFrame, points: DataFrame, pick) -> DataFrame:
-    """pick(similarities of all queries to a batch of points) -> (query places, point places), for each block."""
-    out = None
-    for ids, matrix in _blocks(queries):
 
-        def run(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    sims = np.round(matrix @ np.stack(batch["vec"].to_numpy()).T, 9)
-                    q, p = pick(sims, ids, batch["id"].to_numpy())
-                    if len(q):
-                        yield pd.DataFrame({"id": [ids[i] for i in q], "nbr": batch["id"].to_numpy()[p], "similarity": sims[q, p]})
-
-        part = points.select("id", "vec").mapInPandas(run, "id string, nbr string, similarity double")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else points.sparkSession.createDataFrame([], "id string, nbr string, similarity double")
+def _similarities(q: pd.DataFrame, p: pd.DataFrame) -> np.ndarray:
+    return np.round(np.stack(q["vec"].to_numpy()) @ np.stack(p["vec"].to_numpy()).T, 9)
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """(id, nbr, similarity, rank): each query's k most similar points but itself; ties by id.
 
-    Every task gives its own k best for each query, so what is shuffled is bounded by tasks times queries times k."""
+    Every unit gives its own k best for each query, so what meets in the end is bounded by queries times
+    point blocks times k."""
 
-    def pick(sims: np.ndarray, ids: list, names: np.ndarray):
-        rows, cols = [], []
-        for i, q in enumerate(ids):
-            order = np.lexsort((names, -sims[i]))
-            order = order[names[order] != q][:k]
-            rows += [i] * len(order)
-            cols += order.tolist()
-        return rows, cols
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if len(q) and len(p):
+            sims, names = _similarities(q, p), p["id"].to_numpy()
+            for i, one in enumerate(q["id"]):
+                order = np.lexsort((names, -sims[i]))
+                order = order[names[order] != one][:k]
+                found += zip([one] * len(order), names[order], sims[i, order], strict=True)
+        return pd.DataFrame(found, columns=["id", "nbr", "similarity"])
 
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "nbr")
-    return _against(queries, points, pick).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    each = _units(queries.select("id", "vec"), points.select("id", "vec"), run, "id string, nbr string, similarity double")
+    return each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def similar_pairs(a: DataFrame, b: DataFrame, threshold: float, inclusive: bool = False) -> DataFrame:
     """(id, nbr, similarity): pairs of a and b above the threshold (at it too, if inclusive)."""
-    return _against(a, b, lambda sims, ids, names: np.nonzero(sims >= threshold if inclusive else sims > threshold))
 
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(p):
+            return pd.DataFrame({"id": [], "nbr": [], "similarity": []})
+        sims = _similarities(q, p)
+        i, j = np.nonzero(sims >= threshold if inclusive else sims > threshold)
+        return pd.DataFrame({"id": q["id"].to_numpy()[i], "nbr": p["id"].to_numpy()[j], "similarity": sims[i, j]})
+
+    return _units(a.select("id", "vec"), b.select("id", "vec"), run, "id string, nbr string, similarity double")
+
+
+def threshold_sweep(a: DataFrame, b: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, predicted, true, precision, recall, f1, best) of predicting that two vectors have one group
+    where they are at least so similar. a, b: (id, vec, group).
+
+    A unit gives its counts for each threshold and no pairs; best marks the greatest f1, the least threshold of equals."""
+
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(p):
+            return pd.DataFrame({"threshold": [], "predicted": [], "true": []})
+        sims = _similarities(q, p)
+        same = q["group"].to_numpy()[:, None] == p["group"].to_numpy()[None, :]
+        return pd.DataFrame({"threshold": thresholds, "predicted": [int((sims >= t).sum()) for t in thresholds], "true": [int((same & (sims >= t)).sum()) for t in thresholds]})
 
-def threshold_sweep(pairs: DataFrame, positives: int, thresholds: list[float]) -> DataFrame:
-    """(threshold, predicted, true, precision, recall, f1). pairs: (similarity, same)."""
-    each = pairs.select("similarity", "same", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).filter("similarity >= threshold")
-    base = pairs.sparkSession.createDataFrame([(x,) for x in thresholds], "threshold double")
-    got = each.groupBy("threshold").agg(F.count("*").alias("predicted"), F.count_if("same").alias("true"))
-    got = base.join(got, "threshold", "left").na.fill(0)
+    each = _units(a.select("id", "vec", "group"), b.select("id", "vec", "group"), run, "threshold double, predicted long, true long")
+    sizes = a.groupBy("group").agg(F.count("*").alias("n")).join(b.groupBy("group").agg(F.count("*").alias("m")), "group")
+    positives = sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("positives"))
+    got = each.groupBy("threshold").agg(F.sum("predicted").alias("predicted"), F.sum("true").alias("true")).crossJoin(F.broadcast(positives))
     p = F.when(F.col("predicted") > 0, F.col("true") / F.col("predicted")).otherwise(0.0)
-    r = F.lit(0.0) if positives == 0 else F.col("true") / F.lit(positives)
-    got = got.withColumn("precision", p).withColumn("recall", r)
-    return got.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+    r = F.when(F.col("positives") > 0, F.col("true") / F.col("positives")).otherwise(0.0)
+    f = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
+    out = got.withColumn("precision", p).withColumn("recall", r).withColumn("f1", f).drop("positives")
+    # a row a threshold: the window is over their number
+    return out.withColumn("best", F.row_number().over(Window.orderBy(F.desc(F.round("f1", 9)), "threshold")) == 1)

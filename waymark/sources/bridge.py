@@ -7,11 +7,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import staged
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@staged
 def career_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(person, ord, label, split): a customer's orders as quarters, labelled by the first line's brand."""
     first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("partkey"))
@@ -39,6 +42,7 @@ SQL_STEPS = """first_line as (
 )"""
 
 
+@staged
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(person, ord, label): a user's events in order of time."""
     from pyspark.sql import Window
@@ -52,24 +56,30 @@ SQL_EVENT_STEPS = """event_steps as (
 )"""
 
 
+@staged
 def dated_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(resume_id, matched_code, start_date, end_date, university_level): dated rows with quarters as text."""
+    """(resume_id, matched_code, start_date, end_date, university_level): dated rows with quarters as text.
+
+    The keys of the orders say where a date is missing or ill-formed, which rows occur twice and which
+    education has an unknown spelling, so that every step of cleaning has something to do."""
     first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("partkey"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     start = F.year("o_orderdate") * 4 + F.quarter("o_orderdate") - 1
     end = start + (F.col("o_orderkey") % 5 - 1).cast("int")
     text = lambda q: F.concat(F.lit("Q"), (q % 4 + 1).cast("string"), F.lit(" "), F.floor(q / 4).cast("string"))
     level = F.element_at(F.array(*map(F.lit, LEVELS)), F.substring("o_orderpriority", 1, 1).cast("int"))
+    key = F.col("o_orderkey")
     return (
         table(spark, sf_dir, "orders")
-        .join(first, F.col("o_orderkey") == F.col("l_orderkey"))
+        .join(first, key == F.col("l_orderkey"))
         .join(part, F.col("partkey") == F.col("p_partkey"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(key % 23 == 0, 2).otherwise(1))))
         .select(
             F.col("o_custkey").alias("resume_id"),
             F.when(F.col("o_orderstatus") == "P", "unknown").otherwise(F.col("p_brand")).alias("matched_code"),
-            text(start).alias("start_date"),
-            F.when(F.col("o_orderkey") % 7 != 0, text(end)).alias("end_date"),
-            level.alias("university_level"),
+            F.when(key % 17 == 0, "2000-Q1").when(key % 13 != 0, text(start)).alias("start_date"),
+            F.when(key % 7 != 0, text(end)).alias("end_date"),
+            F.when(key % 19 == 0, "Diploma").otherwise(level).alias("university_level"),
         )
     )
 
@@ -78,16 +88,23 @@ def dated_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEVELS = ("PhD", "Master", "Bachelor", "Secondary school", "None")
 
 SQL_DATED = SQL_STEPS.split("), steps")[0] + """), dated_raw as (
-  select o_custkey as resume_id, case when o_orderstatus = 'P' then 'unknown' else p_brand end as matched_code,
-    year(o_orderdate) * 4 + quarter(o_orderdate) - 1 as s, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 + o_orderkey % 5 - 1 as e, o_orderkey % 7 <> 0 as has_end,
+  select o_custkey as resume_id, case when o_orderstatus = 'P' then 'unknown' else p_brand end as matched_code, o_orderkey as k,
+    year(o_orderdate) * 4 + quarter(o_orderdate) - 1 as s, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 + o_orderkey % 5 - 1 as e,
     ['PhD', 'Master', 'Bachelor', 'Secondary school', 'None'][cast(substr(o_orderpriority, 1, 1) as int)] as university_level
   from orders join first_line on o_orderkey = l_orderkey join part on l_partkey = p_partkey
 ), dated as (
-  select resume_id, matched_code, 'Q' || (s % 4 + 1) || ' ' || (s // 4) as start_date,
-    case when has_end then 'Q' || (e % 4 + 1) || ' ' || (e // 4) end as end_date, university_level from dated_raw
+  select resume_id, matched_code, case when k % 17 = 0 then '2000-Q1' when k % 13 <> 0 then 'Q' || (s % 4 + 1) || ' ' || (s // 4) end as start_date,
+    case when k % 7 <> 0 then 'Q' || (e % 4 + 1) || ' ' || (e // 4) end as end_date, case when k % 19 = 0 then 'Diploma' else university_level end as university_level
+  from dated_raw, unnest(range(case when k % 23 = 0 then 2 else 1 end))
 )"""
 
 
+def code_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(code, role): the role of each code; codes that end in 7 are left out on purpose, to be unmapped."""
+    return roles_a(spark, sf_dir).filter("esco_code not like '%7'").select(F.col("esco_code").alias("code"), F.col("id").alias("role"))
+
+
+@staged
 def roles_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, type, source, title, isco_group, esco_code): a role a brand."""
     no = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
@@ -104,6 +121,7 @@ SQL_ROLES_A = """roles_a as (
 )"""
 
 
+@staged
 def roles_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, type, source, title, isco_group, job_zone, typical_education_level): a role a supplier."""
     level = F.element_at(F.array(*map(F.lit, LEVELS)), (F.col("s_suppkey") % 5 + 1).cast("int"))
@@ -120,6 +138,7 @@ SQL_ROLES_B = """roles_b as (
 )"""
 
 
+@staged
 def requires(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, relation, source, requirement_level, importance, level_score): roles and their skills."""
     part = table(spark, sf_dir, "part")
@@ -156,6 +175,7 @@ SQL_REQUIRES = """requires as (
 )"""
 
 
+@staged
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, vec): embeddings 1 to 25 for brands, from 100 on for suppliers."""
     suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("b:"), F.col("s_suppkey").cast("string")).alias("id"), (F.col("s_suppkey") + 100).alias("vec_id"))

@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables that are worked out once for each session."""
 
 from __future__ import annotations
 
@@ -6,17 +6,43 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+Build = Callable[[SparkSession, str], DataFrame]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path for a new folder below spark.checkpoint.dir. Where that is unset, a local session gets a
     folder of its own, which goes when Python ends; on a cluster the warehouse folder is used."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not base and (master == "local" or master.startswith("local[")):
         base = tempfile.mkdtemp(prefix="waymark-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     base = (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
     return f"{base}/waymark-{label}-{uuid.uuid4().hex}"
+
+
+_STAGES: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+
+def staged(build: Build) -> Build:
+    """`build`'s table, written as Parquet in the shared folder when it is first asked for and read from
+    there by every later query of the session over the same tables: plans stay short, no helper is
+    worked out twice, and a lost executor costs nothing that was done before."""
+
+    @wraps(build)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, f"{build.__module__}.{build.__qualname__}")
+        if key not in _STAGES:
+            df, path = build(spark, sf_dir), new_folder(spark, build.__name__)
+            df.write.option("compression", "zstd").parquet(path)
+            _STAGES[key] = path, df.schema
+        path, schema = _STAGES[key]
+        return spark.read.schema(schema).parquet(path)
+
+    return get
