@@ -10,7 +10,7 @@ from ..operators import scoring as sc
 from ..operators import trajectories as t
 from ..operators import vectors as v
 from ..sources import bridge as b
-from .graph_queries import _IDF, GRAPH, nodes, transition_edges
+from .graph_queries import _IDF, GRAPH, alignment_pairs, idf_table, nodes, transition_edges
 from .model_queries import _NEAR, _S, _SMOOTH_RANK, _VEC, brand_neighbours, direct_predictions, role_vectors, smooth_predictions
 from .trajectory_queries import train_counts
 
@@ -46,7 +46,7 @@ def current_roles(s, d):
 
 
 def idf(s, d):
-    return g.idf(b.requires(s, d), nodes(s, d).count())
+    return idf_table(s, d)
 
 
 def targets(s, d):

@@ -187,3 +187,58 @@ SQL_VECTORS = """vector_ids as (
   select id, cast(regexp_extract(title, '(\\d+)$', 1) as bigint) as vec_id from roles_a
   union all select 'b:' || s_suppkey, s_suppkey + 100 from supplier
 ), vectors as (select id, embedding as vec from vector_ids join embeddings using (vec_id))"""
+
+
+# Titles of job zones by number; the fifth has none.
+ZONES = {1: "little preparation", 2: "some", 3: "medium", 4: "considerable"}
+SQL_ZONE = "case job_zone when 1 then 'little preparation' when 2 then 'some' when 3 then 'medium' when 4 then 'considerable' end"
+
+
+def all_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, type, source, title): a skill a part name."""
+    return table(spark, sf_dir, "part").select("p_name").distinct().select(F.concat(F.lit("s:"), "p_name").alias("id"), F.lit("skill").alias("type"), F.lit("esco").alias("source"), F.col("p_name").alias("title"))
+
+
+@staged
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, type, source, title, code): occupation groups, of two digits for nations and of four for roles; skill
+    groups, one for each last word of a skill and one for all."""
+    two = table(spark, sf_dir, "nation").select((10 + F.col("n_nationkey")).cast("string").alias("code"), F.col("n_name").alias("title"))
+    four = roles_a(spark, sf_dir).select(F.col("isco_group").alias("code")).distinct().select("code", F.concat(F.lit("Group "), "code").alias("title"))
+    a = two.unionByName(four).select(F.concat(F.lit("i:"), "code").alias("id"), F.lit("isco_group").alias("type"), F.lit("esco").alias("source"), "title", "code")
+    noun = table(spark, sf_dir, "part").select(F.element_at(F.split("p_name", " "), -1).alias("title")).distinct().unionByName(spark.range(1).select(F.lit("all").alias("title")))
+    z = noun.select(F.concat(F.lit("g:"), "title").alias("id"), F.lit("skill_group").alias("type"), F.lit("esco").alias("source"), "title", F.lit(None).cast("string").alias("code"))
+    return a.unionByName(z)
+
+
+def skill_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(level_0, level_1, level_2): the skills' hierarchy as level columns; gizmos have no middle level."""
+    noun = F.element_at(F.split("title", " "), -1)
+    return all_skills(spark, sf_dir).select(F.lit("g:all").alias("level_0"), F.when(noun != "gizmo", F.concat(F.lit("g:"), noun)).alias("level_1"), F.col("id").alias("level_2"))
+
+
+def skill_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(skill, other, relation_type): of each skill with the red one of its kind."""
+    one = all_skills(spark, sf_dir).select("id", F.element_at(F.split("title", " "), 1).alias("how"), F.element_at(F.split("title", " "), -1).alias("noun"))
+    red = one.filter("how = 'red'").select(F.col("id").alias("other"), "noun")
+    kind = F.when(F.col("how") == "old", "skill narrower than skill").when(F.col("how") == "hot", "http://data/model#Broader").otherwise("related")
+    return one.filter("how <> 'red'").join(red, "noun").select(F.col("id").alias("skill"), "other", kind.alias("relation_type"))
+
+
+SQL_TAXONOMY = f"""all_skills as (select distinct 's:' || p_name as id, 'skill' as type, 'esco' as source, p_name as title from part
+), groups_ as (
+  select 'i:' || (10 + n_nationkey) as id, 'isco_group' as type, 'esco' as source, n_name as title, cast(10 + n_nationkey as varchar) as code from nation
+  union all select distinct 'i:' || isco_group, 'isco_group', 'esco', 'Group ' || isco_group, isco_group from roles_a
+  union all select 'g:' || t, 'skill_group', 'esco', t, null from (select distinct split_part(p_name, ' ', -1) as t from part union all select 'all')
+), kinds as (select id, split_part(title, ' ', 1) as how, split_part(title, ' ', -1) as noun from all_skills
+), lv as (select 'g:all' as x, case when noun <> 'gizmo' then 'g:' || noun end as y, id as z from kinds
+), tax as (
+  select src, dst, 'REQUIRES' as relation, 'esco' as source, null as pillar, requirement_level from requires where source = 'esco'
+  union all select a.id, g.id, 'BELONGS_TO', 'esco', null, null from roles_a a join groups_ g on g.code = a.isco_group
+  union all select * from (with b(id, broader, pillar) as (
+    select 'i:' || isco_group, 'i:' || substr(isco_group, 1, 2), null from (select distinct isco_group from roles_a)
+    union all select id, 'i:' || isco_group, 'occupations' from roles_a
+    union all select * from (select distinct y, x, 'skills' from lv where y is not null union all select distinct z, y, 'skills' from lv where y is not null)
+  ) select id, broader, 'BROADER_THAN', 'esco', pillar, null from b union all select broader, id, 'NARROWER_THAN', 'esco', pillar, null from b)
+  union all select a.id, r.id, case a.how when 'old' then 'NARROWER_THAN' else 'BROADER_THAN' end, 'esco', 'skills', null from kinds a join kinds r on r.noun = a.noun and r.how = 'red' where a.how in ('old', 'hot')
+)"""
