@@ -2,44 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import released, stored
+from .common import over_batches, released, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of `edges` (a, b, both long): label is the least node that can be reached.
 
-    Two steps alternate until no edge changes. Large star: every neighbour of a node that is greater
-    than it is tied to the least of its neighbourhood. Small star: a node and its lesser neighbours
-    are tied to the least of these. Neither takes a component apart or makes more edges than there
-    were, and a path of n nodes ends after some log n rounds (of any graph, at most its square). Least nodes are summed up before they are shuffled and joins
-    can split large keys, so a node with very many edges is no hot spot. Each round's edges are
+    A batch of edges that lies together is contracted where it lies. Then two steps alternate until no
+    edge changes. Large star: every neighbour of a node that is greater than it is tied to the least of
+    its neighbourhood. Small star: a node and its lesser neighbours are tied to the least of these. Neither
+    takes a component apart or makes more edges than there were, and a path of n nodes ends after some
+    log n rounds (of any graph, at most its square). Least nodes are summed up before they are shuffled
+    and joins can split large keys, so a node with very many edges is no hot spot. Each round's edges are
     stored, and those before them removed. Rows with a null end are skipped, an edge from a node to
     itself names the node, repeated edges count once; an empty table has no components."""
-    known = edges.filter("a is not null and b is not null")
-    links = stored(known.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    known = edges.filter("a is not null and b is not null").select("a", "b")
+    links, _ = _observed(over_batches(known, _contracted, "u long, v long").distinct(), "links")
     loops = links.filter("u = v").select(F.col("u").alias("node"))
-    now, before = links.filter("u > v"), [links]
-    state = _state(now)
+    now, state = links.filter("u > v"), None
+    before = None
     while True:
-        large = stored(_large_star(now), "large-star")
-        small = stored(_small_star(large), "small-star")
-        released(large, *(x for x in before if x is not links))
-        now, before = small, [small]
-        if (new := _state(now)) == state:
+        new, found = _observed(_small_star(_large_star(now)), "stars")
+        if before is not None:
+            released(before)
+        now = before = new
+        if found == state or not found[0]:
             break
-        state = new
+        state = found
     least = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     alone = loops.join(now.select("u").union(now.select("v")).distinct(), F.col("node") == F.col("u"), "left_anti").select("node", F.col("node").alias("label"))
     return least.union(roots).union(alone)
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Number and order-free digest of distinct edges: equal edge tables have equal ones."""
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.expr("shiftright(xxhash64(v, u), 20)"))).first())
+def _contracted(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's edges as (node, least node that the batch ties it to)."""
+    ends, place = np.unique(np.concatenate([batch.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+    a, b = place[: batch.num_rows], place[batch.num_rows :]
+    label = np.arange(len(ends))
+    while True:  # labels only fall, along edges and then to their own labels
+        old = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        np.minimum.at(label, old[a], low)
+        np.minimum.at(label, old[b], low)
+        label = label[label]
+        if (label == old).all():
+            break
+    roots = label == np.arange(len(ends))
+    alone = roots & (np.bincount(label, minlength=len(ends)) == 1)
+    keep = ~roots | alone
+    yield {"u": ends[keep], "v": ends[label[keep]]}
+
+
+def _observed(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+    """The stored table of distinct edges, with their number and an order-free digest: equal tables have equal ones."""
+    seen = Observation()
+    out = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("digest")), label)
+    return out, (seen.get["n"], seen.get["digest"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -349,44 +349,15 @@ def _near(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> np.n
     return (100 + percent) * (sizes - apart) >= 2 * percent * sizes
 
 
-def _across(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets of different groups that can still link, by all columns they share.
+def _by_unit(mixed: DataFrame, columns: list[str], of_unit: Callable, schema: str) -> DataFrame:
+    """of_unit(whether two blocks meet, own blocks, *columns) of each unit of `mixed` (token, blocks, set_id, ...).
 
-    mixed: (token, set_id, place, label, lead, blocks), the columns of several groups. A column of many
-    entries is cut into blocks, and each pair of blocks is a unit of bounded size. Inside it sizes,
-    groups and sketches decide which pairs leave; of sets that share much and don't link, few do.
-    Pairs that a common lead has brought together before are left out."""
+    A column of many entries is cut into blocks, and each pair of blocks is a unit of bounded size."""
     block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    spread = mixed.join(sketches, "set_id").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = spread.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "place", "label", "lead", "sketch")
-    schema = "a long, b long, size_a long, size_b long, early boolean"
+    spread = mixed.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = spread.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *[c for c in columns if c != "token"])
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def of_unit(cross: bool, own, s, p, label, lead, raw: list[bytes]) -> Iterator[tuple]:
-        size, at = p >> 32, p & 0xFFFFFFFF
-        length = np.array(list(map(len, raw)))
-        classes = {k: np.flatnonzero(length == k) for k in np.unique(length).tolist()}
-        bits = {k: np.frombuffer(b"".join([raw[i] for i in v]), np.uint8).reshape(-1, k) for k, v in classes.items()}
-        for k, v in classes.items():
-            for k2, v2 in classes.items():
-                if k2 < k or 100 * size[v].max() < percent * size[v2].min() or 100 * size[v2].max() < percent * size[v].min():
-                    continue
-                x, y = bits[k].view(np.uint64), np.ascontiguousarray(folded(bits[k2], k)).view(np.uint64)
-                step = max(1, 4_000_000 // k // len(v2))
-                for r in range(0, len(v), step):
-                    q, z = v[r : r + step, None], v2[None, :]
-                    ok = (s[q] < s[z]) if k == k2 else (s[q] != s[z])
-                    ok &= (label[q] != label[z]) & (100 * np.minimum(size[q], size[z]) >= percent * np.maximum(size[q], size[z]))
-                    ok &= (lead[q] != lead[z]) & (lead[q] != s[z]) & (s[q] != lead[z])
-                    if cross:
-                        ok &= own[q] != own[z]
-                    m, o = np.nonzero(ok)
-                    m += r
-                    keep = _near(x[m], y[o], size[v[m]] + size[v2[o]], percent)
-                    m, o = v[m[keep]], v2[o[keep]]
-                    m, o = np.where(s[m] < s[o], m, o), np.where(s[m] < s[o], o, m)
-                    yield s[m], s[o], size[m], size[o], _may_link(size[m], at[m], size[o], at[o], percent)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in _with_end(batches):
@@ -396,29 +367,66 @@ def _across(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             t, i, j = (table.column(c).to_numpy() for c in ("token", "i", "j"))
             new = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             stop = len(t) if batch is None else new[-1]
-            columns = [table.column(c).to_numpy() for c in ("own", "set_id", "place", "label", "lead")]
-            raw = table.column("sketch").to_pylist() if stop else []
+            some = table.slice(0, stop)
+            values = [some.column(c).to_pylist() if c == "sketch" else some.column(c).to_numpy() for c in ("own", *columns)]
             bounds = np.append(new[new < stop], stop)
             for x, y in zip(bounds[:-1], bounds[1:], strict=True):
-                if y - x < 2:
-                    continue
-                for found in of_unit(i[x] != j[x], *(c[x:y] for c in columns), raw[x:y]):
-                    if len(found[0]):
-                        yield pa.RecordBatch.from_pydict(dict(zip(arrow.names, found, strict=True)), schema=arrow)
+                if y - x > 1:
+                    for found in of_unit(i[x] != j[x], *(c[x:y] for c in values)):
+                        if len(found[0]):
+                            yield pa.RecordBatch.from_pydict(dict(zip(arrow.names, found, strict=True)), schema=arrow)
             rest = table.slice(stop) if batch is not None else None
 
-    pairs = unit.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, schema)
-    met = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.max("early").alias("early"))
-    return met.filter(F.col("early") & _enough(percent)).select("a", "b")
+    return unit.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, schema)
+
+
+def _meet(q, z, cross: bool, own, s, p, label, lead, percent: int) -> np.ndarray:
+    """Whether this may be the first column that the entries q (a column of places) and z (a row) share, and nothing else
+    forbids that their sets link: groups and leads differ, and sizes and places leave enough to have in common."""
+    size, at = p >> 32, p & 0xFFFFFFFF
+    ok = (s[q] != s[z]) & (label[q] != label[z]) & (lead[q] != lead[z]) & (lead[q] != s[z]) & (s[q] != lead[z]) & _may_link(size[q], at[q], size[z], at[z], percent)
+    return ok & (own[q] != own[z]) if cross else ok
+
 
+def _meeting(mixed: DataFrame, percent: int) -> DataFrame:
+    """The entries of `mixed` that have one to meet in their column: at most as many rows as come in for each unit.
 
-def _enough(percent: int):
-    """Whether sets of sizes size_a and size_b that share n columns can have enough in common.
+    Most of those that share a column by a common passage have none, so little is left to carry sketches."""
+    columns = ["token", "set_id", "place", "label", "lead", "blocks"]
+
+    def of_unit(cross: bool, own, token, s, p, label, lead, blocks) -> Iterator[tuple]:
+        every, kept = np.arange(len(s)), np.zeros(len(s), bool)
+        step = max(1, 2_000_000 // len(s))
+        for r in range(0, len(s), step):
+            kept[r : r + step] = _meet(every[r : r + step, None], every[None, :], cross, own, s, p, label, lead, percent).any(axis=1)
+        yield tuple(c[kept] for c in (token, s, p, label, lead, blocks))
+
+    return _by_unit(mixed, columns, of_unit, "token long, set_id long, place long, label long, lead long, blocks int").distinct()
+
+
+def _across(entries: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different groups that can still link: those of which a column may be the first that they
+    share, and whose sketches bound the overlap by enough. entries: as from _meeting. Pairs that a common lead
+    has brought together before are left out. Of sets that share much and don't link, few leave the task."""
+
+    def of_unit(cross: bool, own, s, p, label, lead, raw: list[bytes]) -> Iterator[tuple]:
+        size, length = p >> 32, np.array(list(map(len, raw)))
+        classes = {k: np.flatnonzero(length == k) for k in np.unique(length).tolist()}
+        bits = {k: np.frombuffer(b"".join([raw[i] for i in v]), np.uint8).reshape(-1, k) for k, v in classes.items()}
+        for k, v in classes.items():
+            for k2, v2 in classes.items():
+                if k2 < k or 100 * size[v].max() < percent * size[v2].min() or 100 * size[v2].max() < percent * size[v].min():
+                    continue
+                x, y = bits[k].view(np.uint64), np.ascontiguousarray(folded(bits[k2], k)).view(np.uint64)
+                step = max(1, 4_000_000 // k // len(v2))
+                for r in range(0, len(v), step):
+                    m, o = np.nonzero(_meet(v[r : r + step, None], v2[None, :], cross, own, s, p, label, lead, percent))
+                    m += r
+                    keep = _near(x[m], y[o], size[v[m]] + size[v2[o]], percent)
+                    m, o = s[v[m[keep]]], s[v2[o[keep]]]
+                    yield np.minimum(m, o), np.maximum(m, o)
 
-    Of the two the one whose columns end first has all further common n-grams among those behind its
-    columns, which are one fewer than the least overlap that its own size asks for."""
-    rest = F.expr(f"greatest(ceil({percent} * size_a / 100), ceil({percent} * size_b / 100)) - 1")
-    return (F.col("n") + rest) * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))
+    return _by_unit(entries.join(sketches, "set_id"), ["set_id", "place", "label", "lead", "sketch"], of_unit, "a long, b long").distinct()
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table | None]:
@@ -473,10 +481,11 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     labelled = named.select("token", "set_id", "place", F.coalesce("label", "set_id").alias("label"), F.coalesce("lead", "set_id").alias("lead"))
     several = labelled.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     mixed = stored(labelled.join(several.select("token", F.ceil(F.col("n") / _BLOCK_ROWS).cast("int").alias("blocks")), "token"), "mixed")
-    uses = stored(mixed.groupBy("set_id").agg(F.count("*").alias("n_uses")), "uses")
     released(entries, members)
-    second = test(_across(mixed, _sketches(docs, distinct.join(uses, "set_id"), uses, n), percent))
-    released(mixed, uses)
+    meeting = stored(_meeting(mixed, percent), "meeting")
+    uses = stored(meeting.groupBy("set_id").agg(F.count("*").alias("n_uses")), "uses")
+    second = test(_across(meeting, _sketches(docs, distinct.join(uses, "set_id"), uses, n), percent))
+    released(mixed, meeting, uses)
     if second.filter("linked").limit(1).count():
         labels = components(first.unionByName(second.filter("linked").select("a", "b")))
 
