@@ -3,7 +3,9 @@
 Numbers, units and names become typed placeholders, so a question and the same question with other
 parameters have one template. Windows of template words are hash-joined with those of the benchmark.
 What stood in a window's slots must then map consistently: along one alignment of a document with
-an item, a slot's value in the item always meets the same value in the document.
+an item, most slots of equal values in the item meet equal values in the document. It is a share that
+is judged, so that two slots which happen to have one value in the item may part in a
+re-parameterised copy, and one altered mention doesn't hide a long copy.
 """
 
 from __future__ import annotations
@@ -77,26 +79,41 @@ def _windows(size: Column) -> Column:
 
 
 def _item_windows(benchmark: DataFrame, window: int, least_words: int) -> DataFrame:
-    """(item_id, n_windows, ipos, size, hash, item_raw, slots): the windows of every item that hold
+    """(item_id, n_windows, n_words, ipos, size, hash, item_raw, slots): the windows of every item that hold
     at least `least_words` plain words, or as many as the item has if it is shorter. An item shorter
     than a window is one window."""
     words = _with_template(benchmark.select("item_id", "text"), "text").filter(F.size("w.h") > 0)
     sized = words.withColumn("size", F.least(F.lit(window), F.size("w.h")))
-    w = sized.select("item_id", "size", "w", F.posexplode(_windows(F.col("size"))).alias("ipos", "hash"))
+    w = sized.select("item_id", "size", "w", F.size("w.h").alias("n_words"), F.posexplode(_windows(F.col("size"))).alias("ipos", "hash"))
     part = lambda c: F.slice(c, F.col("ipos") + 1, F.col("size"))
-    w = w.select("item_id", "size", "ipos", "hash", part("w.raw").alias("item_raw"), part("w.slot").alias("slots"))
+    w = w.select("item_id", "size", "n_words", "ipos", "hash", part("w.raw").alias("item_raw"), part("w.slot").alias("slots"))
     w = w.filter(F.size(F.filter("slots", lambda s: ~s)) >= F.least(F.lit(least_words), F.col("size")))
     total = w.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_windows"))
     return w.join(total, "item_id").dropDuplicates(["item_id", "ipos", "hash"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_words: int = 4, coverage: float = 0.4) -> DataFrame:
-    """(doc_id, text_hash, item_id, n_windows, n_matched, n_exact, coverage): documents that hold an item.
+def _consistency(slots: Column) -> Column:
+    """Share of an alignment's slots (pos, k, v) whose document value v is the most frequent one of its item
+    value k; 1 without slots."""
+    most = lambda k, all_: F.array_max(F.transform(all_, lambda y: F.size(F.filter(all_, lambda x: (x["k"] == k) & (x["v"] == y["v"])))))
 
-    docs: (doc_id, text), benchmark: (item_id, text). A row a document and item of which at least
-    `coverage` of the item's windows occur on alignments whose slots are consistent; n_exact counts the windows
-    with the item's own values. Null and empty texts hold nothing, null item ids are skipped, rows of
-    `docs` with equal id and text are one. No Python runs here.
+    def share(all_: Column) -> Column:
+        keys = F.array_distinct(F.transform(all_, lambda x: x["k"]))
+        kept = F.aggregate(keys, F.lit(0), lambda n, k: n + most(k, all_))
+        return F.when(F.size(all_) == 0, 1.0).otherwise(kept / F.size(all_))
+
+    return _let(slots, share)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_words: int = 4, coverage: float = 0.4, words: float = 0.6, consistent: float = 0.5) -> DataFrame:
+    """(doc_id, text_hash, item_id, n_windows, n_matched, n_exact, coverage, word_coverage): documents that hold an item.
+
+    docs: (doc_id, text), benchmark: (item_id, text). Only alignments count of whose slots a share of
+    `consistent` or more maps consistently. A row a document and item of which at least `coverage` of the
+    windows occur there, or whose windows there cover two windows' length and `words` of the item's
+    words, as in a copy with edits all over; n_exact counts the windows with the item's own values.
+    Null and empty texts hold nothing, null item ids are skipped, rows of `docs` with equal id and text
+    are one. No Python runs here.
 
     Every window of every document is hashed where it is read; the benchmark's windows are counted
     and broadcast up to BROADCAST_WINDOWS, so only matches are shuffled. Beyond that the windows are
@@ -110,24 +127,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_w
         some = items.filter(F.col("size") == size)
         here = base.select("doc_id", "text_hash", "w", F.posexplode(_windows(F.lit(size))).alias("pos", "hash"))
         found = here.join(F.broadcast(some) if small else some, "hash").select(
-            "doc_id", "text_hash", "item_id", "n_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.slice("w.raw", F.col("pos") + 1, size).alias("raw"), "item_raw", "slots"
+            "doc_id", "text_hash", "item_id", "n_windows", "n_words", "size", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.slice("w.raw", F.col("pos") + 1, size).alias("raw"), "item_raw", "slots"
         )
         hits = found if hits is None else hits.unionByName(found)
-    pairs = F.array_distinct(F.filter(F.transform(F.arrays_zip("slots", "item_raw", "raw"), lambda x: F.when(x["slots"], F.struct(x["item_raw"].alias("k"), x["raw"].alias("v")))), lambda x: x.isNotNull()))
+    slot = lambda x, i: F.when(x["slots"], F.struct((F.col("ipos") + i).alias("pos"), x["item_raw"].alias("k"), x["raw"].alias("v")))
+    slots = F.filter(F.transform(F.arrays_zip("slots", "item_raw", "raw"), slot), lambda x: x.isNotNull())
     aligned = hits.groupBy("doc_id", "text_hash", "item_id", "shift").agg(
-        F.max("n_windows").alias("n_windows"),
+        F.max("n_windows").alias("n_windows"), F.max("n_words").alias("n_words"), F.max("size").alias("size"),
         F.collect_set("ipos").alias("at"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("map"),
+        F.array_distinct(F.flatten(F.collect_set(slots))).alias("map"),
         F.count_if(F.col("raw") == F.col("item_raw")).alias("n_exact"),
-    )
-    one_to_one = F.size("map") == F.size(F.array_distinct(F.transform("map", lambda x: x["k"])))
+    )
+    cover = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + F.col("size") - 1))))
     return (
-        aligned.filter(one_to_one)
+        aligned.filter(_consistency(F.col("map")) >= consistent)
+        .withColumn("cover", cover)
         .groupBy("doc_id", "text_hash", "item_id")
-        .agg(F.max("n_windows").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_matched"), F.sum("n_exact").alias("n_exact"))
+        .agg(
+            F.max("n_windows").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_matched"), F.sum("n_exact").alias("n_exact"),
+            F.max("n_words").alias("n_words"), F.max("size").alias("size"), F.size(F.array_distinct(F.flatten(F.collect_list("cover")))).alias("n_covered"),
+        )
         .withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
-        .filter(F.col("coverage") >= coverage)
-    )
+        .withColumn("word_coverage", F.col("n_covered") / F.col("n_words"))
+        .filter((F.col("coverage") >= coverage) | ((F.col("word_coverage") >= words) & (F.col("n_covered") >= 2 * F.col("size"))))
+        .select("doc_id", "text_hash", "item_id", "n_windows", "n_matched", "n_exact", "coverage", "word_coverage")
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
