@@ -144,6 +144,40 @@ def test_inconsistent_slots_are_no_match(spark):
     assert decontamination.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def words_of(item, n, r):
+    return ["".join(r.choices("abcdefghijklmnop", k=9)) for _ in range(n)]
+
+
+def test_slots_of_one_value_may_part_and_altered_copies_are_found(spark):
+    r = random.Random(8)
+    tail = " ".join(words_of(None, 10, r))
+    twice = f"she buys 2 apples and also 2 pears at the market before noon {tail}"
+    parted = f"she buys 3 apples and also 5 pears at the market before noon {tail}"
+    long_item = " ".join(x for k in range(12) for x in [*words_of(None, 4, r), "Mara" if k % 3 == 0 else "and"])
+    altered = long_item.replace("Mara", "Ines", 1)
+    spread = words_of(None, 38, r)
+    edited = list(spread)
+    for at in (9, 19, 29):
+        edited[at] = "changed"
+    half = " ".join(spread[:12] + words_of(None, 30, r))
+    docs = spark.createDataFrame([(1, parted), (2, f"so {altered}"), (3, " ".join(edited)), (4, half), (3, " ".join(edited))], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, twice), (20, f"so {long_item}"), (30, " ".join(spread))], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.contaminated(docs, bench).collect()}
+    assert got == {(1, 10), (2, 20), (3, 30)}
+
+
+def test_windows_beyond_the_broadcast_are_joined_by_hash(spark, monkeypatch):
+    r = random.Random(2)
+    items = [(k, " ".join(words_of(None, 20, r))) for k in range(30)]
+    long_text = " ".join([*words_of(None, 30_000, r), items[3][1], *words_of(None, 500, r)])
+    docs = spark.createDataFrame([(1, items[7][1]), (2, long_text), (3, long_text[:9000])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    few = sorted(tuple(x) for x in decontamination.contaminated(docs, bench).drop("text_hash").collect())
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    assert sorted(tuple(x) for x in decontamination.contaminated(docs, bench).drop("text_hash").collect()) == few
+    assert [x[:2] for x in few] == [(1, 7), (2, 3)]
+
+
 def test_url_rules_equal_a_plain_search(spark):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("a.b.com", "/", "block"), ("b.com", "", "allow"), ("b.com", "/x", "block")]
     hosts = ["org", "example.org", "blog.Example.org", "notexample.org", "com", "b.com", "a.b.com", "z.a.b.com", "ab.com", "net", "", "org.", "x..org"]
@@ -218,6 +252,35 @@ def test_swaps_keep_neutral_mentions_neutral(spark):
     assert toxicity.clean(odd, fair).count() == sum(r.predicted == 0 for r in got)
 
 
+def test_mentions_are_put_into_texts_that_have_none():
+    forms = toxicity.counterfactuals("plain words")
+    assert len(forms) == 3 and forms[0] == "plain words" and forms[1] != forms[2] and all(x.startswith("plain words ") for x in forms[1:])
+    assert toxicity.counterfactuals("two Women here") == ["two Women here", "two men here"]
+    assert len(toxicity.counterfactuals("")) == 3
+
+
+def test_false_positives_on_neutral_mentions_fall_with_the_penalty(spark):
+    """Stems of toxic words that are also stems of identity terms: without the penalty a mention raises the score."""
+    r = random.Random(4)
+    v = vocabulary(r)
+    rows = []
+    for i in range(500):
+        w = r.choices(v, k=25)
+        if i % 4 == 0:
+            w[r.randrange(25)] = r.choice(["whitener", "muslimo", "blackest", "gaylord"])
+        rows.append((f"doc{i}", " ".join(w), int(i % 4 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [rows[0][:2]], "doc_id string, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id string, toxic int")
+    clean = [t for _, t, y in rows if not y][:100]
+    flagged = {}
+    for weight in (0.0, 1.0):
+        model = toxicity.fit(docs, labels, toxicity.Settings(counterfactual=weight))
+        flagged[weight] = sum((model.scores([f"{t} {term}" for t in clean]) - model.scores(clean)).mean() for term in ("white", "muslim", "black"))
+    assert flagged[1.0] < 0.5 * flagged[0.0]
+    empty = toxicity.score(docs.limit(0), model)
+    assert empty.collect() == [] and toxicity.clean(docs.limit(0), model).collect() == []
+
+
 def test_without_labels_every_score_is_the_same(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -117,3 +117,18 @@ def test_empty_table_and_no_training_rows(spark):
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     row = katz.scores(one, F.lit(True)).collect()[0]
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (True, 3, 0, 0)
+
+
+def test_discounts_by_hand():
+    """Counts of counts 8, 3, 2, 1, 1, 1: d(r) = ((r + 1) n(r + 1) / (r n(r)) - k) / (1 - k) with k = 6 n(6) / n(1)."""
+    n = np.array([0, 100, 40, 20, 12, 8, 5], float)
+    d = katz.discounts(n)
+    k = 6 * n[6] / n[1]
+    for r in range(1, 6):
+        assert d[r] == pytest.approx(((r + 1) * n[r + 1] / (r * n[r]) - k) / (1 - k))
+
+
+def test_places_are_ordered_alike_when_one_number_is_too_small():
+    rng = np.random.default_rng(1)
+    bucket, context, word = (rng.integers(0, 50, 500) for _ in range(3))
+    assert (katz._order(20, 50, bucket, context, word) == katz._order(40, 50, bucket, context, word)).all()

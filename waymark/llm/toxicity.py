@@ -2,13 +2,15 @@
 
 Features are the words of a text and their first bytes (so that inflected forms of one stem share
 evidence), as 64-bit hashes, each seen at least once, twice or three times. Those whose document frequencies differ most between the labels are
-kept. Weights minimise logistic loss plus a penalty on the squared change of the log odds when the
-identity terms of a labelled text are swapped for others of their kind.
+kept. Weights minimise logistic loss plus a penalty on the squared change of the log odds under
+counterfactuals: the identity terms of a labelled text are swapped for others of their kind; a text
+without any gets a neutral mention of a group, which may change nothing, and then another group's.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,21 +22,22 @@ from pyspark.sql import functions as F
 from .common import over_batches, stored, texts_of
 from .words import NOT_ALNUM, Words, hash_of
 
-# Identity terms, in groups whose members may stand for each other.
+# Identity terms in English, German, French and Spanish, in groups whose members may stand for each other.
 IDENTITY_GROUPS = (
-    ("women", "men"),
-    ("woman", "man"),
-    ("female", "male"),
+    ("women", "men"), ("woman", "man"), ("female", "male"),
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists", "catholics"),
     ("black", "white", "asian", "latino", "african", "european"),
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("immigrant", "native", "refugee"),
-    ("immigrants", "natives", "refugees"),
-    ("disabled", "deaf", "blind"),
-    ("elderly", "young"),
-)
+    ("immigrant", "native", "refugee"), ("immigrants", "natives", "refugees"),
+    ("disabled", "deaf", "blind"), ("elderly", "young"),
+    ("frauen", "männer"), ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"), ("schwarze", "weiße", "asiaten"), ("einwanderer", "einheimische", "flüchtlinge"), ("behinderte", "gehörlose", "blinde"),
+    ("femmes", "hommes"), ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"), ("noirs", "blancs", "asiatiques"), ("immigrés", "autochtones", "réfugiés"), ("handicapés", "sourds", "aveugles"),
+    ("mujeres", "hombres"), ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"), ("negros", "blancos", "asiáticos"), ("inmigrantes", "nativos", "refugiados"), ("discapacitados", "sordos", "ciegos"),
+)
 PREFIXES = (4, 5, 6, 7, 8)
+#: Labelled texts whose forms are hashed at once.
+_SLICE = 64
 #: Marks of a feature seen once, twice and three times or more in a text.
 _LEVELS = (np.uint64(0), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
@@ -54,7 +57,7 @@ class Settings:
     threshold: float = 0.7
 
 
-_NEXT = {w: group[(i + 1) % len(group)] for group in IDENTITY_GROUPS for i, w in enumerate(group)}
+_NEXT = {w: group[(i + 1) % len(group)] for group in reversed(IDENTITY_GROUPS) for i, w in enumerate(group)}
 _TERMS = re.compile(r"\b(" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")\b", re.I)
 
 
@@ -63,6 +66,21 @@ def swapped(text: str) -> str:
     return _TERMS.sub(lambda m: _NEXT[m[0].lower()], text)
 
 
+def mentioning(text: str) -> str:
+    """The text with a neutral mention of one identity term, which the text's own bytes choose, behind it."""
+    terms = sorted(_NEXT)
+    return f"{text} {terms[zlib.crc32(text.encode('utf-8', 'surrogatepass')) % len(terms)]}"
+
+
+def counterfactuals(text: str) -> list[str]:
+    """The text and forms of it that ought to have its score: swapped, or, of a text without identity terms,
+    with a neutral mention, and with that mention swapped."""
+    if _TERMS.search(text):
+        return [text, swapped(text)]
+    one = mentioning(text)
+    return [text, one, swapped(one)]
+
+
 def _with_levels(rows: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, feature), and the same features marked as seen twice and three times or more."""
     order = np.lexsort((feature, rows))
@@ -121,17 +139,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_weights(pairs, swaps, y: np.ndarray, n_features: int, s: Settings) -> tuple[np.ndarray, float]:
-    """Weights and bias. pairs, swaps: (row, feature) of the texts and of their swapped forms."""
+def fit_weights(pairs, changes, y: np.ndarray, n_features: int, s: Settings) -> tuple[np.ndarray, float]:
+    """Weights and bias. pairs: (row, feature) of the texts; changes: (counterfactual, feature, sign) of
+    the features that only one of its two texts has."""
     n, w, b = len(y), np.zeros(n_features), 0.0
-    (r, f), (r2, f2) = pairs, swaps
-    # rows of the difference between a text and its swapped form
-    dr, df = np.concatenate((r, r2)), np.concatenate((f, f2))
-    sign = np.concatenate((np.ones(len(r)), -np.ones(len(r2))))
+    (r, f), (dr, df, sign) = pairs, changes
+    n_changes = int(dr.max()) + 1 if len(dr) else 1
     m, v, mb, vb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
     for t in range(1, s.steps + 1):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(r, w[f], n), -50, 50)))
-        change = np.bincount(dr, sign * w[df], n)
+        change = np.bincount(dr, sign * w[df], n_changes)
         g = np.bincount(f, (p - y)[r], n_features) / n + s.ridge * w + 2 * s.counterfactual / n * np.bincount(df, sign * change[dr], n_features)
         gb = float((p - y).mean())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -145,14 +162,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """Learn from the labelled rows of `labels` (doc_id, toxic) that are found in `docs` (doc_id, text).
 
     Rows with a null doc_id or label are skipped; a document labelled twice is toxic if one label
-    says so. At most settings.max_rows rows are used: their ids are broadcast, so `docs` is
-    filtered without a shuffle, and what reaches the driver is bounded by max_rows and features.
+    says so, and of several texts of one id the first in order is taken. At most settings.max_rows
+    ids are used: they are broadcast, so `docs` is filtered without a shuffle, and what reaches the
+    driver is bounded by max_rows and features. Ids may be of any type that both tables have.
     Without labels or with one class only, every score is the share of toxic labels."""
-    spark = docs.sparkSession
-    sample = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
-    rows = [(r.doc_id, int(r.toxic)) for r in sample.collect()]
-    ids = spark.createDataFrame(rows, "doc_id long, toxic int") if rows else spark.createDataFrame([], "doc_id long, toxic int")
-    train = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").repartition(16), "toxicity-train")
+    sample = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
+    ids = stored(sample, "toxicity-ids")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    train = stored(found.repartition(16), "toxicity-train")
     n, pos = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < pos < n:
         share = min(max((pos + 0.5) / (n + 1), 0.01), 0.99) if n else 0.01
@@ -172,16 +189,29 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     keep = np.unique(np.array([r.feature for r in best] + [t - (1 << 64) if t >> 63 else t for t in terms], np.int64).view(np.uint64))
 
     def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts = texts_of(batch)
-        out = []
-        for some in (texts, [swapped(t) for t in texts]):
-            r, f = _pairs(some, keep)
-            out.append([x.astype(np.int32).tolist() for x in np.split(f, np.searchsorted(r, np.arange(1, len(texts))))] if texts else [])
-        yield {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "f": out[0], "g": out[1]}
-
-    found = over_batches(train, rows_of, "doc_id long, toxic int, f array<int>, g array<int>").orderBy("doc_id", "toxic", F.to_json("f")).collect()
-    flat = lambda k: (np.repeat(np.arange(len(found)), [len(x[k]) for x in found]), np.array([i for x in found for i in x[k]], np.int64))
-    w, bias = fit_weights(flat("f"), flat("g"), np.array([x.toxic for x in found], float), len(keep), settings)
+        own, up, down = [], [], []
+        for at in range(0, batch.num_rows, _SLICE):
+            forms = [counterfactuals(t) for t in texts_of(batch.slice(at, _SLICE))]
+            every = [x for some in forms for x in some]
+            r, f = _pairs(every, keep)
+            features = iter(np.split(f.astype(np.int32), np.searchsorted(r, np.arange(1, len(every)))))
+            for some in forms:
+                of = [next(features) for _ in some]
+                own.append(of[0])
+                up.append([np.setdiff1d(x, z) for x, z in zip(of, of[1:], strict=False)])
+                down.append([np.setdiff1d(z, x) for x, z in zip(of, of[1:], strict=False)])
+        yield {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "f": own, "up": up, "down": down}
+
+    id_type = train.schema["doc_id"].dataType.simpleString()
+    rows = over_batches(train, rows_of, f"doc_id {id_type}, toxic int, f array<int>, up array<array<int>>, down array<array<int>>").orderBy("doc_id").drop("doc_id").toArrow()
+    y, lists = rows.column("toxic").to_numpy().astype(float), {c: rows.column(c).combine_chunks() for c in ("f", "up", "down")}
+    flat = lambda x: (np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy())), x.flatten())
+    row, feature = flat(lists["f"])
+    # a counterfactual's number is its place among all of them
+    (one, plus), (other, minus) = (flat(lists[c].flatten()) for c in ("up", "down"))
+    plus, minus = plus.to_numpy(), minus.to_numpy()
+    sign = np.concatenate((np.ones(len(plus)), -np.ones(len(minus))))
+    w, bias = fit_weights((row, feature.to_numpy().astype(np.int64)), (np.concatenate((one, other)), np.concatenate((plus, minus)).astype(np.int64), sign), y, len(keep), settings)
     return Model(keep, w, float(bias), settings.threshold)
 
 
