@@ -266,6 +266,14 @@ def _tell(asked: DataFrame, buckets: int) -> DataFrame:
     return asked.repartition(parts(asked.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, _ROW)
 
 
+def _order(bits: int, buckets: int, bucket: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Places in order of bucket, context and word: by one number where three of `bits` fit into 63, which a
+    text of very many different words may exceed, else by all three."""
+    if 2 * bits + buckets.bit_length() <= 63:
+        return np.argsort(bucket << 2 * bits | context << bits | word, kind="stable")
+    return np.lexsort((word, context, bucket))
+
+
 def _send(docs: DataFrame, held_out: Column, model, buckets: int) -> DataFrame:
     """Rows for the buckets: distinct pairs and rare words of a chunk, with the documents that have them."""
     arrow = to_arrow_schema(StructType.fromDDL(_ROW))
@@ -294,36 +302,34 @@ def _send(docs: DataFrame, held_out: Column, model, buckets: int) -> DataFrame:
         # pairs
         at_context = np.roll(inv, 1)
         begin = len(u)
-        bits = max(20, (begin + 1).bit_length())
-        if 2 * bits + buckets.bit_length() > 63:
-            raise ValueError(f"a text with {begin} different words is too long for {buckets} buckets")
-        low = (1 << bits) - 1
+        bits = (begin + 1).bit_length()
         at_context[ends - size + 1] = begin
         v = np.append(u, BEGIN)
         hot = m.hot_place(v) >= 0
         bucket_of = (mix(v) % np.uint64(buckets)).astype(np.int64)
         bucket = np.where(hot[at_context], (mix(v[at_context] ^ mix(w)) % np.uint64(buckets)).astype(np.int64), bucket_of[at_context])
-        key = bucket << 2 * bits | at_context << bits | inv
-        by = np.argsort(key, kind="stable")
-        key, where = key[by], doc[by]
-        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        pair, count = key[new], np.diff(np.append(new, len(key)))
-        cut = np.searchsorted(pair >> 2 * bits, np.arange(buckets + 1))
+        by = _order(bits, buckets, bucket, at_context, inv)
+        where = doc[by]
+        in_bucket, in_context, in_word = bucket[by], at_context[by], inv[by]
+        new = np.flatnonzero(np.concatenate(([True], (in_bucket[1:] != in_bucket[:-1]) | (in_context[1:] != in_context[:-1]) | (in_word[1:] != in_word[:-1]))))
+        pair_context, pair_word, count = in_context[new], in_word[new], np.diff(np.append(new, len(by)))
+        cut = np.searchsorted(in_bucket[new], np.arange(buckets + 1))
         rows = []
         for b in range(buckets):
             x, y = cut[b], cut[b + 1]
             if x == y:
                 continue
-            ctx, word = (pair[x:y] >> bits) & low, pair[x:y] & low
+            ctx, word = pair_context[x:y], pair_word[x:y]
             first = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1])))
             (a, bb), (d, e) = code(m, v[ctx[first]]), code(m, v[word])
-            stop = new[y] if y < len(new) else len(key)
+            stop = new[y] if y < len(new) else len(by)
             rows.append(_row(bucket=b, kind=_PAIRS, chunk=chunk, n=n_train, a=a, b=bb, c=_bytes(np.diff(np.append(first, y - x)), np.uint32), d=d, e=e, f=_bytes(count[x:y], np.uint32), g=_bytes(where[new[x] : stop], np.uint16)))
             if len(rows) >= 128:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                 rows = []
         # rare words
         rare = np.flatnonzero(~known[inv])
+        low = (1 << bits) - 1
         key = bucket_of[inv[rare]] << bits | inv[rare]
         by = np.argsort(key, kind="stable")
         key, where = key[by], doc[rare][by]
