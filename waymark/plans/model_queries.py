@@ -123,10 +123,16 @@ def direct_predictions(s, d, support=1):
     return ev.ranked(train_counts(s, d, support), ["src"], F.desc("probability"), F.desc("count"), F.col("dst"))
 
 
-def smooth_predictions(s, d):
+@staged
+def smooth_full(s, d):
+    """Smoothed transitions with all their evidence, ranked."""
     return ev.ranked(smoothed(s, d).withColumn("score", F.round("score", 9)), ["src"], F.desc("score"), F.col("dst"))
 
 
+def smooth_predictions(s, d):
+    return smooth_full(s, d)
+
+
 @staged
 def held_pairs(s, d):
     """(person, split, src, dst): valid transitions of people who are held out."""
