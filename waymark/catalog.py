@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("trajectory_queries", "model_queries", "graph_queries", "scoring_queries", "learning_queries")
+_MODULES = ("trajectory_queries", "model_queries", "graph_queries", "scoring_queries", "text_queries", "learning_queries")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def training_set(positives: DataFrame, candidates: DataFrame, hard: DataFrame, ratio: int = 5) -> DataFrame:
-    """(src, dst, label): all positives and `ratio` negatives for each, half of them hard ones.
+    """(src, dst, label): all positives and `ratio` negatives for each, half of them hard ones, source by source.
 
-    hard: (src, dst, similarity) near pairs. Choice is by similarity and by a hash of the pair, so it
-    is the same on every run and partitioning."""
-    n = positives.count()
-    near = hard.join(positives, ["src", "dst"], "left_anti").orderBy(F.desc("similarity"), "src", "dst").limit(n * ratio // 2).select("src", "dst")
-    far = candidates.join(positives, ["src", "dst"], "left_anti").join(near, ["src", "dst"], "left_anti").orderBy(F.xxhash64("src", "dst"), "src", "dst").limit(n * ratio - n * ratio // 2).select("src", "dst")
+    hard: (src, dst, similarity) near pairs. Choice is by similarity and by a digest of the pair, so it
+    is the same on every run and partitioning; sources are numbered each for itself."""
+    quota = positives.groupBy("src").agg((F.count("*") * ratio).alias("quota"))
+    rank = lambda *order: F.row_number().over(Window.partitionBy("src").orderBy(*order))
+    half = F.floor(F.col("quota") / 2)
+    near = hard.join(positives, ["src", "dst"], "left_anti").join(quota, "src").withColumn("n", rank(F.desc("similarity"), "dst")).filter(F.col("n") <= half).select("src", "dst")
+    rest = candidates.join(positives, ["src", "dst"], "left_anti").join(near, ["src", "dst"], "left_anti").join(quota, "src")
+    far = rest.withColumn("n", rank(F.md5(F.concat_ws("|", "src", "dst")), "dst")).filter(F.col("n") <= F.col("quota") - half).select("src", "dst")
     return positives.select("src", "dst", F.lit(1.0).alias("label")).unionByName(near.unionByName(far).withColumn("label", F.lit(0.0)))
 
 
@@ -25,27 +29,41 @@ def fit(rows: DataFrame, features: list[str], iterations: int = 20) -> PipelineM
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), GBTClassifier(labelCol="label", maxIter=iterations, maxDepth=4, seed=7)]).fit(rows)
 
 
-def predict(model: PipelineModel, rows: DataFrame, top: int) -> DataFrame:
-    """(src, dst, score, rank): the `top` best of each source; ties by dst."""
-    scored = model.transform(rows).select("src", "dst", vector_to_array("probability")[1].alias("score"))
+def predict(model: PipelineModel, rows: DataFrame, top: int, features: list[str]) -> DataFrame:
+    """(src, dst, score, rank): the `top` best of each source; ties by dst. Features that a model wants and the rows lack are raised."""
+    lacks = [f for f in features if f not in rows.columns]
+    if lacks or model.stages[0].getInputCols() != features:
+        raise ValueError(f"the model takes {len(model.stages[0].getInputCols())} features; no columns {', '.join(lacks)}")
+    scored = model.transform(rows).select("src", "dst", F.round(vector_to_array("probability")[1], 9).alias("score"))
     w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def pairwise_weights(diffs: DataFrame, columns: list[str], steps: int = 50, rate: float = 0.1) -> dict[str, float]:
-    """Non-negative weights that sum to one and make positive parts cheaper than sampled alternatives.
-
-    diffs: differences of parts, positive less alternative, and weight. Projected gradient descent
-    on the logistic pairwise loss; each step is one aggregation over the table."""
-    diffs = diffs.cache()
-    total = diffs.agg(F.sum("weight")).first()[0]
-    beta = {c: 1 / len(columns) for c in columns}
+def descend(diffs: np.ndarray, weights: np.ndarray, steps: int = 500, rate: float = 0.1, ridge: float = 1e-3) -> np.ndarray:
+    """Non-negative weights of columns, which sum to one, by projected gradient descent on the logistic loss of
+    differences (positive less alternative): the lower a positive's weighted sum, the better."""
+    w = weights / weights.sum()
+    beta = np.full(diffs.shape[1], 1 / diffs.shape[1])
     for _ in range(steps):
-        z = sum((F.lit(beta[c]) * F.col(c) for c in columns), F.lit(0.0))
-        p = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0))))
-        g = diffs.agg(*[F.sum(F.col("weight") / total * p * F.col(c)).alias(c) for c in columns]).first()
-        beta = {c: max(0.0, beta[c] - rate * (g[c] + 1e-3 * beta[c])) for c in columns}
-        norm = sum(beta.values())
-        beta = {c: (b / norm if norm > 1e-12 else 1 / len(columns)) for c, b in beta.items()}
-    diffs.unpersist()
+        p = 1 / (1 + np.exp(-np.clip(diffs @ beta, -40, 40)))
+        beta = np.maximum(0.0, beta - rate * (diffs.T @ (w * p) + ridge * beta))
+        beta = beta / beta.sum() if beta.sum() > 1e-12 else np.full(len(beta), 1 / len(beta))
     return beta
+
+
+def pairs(parts: DataFrame, columns: list[str], alternatives: int = 8) -> DataFrame:
+    """(query_id, role, d_*, weight): of each query the parts of its likeliest role (greatest probability) less those of
+    up to `alternatives` others that were not observed, chosen by a digest; weight is how many others each stands for."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("probability"), "role")
+    best = parts.filter("probability is not null").withColumn("n", F.row_number().over(w)).filter("n = 1").select("query_id", *[F.col(c).alias(f"p_{c}") for c in columns])
+    rest = parts.filter("probability is null").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.md5(F.concat_ws("|", "query_id", "role")), "role"))).withColumn("of", F.count("*").over(Window.partitionBy("query_id")))
+    j = rest.filter(F.col("n") <= alternatives).join(best, "query_id")
+    return j.select("query_id", "role", *[(F.col(f"p_{c}") - F.col(c)).alias(f"d_{c}") for c in columns], (F.col("of") / F.least(F.col("of"), F.lit(alternatives))).alias("weight"))
+
+
+def calibrate(spark: SparkSession, parts: DataFrame, columns: list[str], most: int = 20_000) -> DataFrame:
+    """(part, weight, pairs) learnt from at most `most` pairs, those of the least digests: a bound on what the fit takes, and so on what
+    reaches the driver. Without a pair all weights are equal."""
+    some = pairs(parts, columns).orderBy(F.md5(F.concat_ws("|", "role", "query_id")), "query_id", "role").limit(most).toPandas()
+    beta = descend(some[[f"d_{c}" for c in columns]].to_numpy(float), some["weight"].to_numpy(float)) if len(some) else np.full(len(columns), 1 / len(columns))
+    return spark.createDataFrame([(c, float(round(b, 6)), len(some)) for c, b in zip(columns, beta, strict=True)], "part string, weight double, pairs long")

@@ -41,10 +41,6 @@ def union_by_name(s, d):
     return nodes(s, d)
 
 
-def scan_occupation_tables(s, d):
-    return b.roles_b(s, d)
-
-
 def skill_nodes(s, d):
     return skills(s, d)
 
@@ -383,7 +379,7 @@ def best_evidence(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    union_by_name, scan_occupation_tables, skill_nodes, occupation_nodes, isco_group_nodes, skill_group_nodes, element_domain, exclude_domains, relation_type_norm, training_transitions, finite_edges,
+    union_by_name, skill_nodes, occupation_nodes, isco_group_nodes, skill_group_nodes, element_domain, exclude_domains, relation_type_norm, training_transitions, finite_edges,
     valid_nodes, requirement_filter, enrich_left, typical_education, membership_flags, two_scale_join, code_to_uri, endpoint_exists, fallback_key_join, label_to_role, skill_idf, interest_lists, type_histograms,
     label_collisions, graph_audit, degrees, dedupe_edges, group_sizes, isco_2digit, same_group_edges, prune_graph, derive_entities, enrich_graph, replace_edges, taxonomy_edges, alignment_edges, build_graph,
     improve_quality, graph_quality_report, traverse, normalize_properties, entity_keys, json_attrs, slug, normalize_label, graph_sample, k_hop_reachability, best_evidence,
@@ -427,7 +423,6 @@ _DIRTY = f"""{_FULL}, dn as (
 _IDF = "idf as (select dst, ln((select count(*) from nodes) / count(*)) as idf from requires group by dst)"
 ORACLE_SQL = {
     "union_by_name": f"with {_NODES} select * from nodes",
-    "scan_occupation_tables": f"with {b.SQL_ROLES_B} select * from roles_b",
     "skill_nodes": f"with {_NODES} select * from skills",
     "occupation_nodes": f"with {b.SQL_ROLES_A} select id, type, source, title, case when title like '%1' then '' else 'About ' || title end as description, isco_group, esco_code from roles_a where isco_group not like '%9'",
     "isco_group_nodes": f"with {b.SQL_ROLES_A}, {b.SQL_REQUIRES}, {b.SQL_TAXONOMY} select id, type, source, title, '' as description, code from groups_ where type = 'isco_group'",

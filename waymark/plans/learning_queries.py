@@ -2,36 +2,114 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import models
-from ..operators import scoring as sc
+from ..operators import ranker as rk
+from ..operators import stores as st
 from ..sources import bridge as b
-from ..sources.shared import new_folder
+from ..sources.shared import cache_by_folder, new_folder, staged
 from ..streaming.incremental import run_available
-from .graph_queries import GRAPH, every_edge, transition_edges
-from .model_queries import brand_neighbours
-from .scoring_queries import missing_edge_candidates, role_skills
-
-FEATURES = ["cn", "jaccard", "aa", "ra", "pa", "idf_overlap"]
+from .graph_queries import _FULL, _TRANS, full_edges, idf_table, nodes, skills, transition_edges
+from .model_queries import _NEAR_10, _VEC, brand_neighbours, brand_vectors, held_out, role_vectors
+from .scoring_queries import current_roles, effort_parts, full_pair_features, missing_edge_candidates
+from .trajectory_queries import CHAIN, kept, train_counts
 
 
 def incremental_transitions(s, d):
-    source = new_folder(s, "steps")
-    steps = b.event_steps(s, d)
+    """Transitions of a stream of three batches. Events whose id 11 divides leave gaps; at the end of a batch, positions of even events get a
+    second label in the next one; a last row closes each person."""
+    source, most = new_folder(s, "steps"), 40
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = b.table(s, d, "events").select(F.col("user_id").alias("person"), F.row_number().over(w).cast("long").alias("ord"), F.col("event_type").alias("label"), "event_id")
+    plain = e.filter("event_id % 11 <> 0").withColumn("part", F.least(F.floor((F.col("ord") - 1) / most), F.lit(2)))
+    late = plain.filter((F.col("ord") % most == 0) & (F.col("event_id") % 2 == 0) & (F.col("part") < 2)).withColumn("label", F.lit("other")).withColumn("part", F.col("part") + 1)
+    end = plain.groupBy("person").agg((F.max("ord") + 1).alias("ord")).select("person", "ord", F.lit(None).cast("string").alias("label"), F.lit(2).alias("part"))
+    every = plain.drop("event_id").unionByName(late.drop("event_id")).unionByName(end)
+    files = int(s.conf.get("spark.sql.shuffle.partitions"))
     for part in range(3):
-        low, high = part * 40, (part + 1) * 40 if part < 2 else 1 << 60
-        steps.filter(F.col("ord").between(low, high - 1)).coalesce(2).write.mode("append").parquet(source)
-    pairs = run_available(s, source, "person long, ord long, label string", new_folder(s, "pairs"), new_folder(s, "state"))
+        every.filter(F.col("part") == part).select("person", "ord", "label").repartition(files, "person").write.mode("append").parquet(source)
+    pairs = run_available(s, source, "person long, ord long, label string", new_folder(s, "pairs"), new_folder(s, "state"), files)
     return pairs.groupBy("src", "dst").count()
 
 
+def _graph_nodes(s, d):
+    return nodes(s, d).unionByName(skills(s, d), allowMissingColumns=True).unionByName(b.groups(s, d), allowMissingColumns=True)
+
+
+@cache_by_folder
+def _stored_graph(s, d):
+    folder = new_folder(s, "graph")
+    st.sink_graph(_graph_nodes(s, d), full_edges(s, d), folder)
+    return folder
+
+
 def sink_graph(s, d):
-    """Edges written by relation and read back."""
-    folder = new_folder(s, "edges")
-    keyed = every_edge(s, d).withColumn("edge_key", F.concat_ws("::", F.lit("graph"), "src", "relation", "dst", "source"))
-    keyed.write.partitionBy("relation").parquet(folder)
-    return s.read.parquet(folder).groupBy("relation").agg(F.count("*").alias("edges"), F.countDistinct("edge_key").alias("keys"))
+    """Nodes by type and edges by relation, as they lie in the store, with their distinct keys."""
+    folder = _stored_graph(s, d)
+    n = s.read.parquet(f"{folder}/nodes").groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n"), F.countDistinct("entity_key").alias("keys"))
+    return n.unionByName(s.read.parquet(f"{folder}/edges").groupBy(F.col("relation").alias("name")).agg(F.count("*").alias("n"), F.countDistinct("edge_key").alias("keys")))
+
+
+def load_graph(s, d):
+    """The stored edges as a graph again."""
+    _, e = st.load_graph(s, _stored_graph(s, d))
+    return e.select("src", "dst", "relation", "source", "requirement_level", F.round("importance", 6).alias("importance"), "count")
+
+
+def store_validation(s, d):
+    n, e = st.load_graph(s, _stored_graph(s, d))
+    want = _graph_nodes(s, d).agg(F.lit("nodes").alias("kind"), F.count("*").alias("n")).unionByName(full_edges(s, d).agg(F.lit("edges").alias("kind"), F.count("*").alias("n")))
+    return st.validate_graph(n, e, want)
+
+
+def sink_vectors(s, d):
+    """Points as they lie in the store."""
+    folder = new_folder(s, "points")
+    roles = nodes(s, d).select("id", "source", "title", "isco_group", "job_zone")
+    st.sink_vectors(roles, role_vectors(s, d), folder)
+    return s.read.parquet(folder).select("point_id", "dim", "payload")
+
+
+def sink_reports(s, d):
+    """How many rows each of a training split's three artefacts has, and one figure of each, read back."""
+    folder = new_folder(s, "reports")
+    clean = kept(s, d).filter("split = 'train'")
+    st.sink_reports(clean, train_counts(s, d).select("src", "dst", "count"), clean.agg(F.count("*").alias("positions"), F.countDistinct("person").alias("people")), folder)
+    a = s.read.parquet(f"{folder}/clean").agg(F.lit("clean").alias("artefact"), F.count("*").alias("rows"), F.countDistinct("person").alias("figure"))
+    z = s.read.schema("src string, dst string, count long").option("header", True).csv(f"{folder}/counts").agg(F.lit("counts").alias("artefact"), F.count("*").alias("rows"), F.sum("count").alias("figure"))
+    r = s.read.schema("positions long, people long").json(f"{folder}/report").agg(F.lit("report").alias("artefact"), F.count("*").alias("rows"), F.sum("positions").alias("figure"))
+    return a.unionByName(z).unionByName(r)
+
+
+def verify_manifest(s, d):
+    """One file a brand, against a manifest in which brands that end in 3 have another digest, those in 4 another size, those in 5
+    are not listed, and which lists one file that isn't there."""
+    folder = new_folder(s, "files")
+    part = b.table(s, d, "part").select("p_brand", "p_partkey", "p_name")
+    part.repartition("p_brand").sortWithinPartitions("p_partkey").write.partitionBy("p_brand").csv(folder)
+    f = s.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(folder)
+    name = F.element_at(F.split("path", "/"), -2)
+    m = f.select(name.alias("name"), F.when(name.endswith("4"), F.col("length") + 1).otherwise(F.col("length")).alias("bytes"), F.when(name.endswith("3"), F.lit("0")).otherwise(F.sha2("content", 256)).alias("sha256")).filter(~name.endswith("5"))
+    m = m.unionByName(s.range(1).select(F.lit("lost").alias("name"), F.lit(1).cast("long").alias("bytes"), F.lit("0").alias("sha256")))
+    return st.verify_manifest(s, folder, m).groupBy("status").agg(F.count("*").alias("files"))
+
+
+def scan_crosswalk(s, d):
+    """A crosswalk written with other headers than its reader knows, read back."""
+    folder = new_folder(s, "crosswalk")
+    r = b.roles_b(s, d).select(F.concat(F.substring("id", 3, 20), F.lit(".00 ")).alias("Some-SOC 2019 Code"), F.when(F.col("job_zone") != 2, F.col("isco_group")).alias("Code of ISCO-08"), F.col("title").alias("Title"))
+    r.write.option("header", True).csv(folder)
+    return st.crosswalk(s.read.option("header", True).csv(folder))
+
+
+def scan_occupation_tables(s, d):
+    """Roles of the second source written as tab-separated text, as exports of spreadsheets are, and read back with a schema."""
+    folder = new_folder(s, "tables")
+    b.roles_b(s, d).write.option("header", True).option("sep", "\t").csv(folder)
+    schema = "id string, type string, source string, title string, isco_group string, job_zone int, typical_education_level string"
+    return s.read.schema(schema).option("header", True).option("sep", "\t").csv(folder)
 
 
 def scan_taxonomy_csv(s, d):
@@ -43,13 +121,14 @@ def scan_taxonomy_csv(s, d):
 
 
 def scan_trajectory_splits(s, d):
-    """One file folder a split, found by name; the split is read from the path."""
+    """One table a split, found by name among others, with a column that isn't needed."""
     folder = new_folder(s, "splits")
-    for split in ("train", "validation", "test"):
-        b.career_steps(s, d).filter(F.col("split") == split).select("person", "ord", "label").write.option("header", True).csv(f"{folder}/{split}-steps")
-    rows = s.read.schema("person long, ord long, label string").option("recursiveFileLookup", True).csv(folder, header=True).withColumn("path", F.col("_metadata.file_path"))
-    split = F.when(F.col("path").contains("/validation-"), "validation").when(F.col("path").contains("/train-"), "train").otherwise("test")
-    return rows.groupBy(split.alias("split")).agg(F.count("*").alias("rows"), F.countDistinct("person").alias("people"))
+    names = {"train": "steps_train", "validation": "steps_validation", "test": "steps_test"}
+    for split, name in names.items():
+        b.career_steps(s, d).filter(F.col("split") == split).select("ord", "person", F.lit("x").alias("note"), "label").write.option("header", True).csv(f"{folder}/{name}")
+    files = s.createDataFrame([(f"{folder}/{name}",) for name in (*names.values(), "readme")], "path string")
+    rows = st.split_files(s, files, "ord long, person long, note string, label string", ("person", "ord", "label"))
+    return rows.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("person").alias("people"), F.sum("ord").alias("ords"))
 
 
 def scan_dated_steps(s, d):
@@ -58,29 +137,81 @@ def scan_dated_steps(s, d):
     return s.read.parquet(folder).select("resume_id", "matched_code", "start_date")
 
 
-def _rows(s, d):
-    p = sc.pair_features(role_skills(s, d))
-    pairs = missing_edge_candidates(s, d).unionByName(transition_edges(s, d).select("src", "dst"))
-    return pairs.join(p, ["src", "dst"], "left").na.fill(0)
-
-
+@staged
 def lp_training_set(s, d):
     near = brand_neighbours(s, d, 10).select(F.concat(F.lit("a:"), "id").alias("src"), F.concat(F.lit("a:"), "nbr").alias("dst"), "similarity")
-    return models.training_set(transition_edges(s, d).select("src", "dst"), missing_edge_candidates(s, d), near, 2)
+    return models.training_set(transition_edges(s, d).select("src", "dst"), missing_edge_candidates(s, d), near, 5)
+
+
+LP_FEATURES = ["cn", "jaccard", "aa", "ra", "pa", "cosine", "group_distance", "idf_overlap", "evidence", "title_cosine", "meta"]
 
 
 def lp_train_score(s, d):
-    rows = _rows(s, d)
-    model = models.fit(lp_training_set(s, d).join(rows, ["src", "dst"]), FEATURES)
-    return models.predict(model, rows.join(missing_edge_candidates(s, d), ["src", "dst"], "left_semi"), 10)
+    """The ten best missing edges of each role by trees on all eleven pair features."""
+    rows = missing_edge_candidates(s, d).unionByName(transition_edges(s, d).select("src", "dst")).join(full_pair_features(s, d), ["src", "dst"], "left").na.fill(0)
+    model = models.fit(lp_training_set(s, d).join(rows, ["src", "dst"]), LP_FEATURES)
+    return models.predict(model, rows.join(missing_edge_candidates(s, d), ["src", "dst"], "left_semi"), 10, LP_FEATURES)
+
+
+@staged
+def ranker_rows(s, d):
+    """Candidates of every source from seven channels, with 33 features and graded validation labels; second-order counts of
+    events stand for the other dataset."""
+    vec, ids = brand_vectors(s, d), b.roles_a(s, d).select(F.col("title").alias("id"), F.substring("isco_group", 1, 2).alias("g"))
+    own = b.requires(s, d).filter("source = 'esco'").join(idf_table(s, d), "dst", "left").select(F.substring("src", 3, 100).alias("role"), F.col("dst").alias("skill"), F.coalesce("idf", F.lit(1.0)).alias("idf"))
+    aux = held_out(s, d, "test")
+    out = rk.rows(train_counts(s, d, 5), brand_neighbours(s, d, 10), vec, ids, own, aux, 40)
+    return rk.graded(out, held_out(s, d, "validation"))
+
+
+def ranker_features(s, d):
+    r = ranker_rows(s, d)
+    return r.select("src", "dst", *[F.round(c, 5).alias(c) for c in rk.FEATURES], "grade")
+
+
+def ranker_recall(s, d):
+    return rk.recall(ranker_rows(s, d), held_out(s, d, "validation"))
+
+
+def ranker_train(s, d):
+    """Test rankings of the best of three configurations, chosen by validation MRR on a third of the sources."""
+    return rk.train(ranker_rows(s, d), rk.FEATURES)
+
+
+def effort_calibration(s, d):
+    """Weights of the four parts of effort under which the next role of a test person is cheaper than the others shown to them."""
+    nxt = transition_edges(s, d).select(F.col("src").alias("current"), F.col("dst").alias("role"), "probability")
+    parts = effort_parts(s, d).na.fill(0.0).join(current_roles(s, d), "query_id").join(nxt, ["current", "role"], "left")
+    return models.calibrate(s, parts, ["gap", "domain", "unsupported", "transfer"])
 
 
-QUERIES = {f.__name__: f for f in (incremental_transitions, sink_graph, scan_taxonomy_csv, scan_trajectory_splits, scan_dated_steps, lp_training_set, lp_train_score)}
+QUERIES = {f.__name__: f for f in (
+    incremental_transitions, sink_graph, load_graph, store_validation, sink_vectors, sink_reports, verify_manifest, scan_crosswalk, scan_occupation_tables, scan_taxonomy_csv, scan_trajectory_splits,
+    scan_dated_steps, lp_training_set, lp_train_score, ranker_features, ranker_recall, ranker_train, effort_calibration,
+)}
 
 ORACLE_SQL = {
-    "incremental_transitions": f"with {b.SQL_EVENT_STEPS}, p as (select label as src, lead(label) over (partition by person order by ord) as dst from event_steps) select src, dst, count(*) as count from p where dst is not null and src <> dst group by all",
-    "sink_graph": f"{GRAPH} select relation, count(*) as edges, count(distinct src || relation || dst || source) as keys from every_edge group by relation",
+    "incremental_transitions": """with e as (select user_id as person, row_number() over (partition by user_id order by ts, event_id) as ord, event_type as label, event_id from events
+      ), k as (select person, ord, label, ord % 40 = 0 and event_id % 2 = 0 and ord <= 80 as doubled from e where event_id % 11 <> 0
+      ), p as (select ord, label as src, lead(label) over w as dst, lead(ord) over w as nxt from k where not doubled or label = 'other' window w as (partition by person order by ord))
+      select src, dst, count(*) as count from p where nxt = ord + 1 and src <> dst group by all""",
+    "lp_training_set": f"""{CHAIN}, {_VEC}, {_NEAR_10}, {_TRANS}, q as (select src, 5 * count(*) as n from trans group by src
+      ), h0 as (select 'a:' || id as src, 'a:' || nbr as dst, similarity from nearest10), hd as (select src, dst from (select h.src, h.dst, q.n, row_number() over (partition by h.src order by similarity desc, h.dst) as r from h0 h join q using (src) where (h.src, h.dst) not in (select (src, dst) from trans)) where r <= n // 2
+      ), fr as (select src, dst from (select a.id as src, z.id as dst, q.n, row_number() over (partition by a.id order by md5(a.id || '|' || z.id), z.id) as r from roles_a a join roles_a z on a.id <> z.id join q on q.src = a.id where (a.id, z.id) not in (select (src, dst) from trans) and (a.id, z.id) not in (select (src, dst) from hd)) where r <= n - n // 2)
+      select src, dst, 1.0::double as label from trans union all select src, dst, 0 from hd union all select src, dst, 0 from fr""",
+    "sink_graph": f"{_FULL} select type as name, count(*) as n, count(*) as keys from (select type from nodes union all select type from skills union all select type from groups_) group by type union all select relation, count(*), count(distinct src || '>' || dst || '>' || source) from fe group by relation",
+    "load_graph": f"{_FULL} select src, dst, relation, source, requirement_level, round(importance, 6) as importance, count from fe",
+    "store_validation": f"""{_FULL} select 'count' as "check", 'nodes' as name, (select count(*) from nodes) + (select count(*) from skills) + (select count(*) from groups_) as n, true as ok union all select 'count', 'edges', count(*), true from fe
+      union all select 'relation', relation, count(*), true from fe group by relation union all select * from (select 'requirements', src, count(*), true from fe where relation = 'REQUIRES' group by src order by src limit 1)
+      union all select * from (select 'transition', src || ' > ' || dst, count, true from trans order by count desc, src, dst limit 5)""",
+    "sink_vectors": f"""with {_VEC}, r as (select id, source, title, isco_group, null::int as job_zone from roles_a union all select id, source, title, isco_group, job_zone from roles_b), h as (select *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('role::' || id)) as h from r where id in (select id from unit))
+      select substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', cast('0x' || substr(h, 17, 1) as int) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as point_id, 64 as dim,
+        chr(123) || '"role_id":"' || id || '","source":"' || source || '","title":"' || title || '","isco_group":"' || isco_group || '"' || case when job_zone is not null then ',"job_zone":' || job_zone else '' end || chr(125) as payload from h""",
+    "sink_reports": f"{CHAIN} select 'clean' as artefact, count(*) as rows, count(distinct person) as figure from kept where split = 'train' union all select 'counts', count(*), sum(count)::bigint from counts union all select 'report', 1, count(*) from kept where split = 'train'",
+    "verify_manifest": """with f as (select distinct p_brand as n from part) select case when n like '%3' then 'wrong digest' when n like '%4' then 'wrong size' when n like '%5' then 'unlisted' else 'ok' end as status, count(*) as files from f group by 1 union all select 'missing', 1""",
+    "scan_crosswalk": "select s_suppkey || '.00' as soc, cast(10 + s_nationkey as varchar) as isco, cast(s_suppkey as varchar) as short from supplier where 1 + s_suppkey % 5 <> 2",
+    "scan_occupation_tables": f"with {b.SQL_ROLES_B} select * from roles_b",
     "scan_taxonomy_csv": f"with {b.SQL_ROLES_A} select id, type, source, title || ', \"the\"' || chr(10) || 'second line' as title, isco_group, esco_code from roles_a",
-    "scan_trajectory_splits": f"with {b.SQL_STEPS} select split, count(*) as rows, count(distinct person) as people from steps group by split",
+    "scan_trajectory_splits": f"with {b.SQL_STEPS} select split, count(*) as rows, count(distinct person) as people, sum(ord)::bigint as ords from steps group by split",
     "scan_dated_steps": f"with {b.SQL_DATED} select resume_id, matched_code, start_date from dated",
 }

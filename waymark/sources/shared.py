@@ -46,3 +46,17 @@ def staged(build: Build) -> Build:
         return spark.read.schema(schema).parquet(path)
 
     return get
+
+
+def cache_by_folder(build: Callable[[SparkSession, str], str]) -> Callable[[SparkSession, str], str]:
+    """`build`'s path, worked out once for each session and folder of tables."""
+    paths: dict[tuple[str, str], str] = {}
+
+    @wraps(build)
+    def get(spark: SparkSession, sf_dir: str) -> str:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in paths:
+            paths[key] = build(spark, sf_dir)
+        return paths[key]
+
+    return get
