@@ -145,7 +145,7 @@ def path_skills(shown: DataFrame, requirements: DataFrame, most: int = 5) -> Dat
                 count[r] = count.get(r, 0) + 1
             if free:
                 out.append((rows["query_id"].iloc[0], skill, len(roles)))
-        return pd.DataFrame(out, columns=["query_id", "skill", "n"])
+        return pd.DataFrame({"query_id": pd.Series([x[0] for x in out], dtype=rows["query_id"].dtype), "skill": pd.Series([x[1] for x in out], dtype=object), "n": pd.Series([x[2] for x in out], dtype="int64")})
 
     kind = shown.schema["query_id"].dataType.simpleString()
     return shown.select("query_id", "role").distinct().join(requirements.select("role", "skill"), "role").groupBy("query_id").applyInPandas(walk, f"query_id {kind}, skill string, n long")

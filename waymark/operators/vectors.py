@@ -59,6 +59,11 @@ def _similarities(q: pd.DataFrame, p: pd.DataFrame) -> np.ndarray:
     return np.round(np.stack(q["vec"].to_numpy()) @ np.stack(p["vec"].to_numpy()).T, 9)
 
 
+def _frame(ids, nbrs, sims) -> pd.DataFrame:
+    """Columns of plain types, of any length."""
+    return pd.DataFrame({"id": pd.Series(list(ids), dtype=object), "nbr": pd.Series(list(nbrs), dtype=object), "similarity": pd.Series(list(sims), dtype=float)})
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """(id, nbr, similarity, rank): each query's k most similar points but itself; ties by id.
 
@@ -73,7 +78,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
                 order = np.lexsort((names, -sims[i]))
                 order = order[names[order] != one][:k]
                 found += zip([one] * len(order), names[order], sims[i, order], strict=True)
-        return pd.DataFrame(found, columns=["id", "nbr", "similarity"])
+        return _frame(*zip(*found, strict=True)) if found else _frame((), (), ())
 
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "nbr")
     each = _units(queries.select("id", "vec"), points.select("id", "vec"), run, "id string, nbr string, similarity double")
@@ -85,10 +90,10 @@ def similar_pairs(a: DataFrame, b: DataFrame, threshold: float, inclusive: bool
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({"id": [], "nbr": [], "similarity": []})
+            return _frame((), (), ())
         sims = _similarities(q, p)
         i, j = np.nonzero(sims >= threshold if inclusive else sims > threshold)
-        return pd.DataFrame({"id": q["id"].to_numpy()[i], "nbr": p["id"].to_numpy()[j], "similarity": sims[i, j]})
+        return _frame(q["id"].to_numpy()[i], p["id"].to_numpy()[j], sims[i, j])
 
     return _units(a.select("id", "vec"), b.select("id", "vec"), run, "id string, nbr string, similarity double")
 
@@ -101,7 +106,7 @@ def threshold_sweep(a: DataFrame, b: DataFrame, thresholds: list[float]) -> Data
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({"threshold": [], "predicted": [], "true": []})
+            return pd.DataFrame({"threshold": pd.Series(dtype=float), "predicted": pd.Series(dtype="int64"), "true": pd.Series(dtype="int64")})
         sims = _similarities(q, p)
         same = q["group"].to_numpy()[:, None] == p["group"].to_numpy()[None, :]
         return pd.DataFrame({"threshold": thresholds, "predicted": [int((sims >= t).sum()) for t in thresholds], "true": [int((same & (sims >= t)).sum()) for t in thresholds]})
