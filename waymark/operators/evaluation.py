@@ -115,7 +115,8 @@ def candidate_positions(observed: DataFrame, predictions: DataFrame, candidates:
     predictions: (src, dst, rank) come first, all other candidates behind them by id. A candidate without a
     score stands behind those with one and behind the lesser ids that have none, so its place is counted
     from the source's own list; sources and candidates are not multiplied. candidates: (dst), the ids."""
-    place = F.broadcast(candidates.select("dst").distinct()).withColumn("pos", F.row_number().over(Window.orderBy("dst")))
+    # the candidates are the roles of a graph; their ids alone are numbered in one task
+    place = candidates.select("dst").distinct().withColumn("pos", F.row_number().over(Window.orderBy("dst")))
     total = place.agg(F.count("*").alias("total"))
     lists = predictions.filter("src <> dst").join(place, "dst").groupBy("src").agg(F.array_sort(F.collect_list("pos")).alias("scored"))
     own = place.select(F.col("dst").alias("src"), F.col("pos").alias("own"))

@@ -49,7 +49,7 @@ def quality(steps: DataFrame, index: DataFrame) -> DataFrame:
     """One row a split: counters of what is read, of what cleaning does with it, and the labels in no index.
 
     steps: (person, ord, label, split), ord null where it isn't a number; index: (label)."""
-    known = steps.join(F.broadcast(index.select("label").distinct().withColumn("known", F.lit(True))), "label", "left")
+    known = steps.join(index.select("label").distinct().withColumn("known", F.lit(True)), "label", "left")
     read = known.groupBy("split").agg(
         F.count("*").alias("rows"), F.countDistinct("person").alias("people"), F.count_if(F.col("ord").isNull()).alias("invalid_orders"), F.count_if(F.coalesce(F.trim("label"), F.lit("")) == "").alias("missing_labels"),
         F.countDistinct("label").alias("labels"), F.countDistinct(F.when(F.col("known").isNull(), F.col("label"))).alias("unmapped_labels"),
@@ -60,7 +60,7 @@ def quality(steps: DataFrame, index: DataFrame) -> DataFrame:
         F.count("*").alias("positions"), F.count_if(F.col("n_labels") == 1).alias("kept_positions"), F.count_if(F.col("n_labels") == 0).alias("empty_positions"),
         F.sum(F.when(F.col("n_labels") == 1, F.col("n_rows") - 1).otherwise(0)).alias("exact_duplicates"), F.count_if(F.col("n_labels") > 1).alias("ambiguous_positions"),
     )
-    ids = F.broadcast(index.select(F.col("label").alias("known_label")).distinct())
+    ids = index.select(F.col("label").alias("known_label")).distinct()
     pairs = classified_pairs(positions.filter("n_labels = 1"), keys=("split",))
     pairs = pairs.join(ids, pairs["src"] == ids["known_label"], "left").withColumnRenamed("known_label", "a").join(ids, F.col("dst") == F.col("known_label"), "left")
     reason = F.when((F.col("reason") == "valid") & (F.col("a").isNull() | F.col("known_label").isNull()), "unmapped").otherwise(F.col("reason"))
@@ -144,7 +144,7 @@ def dated_stages(dated: DataFrame, index: DataFrame) -> DataFrame:
     the end; a date is missing if blank and invalid if not of the form "Q1 2000"; an education level of another
     spelling counts as None."""
     rows = dated.select("resume_id", "matched_code", "start_date", "end_date", "university_level").distinct()
-    rows = rows.withColumn("code", F.trim(F.coalesce("matched_code", F.lit("")))).join(F.broadcast(index.select("code", "role")), "code", "left")
+    rows = rows.withColumn("code", F.trim(F.coalesce("matched_code", F.lit("")))).join(index.select("code", "role"), "code", "left")
     rows = rows.withColumn("start", parse_quarter(F.trim("start_date"))).withColumn("end", parse_quarter(F.trim("end_date")))
     missing = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     level = F.create_map(*[F.lit(x) for pair in EDUCATION.items() for x in pair])[F.trim("university_level")]

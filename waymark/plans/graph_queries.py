@@ -136,7 +136,7 @@ def two_scale_join(s, d):
 
 def code_to_uri(s, d):
     groups = b.table(s, d, "nation").select(F.concat(F.lit(" "), (10 + F.col("n_nationkey")).cast("string"), F.lit(" ")).alias("code"), F.col("n_name").alias("group_id")).filter("n_nationkey % 3 <> 0")
-    return b.roles_b(s, d).join(F.broadcast(groups), F.trim("code") == F.col("isco_group")).select("id", "group_id")
+    return b.roles_b(s, d).join(groups, F.trim("code") == F.col("isco_group")).select("id", "group_id")
 
 
 def endpoint_exists(s, d):

@@ -12,7 +12,7 @@ from ..sources import bridge as b
 from ..sources.shared import cache_by_folder, new_folder, staged
 from ..streaming.incremental import run_available
 from .graph_queries import _FULL, _TRANS, full_edges, idf_table, nodes, skills, transition_edges
-from .model_queries import _NEAR_10, _VEC, brand_neighbours, brand_vectors, held_out, role_vectors
+from .model_queries import _NEAR, _NEAR_10, _VEC, _WALK, brand_neighbours, brand_vectors, held_out, role_vectors
 from .scoring_queries import current_roles, effort_parts, full_pair_features, missing_edge_candidates
 from .trajectory_queries import CHAIN, kept, train_counts
 
@@ -190,7 +190,39 @@ QUERIES = {f.__name__: f for f in (
     scan_dated_steps, lp_training_set, lp_train_score, ranker_features, ranker_recall, ranker_train, effort_calibration,
 )}
 
+_ORDER = "order by round({}, 9) desc, dst"
+_RANKER = f"""{CHAIN}, {_VEC}, {b.SQL_REQUIRES}, {_NEAR}, {_NEAR_10}, idf as (select dst, ln((select count(*) from (select id from roles_a union all select id from roles_b)) / count(*)) as idf from requires group by dst), {_WALK}
+, held_t as (select src, dst, count(*) as count from classified where reason = 'valid' and split = 'test' group by src, dst), held_v as (select src, dst, count(*) as count from classified where reason = 'valid' and split = 'validation' group by src, dst
+), ids as (select title as id, cast(substr(isco_group, 1, 2) as int) as g from roles_a
+), kn as (select *, exp((similarity - max(similarity) over (partition by id)) / 0.05) as e from nearest10 where nbr in (select src from c5)), ku as (select *, e / sum(e) over (partition by id) as u from kn
+), sem as (select id as src, dst, sum(u * probability) as sp, max(similarity) as ss, count(*) as sn from ku join c5 on nbr = c5.src where dst <> id group by id, dst
+), wk as (select src, dst, coalesce(a.p, 0) as p2, coalesce(z.p, 0) as p3 from w2 a full join w3 z using (src, dst)
+), own as (select substr(src, 3) as role, dst as skill, coalesce(idf, 1) as idf from requires left join idf using (dst) where source = 'esco'
+), shd as (select a.role as src, z.role as dst, count(*) as bo, sum(a.idf) as si from own a join own z using (skill) where a.role <> z.role group by all), sz as (select role, count(*) as n, sum(idf) as al from own group by role
+), pop as (select dst, sum(count) as dc from c5 group by dst), ax as (select src, dst, count as ac, count / sum(count) over (partition by src) as ap from held_t
+), ch as (
+  select src, dst, 'direct' as c from (select *, row_number() over (partition by src {_ORDER.format('probability')}) as r from c5) where r <= 40
+  union all select src, dst, 'semantic' from (select *, row_number() over (partition by src {_ORDER.format('sp')}) as r from sem) where r <= 40
+  union all select src, dst, 'walk' from (select *, row_number() over (partition by src {_ORDER.format('p2 + 0.25 * p3')}) as r from wk) where r <= 40
+  union all select id, nbr, 'embedding' from nearest10
+  union all select src, dst, 'skill' from (select *, row_number() over (partition by src {_ORDER.format('si')}) as r from shd) where r <= 40
+  union all select id, dst, 'popular' from ids, (select dst from pop order by dc desc, dst limit 40)
+  union all select src, dst, 'aux' from (select *, row_number() over (partition by src {_ORDER.format('ap')}) as r from ax) where r <= 40
+), ca as (select src, dst, {', '.join(f"max((c = '{x}')::int) as in_{x}" for x in rk.CHANNELS)} from ch where src <> dst group by src, dst
+), fs as (
+  select ca.*, coalesce(c5.count, 0) as n, coalesce(c5.probability, 0) as pr, coalesce(st.tot, 0) as tot, coalesce(sp, 0) as sp, coalesce(ss, 0) as ss, coalesce(sn, 0) as sn, coalesce(p2, 0) as p2, coalesce(p3, 0) as p3, coalesce(sims.similarity, 0) as co,
+    ca.src not in (select substr(id, 3) from unit) or ca.dst not in (select substr(id, 3) from unit) as vm, x.g as gx, y.g as gy, coalesce(bo, 0) as bo, coalesce(si, 0) as si, coalesce(sx.n, 0) as nx, coalesce(sy.n, 0) as ny, coalesce(sy.al, 0) as ay,
+    coalesce(dc, 0) as dc, coalesce(ac, 0) as ac, coalesce(ap, 0) as ap, coalesce(hv.count, 0) as hv
+  from ca left join c5 on c5.src = ca.src and c5.dst = ca.dst left join (select src, max(source_total) as tot from c5 group by src) st on st.src = ca.src left join sem on sem.src = ca.src and sem.dst = ca.dst left join wk on wk.src = ca.src and wk.dst = ca.dst
+    left join sims on sims.id = 'a:' || ca.src and sims.nbr = 'a:' || ca.dst left join ids x on x.id = ca.src left join ids y on y.id = ca.dst left join shd on shd.src = ca.src and shd.dst = ca.dst left join sz sx on sx.role = ca.src left join sz sy on sy.role = ca.dst
+    left join pop on pop.dst = ca.dst left join ax on ax.src = ca.src and ax.dst = ca.dst left join held_v hv on hv.src = ca.src and hv.dst = ca.dst
+)"""
 ORACLE_SQL = {
+    "ranker_features": f"""{_RANKER} select src, dst, round(pr, 5) as probability, n as count, round(ln(1 + n), 5) as log_count, round(ln(1 + tot), 5) as log_total, round(case when tot > 0 then n / (tot + 5) else 0 end, 5) as shrunk, (n >= 2)::int as count_2, (n >= 3)::int as count_3, (n >= 5)::int as count_5,
+      round(sp, 5) as semantic_p, round(ss, 5) as semantic_similarity, sn as semantic_support, round(p2, 5) as walk_2, round(p3, 5) as walk_3, round(co, 5) as cosine, vm::int as vector_missing, coalesce((gx = gy)::int, 0) as same_group, round(coalesce(least(abs(gx - gy) / 90, 1), 0.5), 5) as group_distance,
+      round(case when nx + ny - bo > 0 then bo / (nx + ny - bo) else 0 end, 5) as skill_jaccard, round(case when ay > 0 then si / ay else 0 end, 5) as idf_coverage, round(case when ny > 0 then (ny - bo) / ny else 0 end, 5) as skill_gap, round(dc / (select sum(count) from c5), 5) as popularity, round(ln(1 + dc), 5) as log_popularity,
+      {', '.join(f'in_{x}' for x in rk.CHANNELS)}, round(ap, 5) as aux_p, ac as aux_count, round(ln(1 + ac), 5) as aux_log_count, (ac > 0)::int as aux_seen, case when hv >= 4 then 3 when hv >= 2 then 2 when hv >= 1 then 1 else 0 end as grade from fs""",
+    "ranker_recall": f"""{_RANKER} select count(distinct src) as queries, count(*) as rows, count(*) filter (hv > 0) as positive_rows, (select coalesce(sum(count), 0) from held_v where src in (select src from fs))::bigint as truth, coalesce(sum(hv), 0)::bigint as recalled from fs""",
     "incremental_transitions": """with e as (select user_id as person, row_number() over (partition by user_id order by ts, event_id) as ord, event_type as label, event_id from events
       ), k as (select person, ord, label, ord % 40 = 0 and event_id % 2 = 0 and ord <= 80 as doubled from e where event_id % 11 <> 0
       ), p as (select ord, label as src, lead(label) over w as dst, lead(ord) over w as nxt from k where not doubled or label = 'other' window w as (partition by person order by ord))

@@ -265,7 +265,7 @@ def select_config(s, d):
     keys = ["k", "direct_weight", "temperature"]
     ranked = ev.ranked(scored, [*keys, "src"], F.desc("score"), F.col("dst"))
     held = held_out(s, d, "validation").withColumn("total", F.sum("count").over(Window.partitionBy()))
-    m = ranked.join(F.broadcast(held), ["src", "dst"]).groupBy(*keys).agg((F.sum(F.col("count") / F.col("rank")) / F.max("total")).alias("mrr"), (F.sum(F.when(F.col("rank") <= 5, F.col("count")).otherwise(0)) / F.max("total")).alias("hits_5"))
+    m = ranked.join(held, ["src", "dst"]).groupBy(*keys).agg((F.sum(F.col("count") / F.col("rank")) / F.max("total")).alias("mrr"), (F.sum(F.when(F.col("rank") <= 5, F.col("count")).otherwise(0)) / F.max("total")).alias("hits_5"))
     # a row a configuration: the window is over their number
     m = r6(m, "mrr", "hits_5")
     return m.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mrr"), F.desc("hits_5"), *keys)))

@@ -356,7 +356,8 @@ def meta_path(s, d):
 
 def missing_edge_candidates(s, d):
     a = b.roles_a(s, d).select(F.col("id").alias("src"))
-    pairs = a.crossJoin(F.broadcast(a.select(F.col("src").alias("dst")))).filter("src <> dst")
+    # every pair of roles is what is asked for: roles are the graph's, not the people's
+    pairs = a.crossJoin(a.select(F.col("src").alias("dst"))).filter("src <> dst")
     return pairs.join(transition_edges(s, d).select("src", "dst"), ["src", "dst"], "left_anti")
 
 
