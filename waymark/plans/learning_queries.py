@@ -149,7 +149,10 @@ LP_FEATURES = ["cn", "jaccard", "aa", "ra", "pa", "cosine", "group_distance", "i
 def lp_train_score(s, d):
     """The ten best missing edges of each role by trees on all eleven pair features."""
     rows = missing_edge_candidates(s, d).unionByName(transition_edges(s, d).select("src", "dst")).join(full_pair_features(s, d), ["src", "dst"], "left").na.fill(0)
-    model = models.fit(lp_training_set(s, d).join(rows, ["src", "dst"]), LP_FEATURES)
+    learn = lp_training_set(s, d).join(rows, ["src", "dst"])
+    if learn.isEmpty():  # no observed edge, nothing to learn from
+        return s.createDataFrame([], "src string, dst string, score double, rank int")
+    model = models.fit(learn, LP_FEATURES)
     return models.predict(model, rows.join(missing_edge_candidates(s, d), ["src", "dst"], "left_semi"), 10, LP_FEATURES)
 
 
@@ -220,7 +223,7 @@ _RANKER = f"""{CHAIN}, {_VEC}, {b.SQL_REQUIRES}, {_NEAR}, {_NEAR_10}, idf as (se
 ORACLE_SQL = {
     "ranker_features": f"""{_RANKER} select src, dst, round(pr, 5) as probability, n as count, round(ln(1 + n), 5) as log_count, round(ln(1 + tot), 5) as log_total, round(case when tot > 0 then n / (tot + 5) else 0 end, 5) as shrunk, (n >= 2)::int as count_2, (n >= 3)::int as count_3, (n >= 5)::int as count_5,
       round(sp, 5) as semantic_p, round(ss, 5) as semantic_similarity, sn as semantic_support, round(p2, 5) as walk_2, round(p3, 5) as walk_3, round(co, 5) as cosine, vm::int as vector_missing, coalesce((gx = gy)::int, 0) as same_group, round(coalesce(least(abs(gx - gy) / 90, 1), 0.5), 5) as group_distance,
-      round(case when nx + ny - bo > 0 then bo / (nx + ny - bo) else 0 end, 5) as skill_jaccard, round(case when ay > 0 then si / ay else 0 end, 5) as idf_coverage, round(case when ny > 0 then (ny - bo) / ny else 0 end, 5) as skill_gap, round(dc / (select sum(count) from c5), 5) as popularity, round(ln(1 + dc), 5) as log_popularity,
+      round(case when nx + ny - bo > 0 then bo / (nx + ny - bo) else 0 end, 5) as skill_jaccard, round(case when ay > 0 then si / ay else 0 end, 5) as idf_coverage, round(case when ny > 0 then (ny - bo) / ny else 0 end, 5) as skill_gap, coalesce(round(dc / (select sum(count) from c5), 5), 0) as popularity, round(ln(1 + dc), 5) as log_popularity,
       {', '.join(f'in_{x}' for x in rk.CHANNELS)}, round(ap, 5) as aux_p, ac as aux_count, round(ln(1 + ac), 5) as aux_log_count, (ac > 0)::int as aux_seen, case when hv >= 4 then 3 when hv >= 2 then 2 when hv >= 1 then 1 else 0 end as grade from fs""",
     "ranker_recall": f"""{_RANKER} select count(distinct src) as queries, count(*) as rows, count(*) filter (hv > 0) as positive_rows, (select coalesce(sum(count), 0) from held_v where src in (select src from fs))::bigint as truth, coalesce(sum(hv), 0)::bigint as recalled from fs""",
     "incremental_transitions": """with e as (select user_id as person, row_number() over (partition by user_id order by ts, event_id) as ord, event_type as label, event_id from events

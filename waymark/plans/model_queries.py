@@ -317,7 +317,7 @@ def _metric_columns(ks: tuple[int, ...]) -> str:
     )
 
 
-_SHORT = "round(sum(rr) / sum(n), 6) as mrr, round(sum(h5) / sum(n), 6) as hits_5, round(sum(h10) / sum(n), 6) as hits_10, round(sum(n) filter (covered) / sum(n), 6) as observation_coverage"
+_SHORT = "round(sum(rr) / sum(n), 6) as mrr, round(sum(h5) / sum(n), 6) as hits_5, round(sum(h10) / sum(n), 6) as hits_10, round(coalesce(sum(n) filter (covered), 0) / sum(n), 6) as observation_coverage"
 _SHORT_RAW = _SHORT.replace("round(", "(").replace(", 6)", ")")
 _NEAR_10 = "nearest10 as (select * from (select substr(id, 3) as id, substr(nbr, 3) as nbr, similarity, row_number() over (partition by id order by similarity desc, nbr) as rank from sims where id like 'a:%' and nbr like 'a:%') where rank <= 10)"
 _EVIDENCE = """evidence as (select * from (select id as src, dst, row_number() over (partition by id order by max(round(probability, 9)) desc, dst) as rank from nearest10 join c5 on src = nbr where dst <> id group by id, dst) where rank <= 50
