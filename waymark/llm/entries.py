@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, katz, licenses, ngram_join, pieces, quality, token_counts, toxicity, url_rules, warc
+from . import decontamination, katz, licenses, ngram_join, periodic_runs, pieces, quality, token_counts, toxicity, url_rules, warc
 from .common import small_batches
 
 
@@ -110,6 +110,39 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts of every tenth hash of an id, periodic from a word on that the hash chooses too."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n, a = F.size("words"), F.col("g") % F.size("words")
+    p = 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))
+    chosen = (
+        docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), g.alias("g"))
+        .withColumn("a", F.when(n > 0, a))
+        .withColumn("p", p)
+    )
+    picked = F.expr("array_join(transform(words, (x, i) -> if(i < a, x, element_at(words, int(a + (i - a) % p) + 1))), ' ')")
+    return chosen.select("doc_id", F.when(F.col("a").isNotNull(), picked).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = periodic_runs.periodic_runs(_with_planted_runs(_table(spark, sf_dir, "documents")))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as before, -r.period as p)))")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.before")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.expr("best.length * 1000 div -best.p").alias("exponent_milli"),
+        F.sha2(F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
@@ -121,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz": op8_katz,
     "op9_toxicity": op9_toxicity,
     "op10_pieces": op10_pieces,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_join": OP6_SQL,
