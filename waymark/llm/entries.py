@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, katz, licenses, ngram_join, periodic_runs, pieces, quality, token_counts, toxicity, url_rules, warc
+from . import decontamination, hard_negatives, katz, licenses, ngram_join, periodic_runs, pieces, quality, token_counts, toxicity, url_rules, warc
 from .common import small_batches
 
 
@@ -143,6 +143,33 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").filter("not exists(embedding, x -> isnan(x) or abs(x) = double('inf'))")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.expr("transform(embedding, x -> double(floor(256 * double(x))))")
+    found = hard_negatives.hard_negatives(rows.select("vec_id", label.alias("label"), whole.alias("vec")), F.col("vec_id") % 50 == 0)
+    return found.withColumns({x: F.col(x).cast("long") for x in ("positive_score", "negative_score")})
+
+
+OP12_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as z
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.z, b.z)::bigint as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+), p as (
+  select anchor_id, id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select p.anchor_id, positive_id, (row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id))::int as rank,
+  s.id as negative_id, positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.same and 100 * s.score between 50 * positive_score and 95 * positive_score
+qualify rank <= 3
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
@@ -155,8 +182,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_pieces": op10_pieces,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_join": OP6_SQL,
     "op7_url_rules": OP7_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
