@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hard_negatives, katz, licenses, ngram_join, periodic_runs, pieces, quality, token_counts, toxicity, url_rules, warc
+from . import decontamination, hard_negatives, katz, licenses, ngram_join, periodic_runs, pieces, quality, secrets, token_counts, toxicity, url_rules, warc
 from .common import small_batches
 
 
@@ -170,6 +170,19 @@ qualify rank <= 3
 """
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(docs))
+    joined = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+    return found.select(
+        "doc_id",
+        *(F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in secrets.KINDS),
+        F.sha2(F.expr(joined.format("filter(spans, s -> s.kind <> 'crf')")).cast("binary"), 256).alias("base_sha256"),
+        F.expr(joined.format("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
@@ -183,6 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pieces": op10_pieces,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_secrets": op13_secrets,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_join": OP6_SQL,
