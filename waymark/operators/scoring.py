@@ -8,21 +8,42 @@ from pyspark.sql import functions as F
 
 
 def strongest(pairs: DataFrame) -> DataFrame:
-    """(id, partner, similarity): each id's most similar partner, of either end; ties to the smaller partner."""
+    """(id, partner, similarity): each id's most similar partner, of either end; ties to the greater partner."""
     both = pairs.select("id", F.col("nbr").alias("partner"), "similarity").union(pairs.select(F.col("nbr"), F.col("id"), "similarity"))
-    return both.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "partner")).alias("m")).select("id", F.col("m.partner").alias("partner"), (-F.col("m.s")).alias("similarity"))
+    return both.groupBy("id").agg(F.max(F.struct("similarity", "partner")).alias("m")).select("id", "m.partner", "m.similarity")
+
+
+#: Where a role's requirements come from, or why it has none.
+STATUSES = ("direct_esco", "aligned_esco", "direct_onet", "no_requirements", "no_esco_alignment", "unsupported_role_source")
+
+
+def requirement_evidence(nodes: DataFrame, aligned: DataFrame) -> DataFrame:
+    """(role, origin, evidence): the role whose skills stand for each role's: itself, or the one it is aligned with.
+
+    A role of the second source that is aligned never falls back to its own skills, even if its partner has none.
+    nodes: (id, source); aligned: (id, partner)."""
+    j = nodes.select(F.col("id").alias("role"), "source").join(aligned.select(F.col("id").alias("role"), "partner"), "role", "left")
+    via = F.col("partner").isNotNull()
+    origin = F.when(F.col("source") == "esco", "direct_esco").when((F.col("source") == "onet") & via, "aligned_esco").when(F.col("source") == "onet", "direct_onet").otherwise("unsupported_role_source")
+    return j.select("role", origin.alias("origin"), F.when(origin == "aligned_esco", F.col("partner")).when(origin != "unsupported_role_source", F.col("role")).alias("evidence"))
 
 
 def role_requirements(nodes: DataFrame, requires: DataFrame, aligned: DataFrame, least: float = 3.5) -> DataFrame:
-    """(role, skill, status): essential skills of roles of the first source; for others those of the
-    aligned role (status aligned), else their own of at least `least` importance (status own)."""
-    essential = requires.filter("requirement_level = 'essential'").select("src", F.col("dst").alias("skill"))
-    first = nodes.filter("source = 'esco'").select(F.col("id").alias("role")).join(essential, F.col("role") == F.col("src")).select("role", "skill", F.lit("own").alias("status"))
-    others = nodes.filter("source = 'onet'").select(F.col("id").alias("role"))
-    via = others.join(aligned.select(F.col("id").alias("role"), "partner"), "role").join(essential, F.col("partner") == F.col("src")).select("role", "skill", F.lit("aligned").alias("status"))
-    rest = others.join(via.select("role").distinct(), "role", "left_anti")
-    own = rest.join(requires.filter(F.col("importance") >= least).select("src", F.col("dst").alias("skill")), F.col("role") == F.col("src")).select("role", "skill", F.lit("own").alias("status"))
-    return first.unionByName(via).unionByName(own)
+    """(role, skill, status, evidence): essential skills of roles of the first source; for others those of the aligned role,
+    or, where there is no such role, their own of at least `least` importance. Roles without a skill have no row."""
+    essential = requires.filter("source = 'esco' and requirement_level = 'essential'").select(F.col("src").alias("evidence"), F.col("dst").alias("skill"))
+    own = requires.filter((F.col("source") == "onet") & (F.col("importance") >= least)).select(F.col("src").alias("evidence"), F.col("dst").alias("skill"))
+    e = requirement_evidence(nodes, aligned)
+    first = e.filter("origin in ('direct_esco', 'aligned_esco')").join(essential, "evidence")
+    second = e.filter("origin = 'direct_onet'").join(own, "evidence")
+    return first.unionByName(second).select("role", "skill", F.col("origin").alias("status"), "evidence")
+
+
+def requirement_status(nodes: DataFrame, aligned: DataFrame, requirements: DataFrame) -> DataFrame:
+    """(role, status, evidence, skills) of every role: how many skills it needs, on what evidence, and why if none."""
+    n = requirements.groupBy("role").agg(F.count("*").alias("skills"))
+    none = F.when(F.col("origin") == "direct_onet", "no_esco_alignment").when(F.col("origin") == "unsupported_role_source", F.col("origin")).otherwise("no_requirements")
+    return requirement_evidence(nodes, aligned).join(n, "role", "left").select("role", F.when(F.col("skills") > 0, F.col("origin")).otherwise(none).alias("status"), "evidence", F.coalesce("skills", F.lit(0)).alias("skills"))
 
 
 def gaps(targets: DataFrame, requirements: DataFrame, owned: DataFrame, idf: DataFrame) -> DataFrame:
@@ -220,9 +241,9 @@ def effort_band(score: Column, low: float = 0.3, high: float = 0.6) -> Column:
 
 
 def upskill_weeks(missing: Column, band: Column) -> tuple[Column, Column]:
-    """Least and most weeks: five a missing skill, 40 % less and more; without one, by the band."""
-    low = F.when(missing > 0, F.greatest(F.lit(1), (5 * missing * 0.6).cast("int"))).when(band == "low", 4).when(band == "moderate", 12).otherwise(36)
-    high = F.when(missing > 0, F.greatest(F.lit(4), (5 * missing * 1.4).cast("int"))).when(band == "low", 12).when(band == "moderate", 36).otherwise(72)
+    """Least and most weeks: five a missing skill, 40 % less and more; without one, by the band, as low where that is unknown."""
+    low = F.when(missing > 0, F.greatest(F.lit(1), (5 * missing * 0.6).cast("int"))).when(band == "moderate", 12).when(band == "high", 36).otherwise(4)
+    high = F.when(missing > 0, F.greatest(F.lit(4), (5 * missing * 1.4).cast("int"))).when(band == "moderate", 36).when(band == "high", 72).otherwise(12)
     return low, high
 
 

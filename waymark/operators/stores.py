@@ -3,8 +3,16 @@ written and read back."""
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .graph import NODE_TYPES, RELATIONS, uuid5
 from .vectors import normalised
@@ -29,14 +37,64 @@ def split_files(spark: SparkSession, files: DataFrame, schema: str, required: tu
     return out
 
 
-def verify_manifest(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+#: Bytes that are read and hashed at a time.
+CHUNK = 1 << 22
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(name, bytes, sha256) of a JSON manifest {"files": {name: {"bytes": ..., "sha256": ...}}}; names are paths below its folder."""
+    raw = spark.read.schema("files map<string, struct<bytes: bigint, sha256: string>>").json(path, multiLine=True)
+    return raw.select(F.explode("files").alias("name", "x")).select("name", "x.bytes", "x.sha256")
+
+
+def digests(files: DataFrame, folder: str) -> DataFrame:
+    """files with has (its size) and digest (SHA-256 in lower case) of each file `name` below a folder; nulls where none is.
+
+    A file is read as a stream of chunks by the task that holds its row, so its size doesn't matter."""
+    schema = StructType([*files.schema.fields, StructField("has", LongType()), StructField("digest", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def one(fs: pa_fs.FileSystem, path: str) -> tuple[int | None, str | None]:
+        info = fs.get_file_info(path)
+        if info.type != pa_fs.FileType.File:
+            return None, None
+        h = hashlib.sha256()
+        with fs.open_input_stream(path) as stream:
+            while part := stream.read(CHUNK):
+                h.update(part)
+        return info.size, h.hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pa_fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            found = [one(fs, f"{root.rstrip('/')}/{name}") for name in batch.column("name").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.string())], schema=arrow)
+
+    return files.mapInArrow(run, schema)
+
+
+def listing(spark: SparkSession, folder: str, hidden: bool = False) -> DataFrame:
+    """(name) of all files below a folder, as paths below it; those that begin with a point or an underscore, or lie in such a
+    folder, only if `hidden`. A listing holds names, no data; it's made where the query is built, as Spark's own listings are."""
+    fs, root = pa_fs.FileSystem.from_uri(folder)
+    root = root.rstrip("/")
+    names = [x.path[len(root) + 1 :] for x in fs.get_file_info(pa_fs.FileSelector(root, recursive=True, allow_not_found=True)) if x.type == pa_fs.FileType.File]
+    shown = [n for n in names if hidden or not any(part[0] in "._" for part in n.split("/"))]
+    return spark.createDataFrame([(n,) for n in shown], "name string")
+
+
+def verify_manifest(spark: SparkSession, folder: str, manifest: DataFrame, hidden: bool = False) -> DataFrame:
     """(name, status) of every file below a folder and of every entry of a manifest (name, bytes, sha256): ok, wrong size,
-    wrong digest, missing or unlisted. Files are hashed where they are read, one a row."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(folder)
-    have = f.select(F.element_at(F.split("path", "/"), -2).alias("name"), F.col("length").alias("has"), F.sha2("content", 256).alias("digest"))
-    j = have.join(manifest, "name", "full")
-    status = F.when(F.col("has").isNull(), "missing").when(F.col("bytes").isNull(), "unlisted").when(F.col("has") != F.col("bytes"), "wrong size").when(F.col("digest") != F.col("sha256"), "wrong digest").otherwise("ok")
-    return j.select("name", status.alias("status"))
+    wrong digest, missing or unlisted. Names are paths below the folder. Digests agree in either case. Only listed files
+    are read; each is hashed where its entry lies."""
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    have = digests(manifest.select("name", "bytes", "sha256").repartition(slots, "name"), folder)
+    status = (
+        F.when(F.col("has").isNull(), "missing").when(F.col("bytes").isNull() | (F.col("has") != F.col("bytes")), "wrong size")
+        .when(F.col("sha256").isNull() | (F.col("digest") != F.lower("sha256")), "wrong digest").otherwise("ok")
+    )
+    more = listing(spark, folder, hidden).join(manifest.select("name"), "name", "left_anti")
+    return have.select("name", status.alias("status")).unionByName(more.select("name", F.lit("unlisted").alias("status")))
 
 
 def crosswalk(rows: DataFrame) -> DataFrame:
@@ -58,6 +116,35 @@ def sink_graph(nodes: DataFrame, edges: DataFrame, folder: str, graph: str = "gr
     edges.withColumn("edge_key", key).withColumn("relation", known("relation", RELATIONS)).write.partitionBy("relation").parquet(f"{folder}/edges")
 
 
+def sink_edges(edges: DataFrame, folder: str) -> None:
+    """Edges as a store of kinds: a partition for each relation and source, so that one kind can be replaced alone."""
+    edges.write.partitionBy("relation", "source").parquet(folder)
+
+
+def replace_edges(nodes: DataFrame, new: DataFrame, folder: str, relation: str, source: str) -> None:
+    """One kind of edges in a store of `sink_edges` replaced by `new` (same columns but relation and source); all others stay.
+
+    `new` is written aside, and only when it's whole do the old files go and the new ones take their place, so a job
+    that fails leaves the store as it was; repeating it changes nothing more. An empty `new` empties the kind. An end that
+    is no node (id) ends the job before the store is touched."""
+    spark = new.sparkSession
+    aside = f"{folder}/_new-{uuid.uuid4().hex}"
+    known = nodes.select(F.col("id"), F.lit(True).alias("known"))
+    checked = new
+    for end in ("src", "dst"):
+        there = known.select(F.col("id").alias(end), F.col("known").alias("found"))
+        lost = F.raise_error(F.concat(F.lit("no node is "), F.coalesce(end, F.lit("null")))).cast("string")
+        checked = checked.join(there, end, "left").withColumn(end, F.when(F.col("found"), F.col(end)).otherwise(lost)).drop("found")
+    checked.select(new.columns).write.parquet(aside)
+    path = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    place = path(f"{folder}/relation={relation}/source={source}")
+    fs = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.delete(place, True)
+    fs.mkdirs(place.getParent())
+    if not fs.rename(path(aside), place):
+        raise OSError(f"{aside} can't take the place of {place}")
+
+
 def load_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The nodes and edges of a stored graph without what only the store needs."""
     return spark.read.parquet(f"{folder}/nodes").drop("entity_key"), spark.read.parquet(f"{folder}/edges").drop("edge_key")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
+from ..operators import stores as st
 from ..operators import transitions as tr
 from ..operators import vectors as v
 from ..sources import bridge as b
@@ -235,12 +236,19 @@ def enrich_graph(s, d):
 
 
 def replace_edges(s, d):
-    """Transitions of less support stored, then their partition overwritten by those of more; everything else stays."""
+    """Kinds of a store replaced one after the other: transitions by those of more support, twice; an older alignment by
+    nothing; a kind that wasn't there by the pairs of equal groups."""
     folder = new_folder(s, "replaced")
-    every_edge(s, d).write.partitionBy("relation").parquet(folder)
-    new = transition_edges(s, d).filter("count >= 6").select("src", "dst", "relation", "source")
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("relation").parquet(folder)
-    return s.read.parquet(folder).groupBy("relation").agg(F.count("*").alias("count"))
+    old = transition_edges(s, d).select("src", "dst", F.lit("SIMILAR_TO").alias("relation"), F.lit("alignment").alias("source"))
+    st.sink_edges(every_edge(s, d).unionByName(old), folder)
+    every = nodes(s, d).select("id")
+    for _ in range(2):
+        st.replace_edges(every, transition_edges(s, d).filter("count >= 6").select("src", "dst"), folder, "TRANSITIONS_TO", "trajectory")
+    st.replace_edges(every, old.filter("false").select("src", "dst"), folder, "SIMILAR_TO", "alignment")
+    role = b.roles_a(s, d).select("id", "isco_group")
+    pairs = role.select(F.col("id").alias("src"), "isco_group").join(role.select(F.col("id").alias("dst"), "isco_group"), "isco_group").filter("src < dst").select("src", "dst")
+    st.replace_edges(every, pairs, folder, "SAME_GROUP", "isco")
+    return s.read.schema("src string, dst string, relation string, source string").parquet(folder).groupBy("relation", "source").agg(F.count("*").alias("count"))
 
 
 @staged
@@ -463,7 +471,8 @@ ORACLE_SQL = {
     "enrich_graph": f"""{GRAPH}, {_IDF}, f as (select isco_group, min(id) as m from roles_a where cast(isco_group as int) % 2 = 0 group by 1), h as (select substr(isco_group, 1, 2) as k, min(id) as m from roles_a group by 1),
       mt as (select r.id, coalesce(f.m, h.m) as match from roles_a r left join f using (isco_group) left join h on k = substr(r.isco_group, 1, 2)), su as (select src, count(*) as skills, round(sum(idf), 6) as idf_sum from requires join idf using (dst) group by src)
       select n.id, case when source = 'esco' then substr(isco_group, 1, 2) end as isco_2digit, match, coalesce(skills, 0) as skills, coalesce(idf_sum, 0) as idf_sum from nodes n left join mt using (id) left join su on su.src = n.id""",
-    "replace_edges": f"{GRAPH} select 'REQUIRES' as relation, count(*) as count from requires union all select 'TRANSITIONS_TO', case when count(*) filter (count >= 6) > 0 then count(*) filter (count >= 6) else count(*) end from trans having count(*) > 0",
+    "replace_edges": f"""{GRAPH} select 'REQUIRES' as relation, source, count(*) as count from requires group by source union all select 'TRANSITIONS_TO', 'trajectory', count(*) from trans where count >= 6 having count(*) > 0
+      union all select 'SAME_GROUP', 'isco', count(*) from roles_a x join roles_a y on x.isco_group = y.isco_group and x.id < y.id having count(*) > 0""",
     "taxonomy_edges": f"with {b.SQL_ROLES_A}, {b.SQL_REQUIRES}, {b.SQL_TAXONOMY} select * from tax",
     "alignment_edges": f"{_FULL} select 'SIMILAR_TO' as relation, 'alignment' as source, 2 * count(*) as edges, round(2 * sum(similarity), 6) as similarity from al having count(*) > 0 union all select relation, source, count(*), null from every_edge group by all",
     "build_graph": f"{GRAPH} select src, dst, source || ':REQUIRES' as edge_key, requirement_level, importance, case when dst like '%ring' then 9.9 else level_score end as level_score, null as count from requires union all select src, dst, 'trajectory:TRANSITIONS_TO', null, null, null, count from trans",

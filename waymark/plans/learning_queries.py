@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..operators import models
 from ..operators import ranker as rk
 from ..operators import stores as st
+from ..operators import trajectories as t
 from ..sources import bridge as b
 from ..sources.shared import cache_by_folder, new_folder, staged
 from ..streaming.incremental import run_available
 from .graph_queries import _FULL, _TRANS, full_edges, idf_table, nodes, skills, transition_edges
 from .model_queries import _NEAR, _NEAR_10, _VEC, _WALK, brand_neighbours, brand_vectors, held_out, role_vectors
 from .scoring_queries import current_roles, effort_parts, full_pair_features, missing_edge_candidates
-from .trajectory_queries import CHAIN, kept, train_counts
+from .trajectory_queries import CHAIN, _DATED, dated_rows, kept, train_counts
 
 
 def incremental_transitions(s, d):
@@ -84,16 +85,21 @@ def sink_reports(s, d):
 
 
 def verify_manifest(s, d):
-    """One file a brand, against a manifest in which brands that end in 3 have another digest, those in 4 another size, those in 5
-    are not listed, and which lists one file that isn't there."""
-    folder = new_folder(s, "files")
-    part = b.table(s, d, "part").select("p_brand", "p_partkey", "p_name")
-    part.repartition("p_brand").sortWithinPartitions("p_partkey").write.partitionBy("p_brand").csv(folder)
-    f = s.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(folder)
-    name = F.element_at(F.split("path", "/"), -2)
-    m = f.select(name.alias("name"), F.when(name.endswith("4"), F.col("length") + 1).otherwise(F.col("length")).alias("bytes"), F.when(name.endswith("3"), F.lit("0")).otherwise(F.sha2("content", 256)).alias("sha256")).filter(~name.endswith("5"))
-    m = m.unionByName(s.range(1).select(F.lit("lost").alias("name"), F.lit(1).cast("long").alias("bytes"), F.lit("0").alias("sha256")))
-    return st.verify_manifest(s, folder, m).groupBy("status").agg(F.count("*").alias("files"))
+    """Files of each brand under several names, against a JSON manifest in which brands that end in 3 have another digest, those in 4
+    another size, those in 5 are not listed, and which lists one file that isn't there. The digest is of the brand's part keys."""
+    folder, notes = new_folder(s, "files"), new_folder(s, "manifest")
+    keys = F.array_join(F.array_sort(F.collect_list(F.col("p_partkey"))), ",")
+    text = b.table(s, d, "part").groupBy("p_brand").agg(keys.alias("value"))
+    line = F.concat("value", F.lit("\n"))
+    text.repartition("p_brand").write.partitionBy("p_brand").text(folder)
+    # the names of Spark's files are its own: those of the listing, by brand
+    files = st.listing(s, folder).withColumn("p_brand", F.regexp_extract(F.url_decode("name"), "p_brand=([^/]+)/", 1))
+    want = files.join(text, "p_brand").select("name", "p_brand", F.length(line).cast("long").alias("bytes"), F.sha2(line.cast("binary"), 256).alias("sha256"))
+    want = want.filter(~F.col("p_brand").endswith("5")).withColumn("bytes", F.when(F.col("p_brand").endswith("4"), F.col("bytes") + 1).otherwise(F.col("bytes"))).withColumn("sha256", F.when(F.col("p_brand").endswith("3"), F.lit("0")).otherwise(F.upper("sha256")))
+    lost = s.range(1).select(F.lit("lost.csv").alias("name"), F.lit(1).cast("long").alias("bytes"), F.lit("0").alias("sha256"))
+    entry = F.struct("name", F.struct("bytes", "sha256").alias("x"))
+    want.select("name", "bytes", "sha256").unionByName(lost).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("files"))).alias("value")).write.text(notes)
+    return st.verify_manifest(s, folder, st.read_manifest(s, notes)).groupBy("status").agg(F.count("*").alias("files"))
 
 
 def scan_crosswalk(s, d):
@@ -156,13 +162,19 @@ def lp_train_score(s, d):
     return models.predict(model, rows.join(missing_edge_candidates(s, d), ["src", "dst"], "left_semi"), 10, LP_FEATURES)
 
 
+def dated_counts(s, d):
+    """(src, dst, count): transitions of the dated histories of training people, by brand."""
+    pairs = t.dated_pairs(dated_rows(s, d)).filter("reason = 'valid' and person % 10 <= 7")
+    return pairs.groupBy(F.substring("src", 3, 100).alias("src"), F.substring("dst", 3, 100).alias("dst")).agg(F.count("*").alias("count"))
+
+
 @staged
 def ranker_rows(s, d):
-    """Candidates of every source from seven channels, with 33 features and graded validation labels; second-order counts of
-    events stand for the other dataset."""
+    """Candidates of every source from seven channels, with 33 features and graded validation labels. The other dataset is
+    that of dated histories, of people of the training split alone."""
     vec, ids = brand_vectors(s, d), b.roles_a(s, d).select(F.col("title").alias("id"), F.substring("isco_group", 1, 2).alias("g"))
     own = b.requires(s, d).filter("source = 'esco'").join(idf_table(s, d), "dst", "left").select(F.substring("src", 3, 100).alias("role"), F.col("dst").alias("skill"), F.coalesce("idf", F.lit(1.0)).alias("idf"))
-    aux = held_out(s, d, "test")
+    aux = dated_counts(s, d)
     out = rk.rows(train_counts(s, d, 5), brand_neighbours(s, d, 10), vec, ids, own, aux, 40)
     return rk.graded(out, held_out(s, d, "validation"))
 
@@ -195,14 +207,14 @@ QUERIES = {f.__name__: f for f in (
 
 _ORDER = "order by round({}, 9) desc, dst"
 _RANKER = f"""{CHAIN}, {_VEC}, {b.SQL_REQUIRES}, {_NEAR}, {_NEAR_10}, idf as (select dst, ln((select count(*) from (select id from roles_a union all select id from roles_b)) / count(*)) as idf from requires group by dst), {_WALK}
-, held_t as (select src, dst, count(*) as count from classified where reason = 'valid' and split = 'test' group by src, dst), held_v as (select src, dst, count(*) as count from classified where reason = 'valid' and split = 'validation' group by src, dst
+, dated_c as (select substr(src, 3) as src, substr(dst, 3) as dst, count(*) as count from ({_DATED} select * from pairs) where reason = 'valid' and person % 10 <= 7 group by all), held_v as (select src, dst, count(*) as count from classified where reason = 'valid' and split = 'validation' group by src, dst
 ), ids as (select title as id, cast(substr(isco_group, 1, 2) as int) as g from roles_a
 ), kn as (select *, exp((similarity - max(similarity) over (partition by id)) / 0.05) as e from nearest10 where nbr in (select src from c5)), ku as (select *, e / sum(e) over (partition by id) as u from kn
 ), sem as (select id as src, dst, sum(u * probability) as sp, max(similarity) as ss, count(*) as sn from ku join c5 on nbr = c5.src where dst <> id group by id, dst
 ), wk as (select src, dst, coalesce(a.p, 0) as p2, coalesce(z.p, 0) as p3 from w2 a full join w3 z using (src, dst)
 ), own as (select substr(src, 3) as role, dst as skill, coalesce(idf, 1) as idf from requires left join idf using (dst) where source = 'esco'
 ), shd as (select a.role as src, z.role as dst, count(*) as bo, sum(a.idf) as si from own a join own z using (skill) where a.role <> z.role group by all), sz as (select role, count(*) as n, sum(idf) as al from own group by role
-), pop as (select dst, sum(count) as dc from c5 group by dst), ax as (select src, dst, count as ac, count / sum(count) over (partition by src) as ap from held_t
+), pop as (select dst, sum(count) as dc from c5 group by dst), ax as (select src, dst, count as ac, count / sum(count) over (partition by src) as ap from dated_c
 ), ch as (
   select src, dst, 'direct' as c from (select *, row_number() over (partition by src {_ORDER.format('probability')}) as r from c5) where r <= 40
   union all select src, dst, 'semantic' from (select *, row_number() over (partition by src {_ORDER.format('sp')}) as r from sem) where r <= 40
@@ -221,10 +233,10 @@ _RANKER = f"""{CHAIN}, {_VEC}, {b.SQL_REQUIRES}, {_NEAR}, {_NEAR_10}, idf as (se
     left join pop on pop.dst = ca.dst left join ax on ax.src = ca.src and ax.dst = ca.dst left join held_v hv on hv.src = ca.src and hv.dst = ca.dst
 )"""
 ORACLE_SQL = {
-    "ranker_features": f"""{_RANKER} select src, dst, round(pr, 5) as probability, n as count, round(ln(1 + n), 5) as log_count, round(ln(1 + tot), 5) as log_total, round(case when tot > 0 then n / (tot + 5) else 0 end, 5) as shrunk, (n >= 2)::int as count_2, (n >= 3)::int as count_3, (n >= 5)::int as count_5,
+    "ranker_features": f"""{_RANKER} select src, dst, cast(columns(* exclude (src, dst, grade)) as double), grade from (select src, dst, round(pr, 5) as probability, n as count, round(ln(1 + n), 5) as log_count, round(ln(1 + tot), 5) as log_total, round(case when tot > 0 then n / (tot + 5) else 0 end, 5) as shrunk, (n >= 2)::int as count_2, (n >= 3)::int as count_3, (n >= 5)::int as count_5,
       round(sp, 5) as semantic_p, round(ss, 5) as semantic_similarity, sn as semantic_support, round(p2, 5) as walk_2, round(p3, 5) as walk_3, round(co, 5) as cosine, vm::int as vector_missing, coalesce((gx = gy)::int, 0) as same_group, round(coalesce(least(abs(gx - gy) / 90, 1), 0.5), 5) as group_distance,
       round(case when nx + ny - bo > 0 then bo / (nx + ny - bo) else 0 end, 5) as skill_jaccard, round(case when ay > 0 then si / ay else 0 end, 5) as idf_coverage, round(case when ny > 0 then (ny - bo) / ny else 0 end, 5) as skill_gap, coalesce(round(dc / (select sum(count) from c5), 5), 0) as popularity, round(ln(1 + dc), 5) as log_popularity,
-      {', '.join(f'in_{x}' for x in rk.CHANNELS)}, round(ap, 5) as aux_p, ac as aux_count, round(ln(1 + ac), 5) as aux_log_count, (ac > 0)::int as aux_seen, case when hv >= 4 then 3 when hv >= 2 then 2 when hv >= 1 then 1 else 0 end as grade from fs""",
+      {', '.join(f'in_{x}' for x in rk.CHANNELS)}, round(ap, 5) as aux_p, ac as aux_count, round(ln(1 + ac), 5) as aux_log_count, (ac > 0)::int as aux_seen, case when hv >= 4 then 3 when hv >= 2 then 2 when hv >= 1 then 1 else 0 end as grade from fs)""",
     "ranker_recall": f"""{_RANKER} select count(distinct src) as queries, count(*) as rows, count(*) filter (hv > 0) as positive_rows, (select coalesce(sum(count), 0) from held_v where src in (select src from fs))::bigint as truth, coalesce(sum(hv), 0)::bigint as recalled from fs""",
     "incremental_transitions": """with e as (select user_id as person, row_number() over (partition by user_id order by ts, event_id) as ord, event_type as label, event_id from events
       ), k as (select person, ord, label, ord % 40 = 0 and event_id % 2 = 0 and ord <= 80 as doubled from e where event_id % 11 <> 0

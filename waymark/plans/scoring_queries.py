@@ -127,6 +127,14 @@ def role_requirements(s, d):
     return requirements(s, d)
 
 
+def requirement_status(s, d):
+    """What each role's requirements rest on; suppliers with a key that 3 divides count as unaligned, those that 20 divides as of no known source."""
+    key = F.substring("id", 3, 20).cast("long")
+    some = nodes(s, d).withColumn("source", F.when(F.col("id").startswith("b:") & (key % 20 == 0), "other").otherwise(F.col("source")))
+    like = aligned_role(s, d).filter(key % 3 != 0)
+    return sc.requirement_status(some, like, sc.role_requirements(some, b.requires(s, d), like))
+
+
 def skill_gap(s, d):
     return gap_table(s, d).select("query_id", "role", "required", "owned", F.round("accessibility", 6).alias("accessibility"))
 
@@ -425,7 +433,7 @@ def short_label(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    strongest_alignment, role_requirements, hybrid_retrieve, live_candidates, rank_by_gap, skill_gap, qualification, graph_retrieve, related_roles, isco_distance, effort_score, rank_by_effort,
+    strongest_alignment, role_requirements, requirement_status, hybrid_retrieve, live_candidates, rank_by_gap, skill_gap, qualification, graph_retrieve, related_roles, isco_distance, effort_score, rank_by_effort,
     priority_skills, learning_plan, path_skills, explain_path, format_explanation, course_queries, role_lookup, explore_skills, rrf, weighted_rrf, head_fusion, priority_combine, candidate_union,
     channel_topk, rerank_topn, pair_features, shared_skill_pairs, meta_path, missing_edge_candidates, title_tfidf, title_cosine, neighbour_evidence, relevance_grade, skill_set_algebra, course_links,
     user_turns, role_document, short_label,
@@ -434,12 +442,11 @@ QUERIES = {f.__name__: f for f in (
 #: GRAPH has the role views already.
 _BASE = f"{GRAPH}, {_VEC[_VEC.index('vector_ids as'):]}"
 _ALIGN = """align as (select id, nbr, similarity from sims where id like 'a:%' and nbr like 'b:%' and similarity > 0.15
-), best as (select * from (select *, row_number() over (partition by id order by similarity desc, partner) as n from (select id, nbr as partner, similarity from align union all select nbr, id, similarity from align)) where n = 1
-), via as (select best.id as role, dst as skill, 'aligned' as status from best join requires on src = partner and requirement_level = 'essential' where best.id like 'b:%'
+), best as (select * from (select *, row_number() over (partition by id order by similarity desc, partner desc) as n from (select id, nbr as partner, similarity from align union all select nbr, id, similarity from align)) where n = 1
 ), reqs as (
-  select src as role, dst as skill, 'own' as status from requires where requirement_level = 'essential'
-  union all select * from via
-  union all select src, dst, 'own' from requires where importance >= 3.5 and src not in (select role from via)
+  select src as role, dst as skill, 'direct_esco' as status, src as evidence from requires where requirement_level = 'essential'
+  union all select best.id, dst, 'aligned_esco', partner from best join requires on src = partner and requirement_level = 'essential' where best.id like 'b:%'
+  union all select src, dst, 'direct_onet', src from requires where importance >= 3.5 and src not in (select id from best)
 )"""
 _USER = """owned as (select distinct person as query_id, dst as skill from kept join requires on src = 'a:' || label and requirement_level = 'essential' where split = 'test'
 ), current_ as (select person as query_id, 'a:' || arg_max(label, ord) as cur from kept where split = 'test' group by person
@@ -487,8 +494,8 @@ _EFFORT = f"""have as (select role, skill, idf from reqs join idf on dst = skill
     (case when gap is null then 0 else 0.35::double end + case when domain is null then 0 else 0.15::double end + case when unsupported is null then 0 else 0.25::double end + case when transfer is null then 0 else 0.25::double end), 0), 1) as effort from parts
 ), scored1 as (select *, case when round(effort, 9) <= 0.3 then 'low' when round(effort, 9) <= 0.6 then 'moderate' when effort is not null then 'high' end as band from scored0
 ), scored as (
-  select *, case when missing > 0 then greatest(1, floor(5 * missing * 0.6::double)) when band = 'low' then 4 when band = 'moderate' then 12 else 36 end::int as weeks_low,
-    case when missing > 0 then greatest(4, floor(5 * missing * 1.4::double)) when band = 'low' then 12 when band = 'moderate' then 36 else 72 end::int as weeks_high from scored1
+  select *, case when missing > 0 then greatest(1, floor(5 * missing * 0.6::double)) when band = 'moderate' then 12 when band = 'high' then 36 else 4 end::int as weeks_low,
+    case when missing > 0 then greatest(4, floor(5 * missing * 1.4::double)) when band = 'moderate' then 36 when band = 'high' then 72 else 12 end::int as weeks_high from scored1
 )"""
 _SKILLS = """sk as (
   select query_id, role, skill, has, idf, idf / sum(idf) over (partition by query_id, role) as part, row_number() over (partition by query_id, role, has order by idf desc, skill) as rank
@@ -527,6 +534,10 @@ _TITLES = """tl as (select id, string_split('brand ' || regexp_replace(title, '[
 ORACLE_SQL = {
     "strongest_alignment": f"{_FULL} select id, partner, round(similarity, 6) as similarity from best",
     "role_requirements": f"{_FULL} select * from reqs",
+    "requirement_status": f"""{_FULL}, ro as (select n.id as role, case when n.id like 'b:%' and try_cast(substr(n.id, 3) as bigint) % 20 = 0 then 'other' else source end as source, partner from nodes n left join best on best.id = n.id and n.id like 'b:%' and try_cast(substr(n.id, 3) as bigint) % 3 <> 0
+      ), ev as (select role, case when source = 'esco' then 'direct_esco' when source = 'onet' and partner is not null then 'aligned_esco' when source = 'onet' then 'direct_onet' else 'unsupported_role_source' end as origin, case when source = 'onet' and partner is not null then partner when source <> 'other' then role end as evidence from ro
+      ), k as (select role, origin, evidence, count(q.src) as skills from ev left join requires q on q.src = evidence and case when origin = 'direct_onet' then importance >= 3.5 else requirement_level = 'essential' end group by all)
+      select role, case when skills > 0 or origin = 'unsupported_role_source' then origin when origin = 'direct_onet' then 'no_esco_alignment' else 'no_requirements' end as status, evidence, skills from k""",
     "skill_gap": f"{_FULL} select query_id, role, required, owned, round(acc, 6) as accessibility from gap",
     "qualification": f"{_FULL} select query_id, role, round(coalesce(acc, 0) + 1e-12, 4) as qualification from gap",
     "graph_retrieve": f"{_FULL} select query_id, role, round(score, 6) as score, rank from gr",
@@ -535,7 +546,7 @@ ORACLE_SQL = {
     "rank_by_gap": f"{_FULL} select query_id, id, place, round(acc, 6) as accessibility, evidence_type from bg",
     "related_roles": f"{_WHOLE} select src, dst, relation, round(weight, 6) as weight, rank from (select src, dst, relation, round(coalesce(similarity, probability), 9) as weight, row_number() over (partition by src order by round(coalesce(similarity, probability), 9) desc, relation, dst) as rank from fe where relation in ('SIMILAR_TO', 'TRANSITIONS_TO')) where rank <= 10",
     "isco_distance": f"""{GRAPH}, d as (select t.src, t.dst, a.isco_group as g, z.isco_group as h, cast(substr(a.isco_group, 1, 2) as int) as x, cast(substr(z.isco_group, 1, 2) as int) as y from trans t join roles_a a on a.id = t.src join roles_a z on z.id = t.dst)
-      select src, dst, round({_DIST.format(a='g', z='h')}, 6) as by_prefix, case when x = y then 0 when abs(x - y) <= 5 then 0.5 else 1 end as by_step, round(least(abs(x - y) / 90, 1), 6) as scaled from d""",
+      select src, dst, round({_DIST.format(a='g', z='h')}, 6) as by_prefix, case when x = y then 0 when abs(x - y) <= 5 then 0.5 else 1 end::double as by_step, round(least(abs(x - y) / 90, 1), 6) as scaled from d""",
     "effort_score": f"{_FULL}, {_EFFORT} select query_id, role, missing, round(effort, 6) as effort, band, weeks_low, weeks_high from scored",
     "rank_by_effort": f"{_FULL}, {_EFFORT} select query_id, role, round(e, 6) as effort, rank from (select query_id, role, round(effort, 9) as e, row_number() over (partition by query_id order by round(effort, 9) asc nulls last, role) as rank from scored) where rank <= 5",
     "priority_skills": f"{_FULL}, {_SKILLS} select query_id, role, kind, skill, round(idf, 6) as idf, share, rank from an",
@@ -565,7 +576,7 @@ ORACLE_SQL = {
     "pair_features": f"""{_FULL}, {_PAIR}, {_TITLES}, ev as (select 'a:' || n.id as src, 'a:' || dst as dst, max(probability) as evidence from nearest10 n join c5 on src = nbr group by all
       ), mp as (select a.src, z.src as dst, log2(1 + count(*)) as meta from (select src, dst from pf where cn >= 3) a join (select src, dst from pf where cn >= 3) z on a.dst = z.dst and a.src <> z.src group by all)
       select pf.src, pf.dst, cn, round(cn / (a.n + z.n - cn), 6) as jaccard, round(aa, 6) as aa, round(ra, 6) as ra, a.n * z.n as pa, round(case when z.al > 0 then shared / z.al end, 6) as idf_overlap, round(coalesce(similarity, 0), 6) as cosine,
-        case when x.g = y.g then 0 when abs(x.g - y.g) <= 5 then 0.5 else 1 end as group_distance, round(coalesce(evidence, 0), 6) as evidence, round(coalesce(title_cosine, 0), 6) as title_cosine, round(coalesce(meta, 0), 6) as meta
+        case when x.g = y.g then 0 when abs(x.g - y.g) <= 5 then 0.5 else 1 end::double as group_distance, round(coalesce(evidence, 0), 6) as evidence, round(coalesce(title_cosine, 0), 6) as title_cosine, round(coalesce(meta, 0), 6) as meta
       from pf join sz a on a.role = pf.src join sz z on z.role = pf.dst left join sims on sims.id = pf.src and sims.nbr = pf.dst join (select id, cast(substr(isco_group, 1, 2) as int) as g from roles_a) x on x.id = pf.src join (select id, cast(substr(isco_group, 1, 2) as int) as g from roles_a) y on y.id = pf.dst
         left join ev on ev.src = pf.src and ev.dst = pf.dst left join tc on tc.src = pf.src and tc.dst = pf.dst left join mp on mp.src = pf.src and mp.dst = pf.dst""",
     "shared_skill_pairs": f"{_FULL}, {_PAIR} select src, dst, cn from pf where cn >= 3",

@@ -49,7 +49,7 @@ def all_prefixes(s: SparkSession, d: str) -> DataFrame:
     return t.prefixes(kept(s, d))
 
 
-def _dated(s: SparkSession, d: str) -> DataFrame:
+def dated_rows(s: SparkSession, d: str) -> DataFrame:
     return t.dated_rows(b.dated_steps(s, d), b.code_index(s, d))
 
 
@@ -126,7 +126,7 @@ def parse_quarter(s, d):
 
 
 def dated_transitions(s, d):
-    return t.dated_pairs(_dated(s, d)).groupBy("src", "dst", "reason").agg(F.count("*").alias("count"), F.count_if("overlap").alias("overlaps"))
+    return t.dated_pairs(dated_rows(s, d)).groupBy("src", "dst", "reason").agg(F.count("*").alias("count"), F.count_if("overlap").alias("overlaps"))
 
 
 def dated_quality(s, d):
@@ -135,22 +135,22 @@ def dated_quality(s, d):
 
 def overlap_flag(s, d):
     """Pairs of neighbours that are in order, and how many of them overlap."""
-    return t.dated_pairs(_dated(s, d)).filter("reason <> 'ambiguous'").groupBy("person").agg(F.count_if("overlap").alias("overlaps"), F.count("*").alias("pairs"))
+    return t.dated_pairs(dated_rows(s, d)).filter("reason <> 'ambiguous'").groupBy("person").agg(F.count_if("overlap").alias("overlaps"), F.count("*").alias("pairs"))
 
 
 def tenure_gap_buckets(s, d):
     """Buckets of each row and of the gap to the row before it, with how often they occur."""
     w = Window.partitionBy("person").orderBy("order", "role", F.asc_nulls_last("start"), F.asc_nulls_last("end"), "university_level")
-    rows = _dated(s, d).withColumn("before", F.lag("end").over(w))
+    rows = dated_rows(s, d).withColumn("before", F.lag("end").over(w))
     return rows.groupBy(t.tenure_bucket(F.col("start"), F.col("end")).alias("tenure"), t.gap_bucket(F.col("before"), F.col("start")).alias("gap"), t.education_bucket(F.col("university_level"), True).alias("education")).count()
 
 
 def feature_prefixes(s, d):
-    return t.feature_prefixes(_dated(s, d), 3, True).withColumn("history", F.array_join("history", ">"))
+    return t.feature_prefixes(dated_rows(s, d), 3, True).withColumn("history", F.array_join("history", ">"))
 
 
 def feature_availability(s, d):
-    f = t.feature_prefixes(_dated(s, d), 20, True)
+    f = t.feature_prefixes(dated_rows(s, d), 20, True)
     return f.agg(F.count("*").alias("prefixes"), F.count_if(F.col("tenure") == 0).alias("missing_tenure"), F.count_if(F.col("gap") == 0).alias("missing_gap"), F.count_if(F.col("education") != 0).alias("with_education"))
 
 
