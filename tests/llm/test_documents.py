@@ -166,6 +166,62 @@ def test_slots_of_one_value_may_part_and_altered_copies_are_found(spark):
     assert got == {(1, 10), (2, 20), (3, 30)}
 
 
+def plain_share(pairs):
+    """Repeats of slot values and those that agree, counted one by one in both directions."""
+    sides = []
+    for one in (pairs, [(v, k) for k, v in pairs]):
+        by = {}
+        for k, v in one:
+            by.setdefault(k, []).append(v)
+        sides.append((sum(len(x) - 1 for x in by.values()), sum(max(x.count(v) for v in x) - 1 for x in by.values())))
+    repeats = sides[0][0] + sides[1][0]
+    return 1.0 if max(sides[0][0], sides[1][0]) <= 1 else (sides[0][1] + sides[1][1]) / repeats
+
+
+NAMES = "Anna Boris Clara David Elena Felix Greta Henri".split()
+
+
+def test_slot_consistency_decides_between_copies_and_contradictions(spark):
+    """200 items of repeated names and numbers: each with a re-parameterised copy whose slots contradict it to some degree."""
+    r = random.Random(31)
+    bench, docs, want, shares = [], [], {}, []
+    for i in range(200):
+        words = words_of(None, 24, r)
+        slots = [r.choice([*NAMES[:3], "30", "45", "7"]) for _ in range(8)]
+        fresh = dict(zip([*NAMES[:3], "30", "45", "7"], [*r.sample(NAMES[3:], 3), *r.sample(["81", "92", "63", "54"], 3)]))
+        wrong = r.choice((0.0, 0.3, 1.0))
+        other = [(r.choice(NAMES) if x in NAMES else str(r.randint(10, 99))) if r.random() < wrong else fresh[x] for x in slots]
+        put = lambda values: " ".join(x for k, v in enumerate(values) for x in (*words[3 * k : 3 * k + 3], v))  # noqa: E731, B023
+        bench.append((i, "so " + put(slots)))
+        docs.append((i, "so " + put(other)))
+        want[i] = plain_share([(a.lower(), b.lower()) for a, b in zip(slots, other)])
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    for least in (0.0, 0.5, 1.0):
+        got = {x.doc_id: x.consistency for x in decontamination.contaminated(d, b, consistent=least).collect() if x.doc_id == x.item_id}
+        assert got == pytest.approx({i: s for i, s in want.items() if s >= least})
+        shares.append(len(got))
+    assert shares[0] == 200 > shares[1] > 110 and shares[1] > shares[2] > 50
+
+
+def test_contradicting_names_and_numbers_are_no_match(spark):
+    item = "so Anna has 30 red balls while the other girl with Anna carries 30 green ones over the bridge"
+    other = "so Anna has 30 red balls while the other girl with Boris carries 77 green ones over the bridge"
+    turned = item.replace("Anna", "Clara").replace("30", "81")
+    two = "so Anna has 30 red balls while the other girl with Boris carries 77 green ones over the bridge"
+    merged = "so Clara has 81 red balls while the other girl with Clara carries 81 green ones over the bridge"
+    docs = spark.createDataFrame([(1, item), (2, other), (3, turned), (4, merged)], "doc_id long, text string")
+    find = lambda x: {r.doc_id for r in decontamination.contaminated(docs, spark.createDataFrame([(1, x)], "item_id long, text string")).collect()}
+    assert find(item) == {1, 3, 4} and find(two) == {2}
+
+
+def test_items_of_names_and_numbers_are_found_as_they_are(spark):
+    item = "so Anna 12 Boris 45 Clara 77 David 81 Elena 90 Felix 14"
+    copy, other = f"some words before {item} and behind", item.replace("12", "13").replace("Clara", "Greta")
+    docs = spark.createDataFrame([(1, copy), (2, other.replace("81", "82")), (3, "9 Anna 8 Boris " * 2000)], "doc_id long, text string")
+    got = decontamination.contaminated(docs, spark.createDataFrame([(1, item), (2, "Only")], "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(1, 1)}
+
+
 def test_windows_beyond_the_broadcast_are_joined_by_hash(spark, monkeypatch):
     r = random.Random(2)
     items = [(k, " ".join(words_of(None, 20, r))) for k in range(30)]
