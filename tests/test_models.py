@@ -3,7 +3,6 @@
 import math
 import uuid
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,11 +220,6 @@ def test_prune_and_reach(spark):
     assert {(r.id, r.hops) for r in got} == {("t", 0), ("x", 1), ("r", 2)}
 
 
-def test_calibration_prefers_the_part_that_separates():
-    beta = models.descend(np.array([[-1.0, 0.2], [-0.8, -0.1], [-0.9, 0.0]]), np.array([1.0, 1.0, 2.0]))
-    assert beta.sum() == pytest.approx(1) and beta[0] > 0.8 and (beta >= 0).all()
-
-
 def test_texts(spark):
     skills = spark.createDataFrame([("s1", "Machine Learning (basics)"), ("s2", "R"), ("s3", "Go"), ("s4", "machine learning")], "id string, title string")
     aliases = x.skill_aliases(skills)

@@ -215,7 +215,7 @@ def group_distance(a: Column, b: Column) -> Column:
     same = F.lit(0)
     for k in (1, 2, 3, 4):
         same = F.when((F.substring(a, 1, k) == F.substring(b, 1, k)) & (F.length(a) >= k) & (F.length(b) >= k), k).otherwise(same)
-    return F.when(a == b, 0.0).otherwise(1 - same / n)
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(a == b, 0.0).otherwise(1 - same / n))
 
 
 def step_distance(a: Column, b: Column) -> Column:

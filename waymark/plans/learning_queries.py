@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import calibration as cal
 from ..operators import models
 from ..operators import ranker as rk
 from ..operators import stores as st
@@ -14,7 +15,7 @@ from ..sources.shared import cache_by_folder, new_folder, staged
 from ..streaming.incremental import run_available
 from .graph_queries import _FULL, _TRANS, full_edges, idf_table, nodes, skills, transition_edges
 from .model_queries import _NEAR, _NEAR_10, _VEC, _WALK, brand_neighbours, brand_vectors, held_out, role_vectors
-from .scoring_queries import current_roles, effort_parts, full_pair_features, missing_edge_candidates
+from .scoring_queries import full_pair_features, missing_edge_candidates, requirements
 from .trajectory_queries import CHAIN, _DATED, dated_rows, kept, train_counts
 
 
@@ -193,11 +194,47 @@ def ranker_train(s, d):
     return rk.train(ranker_rows(s, d), rk.FEATURES)
 
 
+def _steps(s, d, split):
+    """(event, history, src, dst): observed steps of a split's people with the roles before them."""
+    role = lambda c: F.concat(F.lit("a:"), c)
+    p = t.prefixes(kept(s, d).filter(F.col("split") == split))
+    return p.select(F.concat_ws("|", "person", "ord").alias("event"), F.transform("history", role).alias("history"), role(F.element_at("history", -1)).alias("src"), role(F.col("target")).alias("dst"))
+
+
+def _role_skills(s, d):
+    """(role, grp, skills): roles of the first source with their skills and these' idf."""
+    need = requirements(s, d).join(idf_table(s, d).select(F.col("dst").alias("skill"), F.round("idf", 9).alias("idf")), "skill", "left").select("role", F.struct("skill", F.coalesce("idf", F.lit(1.0)).alias("idf")).alias("x"))
+    by = need.groupBy("role").agg(F.sort_array(F.collect_set("x")).alias("skills"))
+    roles = b.roles_a(s, d).select(F.col("id").alias("role"), "isco_group", F.substring("isco_group", 1, 2).alias("grp")).join(by, "role", "left")
+    return roles.withColumn("skills", F.coalesce("skills", F.array().cast(by.schema["skills"].dataType)))
+
+
+def _known_parts(s, d, steps, pairs):
+    """pairs (event, src, role, ...) of `steps` with the parts of effort; a person owns what the roles before a step need."""
+    roles = _role_skills(s, d)
+    each = steps.select("event", F.explode("history").alias("role")).join(roles.select("role", F.explode("skills").alias("x")), "role")
+    owned = each.groupBy("event").agg(F.collect_set("x").alias("skills"))
+    support = transition_edges(s, d).select("src", F.col("dst").alias("role"), F.least(F.lit(1.0), F.col("probability") * F.log2(1.0 + F.col("count"))).alias("support"))
+    return cal.step_features(pairs, owned, roles.select("role", F.col("isco_group").alias("grp"), "skills"), support)
+
+
+@staged
+def calibration_pairs(s, d):
+    """Differences of every training step and its sampled alternatives."""
+    steps, roles = _steps(s, d, "train"), _role_skills(s, d)
+    popular = steps.select(F.col("dst").alias("role")).distinct().withColumn("popular", F.lit(True))
+    drawn = cal.sample_alternatives(steps, roles.join(popular, "role", "left"))
+    ends = steps.select("event", "src", "dst")
+    observed = _known_parts(s, d, steps, ends.withColumnRenamed("dst", "role"))
+    return cal.differences(observed, _known_parts(s, d, steps, drawn.join(ends.select("event", "src"), "event")))
+
+
 def effort_calibration(s, d):
-    """Weights of the four parts of effort under which the next role of a test person is cheaper than the others shown to them."""
-    nxt = transition_edges(s, d).select(F.col("src").alias("current"), F.col("dst").alias("role"), "probability")
-    parts = effort_parts(s, d).na.fill(0.0).join(current_roles(s, d), "query_id").join(nxt, ["current", "role"], "left")
-    return models.calibrate(s, parts, ["gap", "domain", "unsupported", "transfer"])
+    """Weights of the four parts of effort under which observed training steps are cheaper than the alternatives drawn for each,
+    and limits of the bands from observed validation steps. Every training step takes part."""
+    steps = _steps(s, d, "validation")
+    seen = _known_parts(s, d, steps, steps.select("event", "src", F.col("dst").alias("role")))
+    return cal.calibration(s, calibration_pairs(s, d), seen)
 
 
 QUERIES = {f.__name__: f for f in (
