@@ -1,15 +1,11 @@
-"""Learning to rank transitions: candidates from seven channels, 33 features, graded labels, trees."""
+"""Learning to rank transitions: candidates from seven channels, 33 features, graded labels."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scoring import scaled_distance
-from .trajectories import stable_fold
 from .transitions import walks
 from .vectors import cosine
 
@@ -103,27 +99,3 @@ def recall(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     seen = truth.join(q, "src", "left_semi").join(candidates.select("src", "dst", F.lit(True).alias("has")), ["src", "dst"], "left")
     t = seen.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("truth"), F.coalesce(F.sum(F.when(F.col("has"), F.col("count"))), F.lit(0)).alias("recalled"))
     return candidates.agg(F.countDistinct("src").alias("queries"), F.count("*").alias("rows"), F.count_if(F.col("grade") > 0).alias("positive_rows")).crossJoin(t)
-
-
-#: (depth, rounds) of the configurations that are tried.
-CONFIGS = ((3, 10), (4, 15), (5, 10))
-
-
-def train(rows: DataFrame, features: list[str], configs: tuple[tuple[int, int], ...] = CONFIGS) -> DataFrame:
-    """(src, dst, score, rank, depth, rounds): rankings of the sources of one fold by the configuration of the best
-    MRR there, learnt from the sources of the other two."""
-    lacks = [f for f in features if f not in rows.columns]
-    if lacks:
-        raise ValueError(f"no columns {', '.join(lacks)}")
-    folded = rows.withColumn("fold", stable_fold(F.col("src"), 3))
-    learn, test = folded.filter("fold < 2"), folded.filter("fold = 2")
-    best, out = -1.0, None
-    for depth, rounds in configs:
-        model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), GBTRegressor(labelCol="grade", maxDepth=depth, maxIter=rounds, seed=7)]).fit(learn)
-        w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
-        ranked = model.transform(test).select("src", "dst", "grade", F.round("prediction", 9).alias("score")).withColumn("rank", F.row_number().over(w))
-        first = ranked.filter("grade > 0").groupBy("src").agg(F.min("rank").alias("first"))
-        mrr = first.agg(F.coalesce(F.avg(1 / F.col("first")), F.lit(0.0))).first()[0]
-        if mrr > best:
-            best, out = mrr, ranked.select("src", "dst", "score", "rank", F.lit(depth).alias("depth"), F.lit(rounds).alias("rounds"))
-    return out

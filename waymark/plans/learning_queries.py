@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import calibration as cal
+from ..operators import lambda_rank as lr
 from ..operators import models
 from ..operators import ranker as rk
 from ..operators import stores as st
@@ -14,9 +15,9 @@ from ..sources import bridge as b
 from ..sources.shared import cache_by_folder, new_folder, staged
 from ..streaming.incremental import run_available
 from .graph_queries import _FULL, _TRANS, full_edges, idf_table, nodes, skills, transition_edges
-from .model_queries import _NEAR, _NEAR_10, _VEC, _WALK, brand_neighbours, brand_vectors, held_out, role_vectors
+from .model_queries import _NEAR, _NEAR_10, _VEC, _WALK, brand_neighbours, brand_vectors, held_out, role_vectors, smooth_predictions
 from .scoring_queries import full_pair_features, missing_edge_candidates, requirements
-from .trajectory_queries import CHAIN, _DATED, dated_rows, kept, train_counts
+from .trajectory_queries import CHAIN, _DATED, dated_rows, kept, train_counts, train_pairs
 
 
 def incremental_transitions(s, d):
@@ -169,15 +170,17 @@ def dated_counts(s, d):
     return pairs.groupBy(F.substring("src", 3, 100).alias("src"), F.substring("dst", 3, 100).alias("dst")).agg(F.count("*").alias("count"))
 
 
+def _ranker_rows(s, d, counts):
+    vec, ids = brand_vectors(s, d), b.roles_a(s, d).select(F.col("title").alias("id"), F.substring("isco_group", 1, 2).alias("g"))
+    own = b.requires(s, d).filter("source = 'esco'").join(idf_table(s, d), "dst", "left").select(F.substring("src", 3, 100).alias("role"), F.col("dst").alias("skill"), F.coalesce("idf", F.lit(1.0)).alias("idf"))
+    return rk.rows(counts, brand_neighbours(s, d, 10), vec, ids, own, dated_counts(s, d), 40)
+
+
 @staged
 def ranker_rows(s, d):
     """Candidates of every source from seven channels, with 33 features and graded validation labels. The other dataset is
     that of dated histories, of people of the training split alone."""
-    vec, ids = brand_vectors(s, d), b.roles_a(s, d).select(F.col("title").alias("id"), F.substring("isco_group", 1, 2).alias("g"))
-    own = b.requires(s, d).filter("source = 'esco'").join(idf_table(s, d), "dst", "left").select(F.substring("src", 3, 100).alias("role"), F.col("dst").alias("skill"), F.coalesce("idf", F.lit(1.0)).alias("idf"))
-    aux = dated_counts(s, d)
-    out = rk.rows(train_counts(s, d, 5), brand_neighbours(s, d, 10), vec, ids, own, aux, 40)
-    return rk.graded(out, held_out(s, d, "validation"))
+    return rk.graded(_ranker_rows(s, d, train_counts(s, d, 5)), held_out(s, d, "validation"))
 
 
 def ranker_features(s, d):
@@ -189,9 +192,60 @@ def ranker_recall(s, d):
     return rk.recall(ranker_rows(s, d), held_out(s, d, "validation"))
 
 
+FOLDS = 2
+
+
+@staged
+def out_of_fold_rows(s, d):
+    """Rows to learn from: for each fold of training people, candidates and features by the other folds' transitions, graded
+    by its own; a list is a source in a fold."""
+    out, pairs = None, train_pairs(s, d).withColumn("fold", t.stable_fold(F.col("person"), FOLDS))
+    for k in range(FOLDS):
+        counts = t.transition_counts(pairs.filter(F.col("fold") != k).drop("fold")).filter("count >= 3")
+        labels = pairs.filter(F.col("fold") == k).groupBy("src", "dst").agg(F.count("*").alias("count"))
+        rows = rk.graded(_ranker_rows(s, d, counts), labels).withColumn("src", F.concat_ws("@", "src", F.lit(k)))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@staged
+def ranker_scores(s, d):
+    """Rankings of all candidates under every configuration of the ranker."""
+    return lr.scored_grid(lr.packed(out_of_fold_rows(s, d), rk.FEATURES), lr.packed(ranker_rows(s, d), rk.FEATURES))
+
+
+def chosen_ranking(s, d):
+    """The ranking of the configuration with the best validation metrics."""
+    scores = ranker_scores(s, d)
+    return scores.join(F.broadcast(lr.best(lr.metrics_by(scores, held_out(s, d, "validation"), ["config"]), ["config"])), "config")
+
+
+def _baseline(s, d):
+    return smooth_predictions(s, d).select("src", "dst", "rank")
+
+
+@staged
+def fused_rankings(s, d):
+    """Smoothed transitions with the ranker's fused in: every head and number of slots, and whether validation chose it."""
+    grid = lr.fusion_grid(_baseline(s, d), chosen_ranking(s, d).select("src", "dst", "rank"))
+    pick = lr.best(lr.metrics_by(grid, held_out(s, d, "validation"), ["head", "slots"]), ["head", "slots"])
+    return grid.join(F.broadcast(pick), ["head", "slots"])
+
+
 def ranker_train(s, d):
-    """Test rankings of the best of three configurations, chosen by validation MRR on a third of the sources."""
-    return rk.train(ranker_rows(s, d), rk.FEATURES)
+    """The fused ranking that validation chose, with the ranker's own score and rank and the configurations chosen."""
+    own = chosen_ranking(s, d).select("src", "dst", "config", "score", F.col("rank").alias("own_rank"))
+    return fused_rankings(s, d).join(own, ["src", "dst"], "left").select("src", "dst", "rank", "own_rank", "score", "config", "head", "slots")
+
+
+def ranker_gate(s, d):
+    """Whether the fused ranking may take the baseline's place, judged on validation and test people."""
+    out = None
+    for split in ("validation", "test"):
+        stages = _baseline(s, d).withColumn("stage", F.lit("before")).unionByName(fused_rankings(s, d).select("src", "dst", "rank", F.lit("after").alias("stage")))
+        m = lr.metrics_by(stages, held_out(s, d, split), ["stage"]).withColumn("split", F.lit(split))
+        out = m if out is None else out.unionByName(m)
+    return lr.gate(out)
 
 
 def _steps(s, d, split):
@@ -239,7 +293,7 @@ def effort_calibration(s, d):
 
 QUERIES = {f.__name__: f for f in (
     incremental_transitions, sink_graph, load_graph, store_validation, sink_vectors, sink_reports, verify_manifest, scan_crosswalk, scan_occupation_tables, scan_taxonomy_csv, scan_trajectory_splits,
-    scan_dated_steps, lp_training_set, lp_train_score, ranker_features, ranker_recall, ranker_train, effort_calibration,
+    scan_dated_steps, lp_training_set, lp_train_score, ranker_features, ranker_recall, ranker_train, ranker_gate, effort_calibration,
 )}
 
 _ORDER = "order by round({}, 9) desc, dst"
