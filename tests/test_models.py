@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from waymark.operators import evaluation as ev
 from waymark.operators import graph as g
 from waymark.operators import models
+from waymark.operators import phrases as ph
 from waymark.operators import scoring as sc
 from waymark.operators import stores as st
 from waymark.operators import text as x
@@ -227,10 +228,13 @@ def test_texts(spark):
     p = spark.createDataFrame([(1, "Advanced ML"), (1, "go"), (2, " "), (2, "MACHINE  learning")], "query_id long, phrase string")
     assert sorted((r.phrase, r.alias, r.ids) for r in x.match_phrases(p, aliases).collect()) == [("Advanced ML", "ml", ["s4"]), ("MACHINE  learning", "machine learning", ["s1", "s4"]), ("go", None, None)]
     said = {"I know r and sql": True, "I do not know r": False, "I want to learn r": False, "R, sql": True, "I know sql but want r": False, "a b c d e f g h i j k r": False, "I want to move, I use r": True}
-    assert {t: x.says_owned("r", t) for t in said} == said
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "query_id long, text string")
+    owns = {r.query_id for r in ph.owned_phrases(rows, aliases.select(F.col("alias").alias("phrase")), ["query_id"]).filter("phrase = 'r' and owned").collect()}
+    assert owns == {i for i, t in enumerate(said) if said[t]}
     found = x.owned_mentions(spark.createDataFrame([(7, "I know machine learning. I want to learn R.")], "query_id long, text string"), aliases).collect()
     assert [(r.alias, r.owned) for r in found] == [("machine learning", True)]
-    assert x.entities('Try **Data Engineer** or "site lead". Python helps; with Java/Rust you learn my graph theory.') == ["Data Engineer", "site lead", "Java", "Rust", "graph theory"]
+    answer = spark.createDataFrame([(1, 'Try **Data Engineer** or "site lead". Python helps; with Java/Rust you learn my graph theory.'), (2, None)], "query_id long, text string")
+    assert [r.entity for r in x.extract_entities(answer).orderBy("n").collect()] == ["Data Engineer", "site lead", "Java", "Rust", "graph theory"]
 
 
 def test_fuzzy_names_equal_a_search_of_all(spark):

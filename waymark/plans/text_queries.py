@@ -26,7 +26,8 @@ def phrases(s, d):
 
 
 def alias_match(s, d):
-    return x.match_phrases(phrases(s, d), skill_aliases(s, d)).select("query_id", "phrase", "alias", F.array_join("ids", "|").alias("ids"))
+    """Phrases with the alias that each is, judged by what its owner says."""
+    return x.judged_phrases(phrases(s, d), skill_aliases(s, d), utterances(s, d)).select("query_id", "phrase", "alias", F.array_join("ids", "|").alias("ids"), "verdict")
 
 
 def utterances(s, d):
@@ -85,7 +86,9 @@ ORACLE_SQL = {
       ), k as (select query_id, phrase, trim(regexp_replace(lower(phrase), '[^a-z0-9_]+', ' ', 'g')) as key from p where phrase <> ''
       ), t as (select query_id, phrase, 0 as n, key from k union all select query_id, phrase, 1, regexp_replace(key, '^advanced ', '') from k
       ), h as (select query_id, phrase, n, alias, string_agg(id, '|' order by id) as ids from t left join aliases on alias = key group by all
-      ) select query_id, phrase, arg_min(alias, n) filter (alias is not null) as alias, arg_min(ids, n) filter (alias is not null) as ids from h group by query_id, phrase""",
+      ), m as (select query_id, phrase, arg_min(alias, n) filter (alias is not null) as alias, arg_min(ids, n) filter (alias is not null) as ids from h group by query_id, phrase)
+      select *, case when alias is null then 'unmatched' when query_id % 7 = 0 or alias like '% tool' then 'excluded' else 'matched' end as verdict from m""",
+    "owned_skill_mentions": "select p_partkey as query_id, p_name as alias, p_partkey % 7 <> 0 as owned from part where p_partkey % 7 <> 1",
     "entity_match": f"""with {_NODES}, e as (select p_partkey as query_id, array_to_string([upper(w[1]) || substr(w, 2) for w in string_split(p_name, ' ')], ' ') as entity, p_name as key from part
       union all select p_partkey, p_brand || case when p_partkey % 2 = 0 then ' (new)' else '' end, replace(lower(p_brand), '#', ' ') || case when p_partkey % 2 = 0 then ' new' else '' end from part
       ), ix as (select trim(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g')) as key, id, type from nodes union all select title, id, type from skills)
