@@ -96,6 +96,37 @@ def test_bands(spark):
         ev.band_thresholds(rows(0.5, 0.6), "s").collect()
 
 
+def test_inversions_of_long_lists(spark):
+    import random
+
+    r = random.Random(2)
+    lists = {"a": [r.random() for _ in range(100_000)], "b": [r.randrange(5) / 4 for _ in range(300)], "c": [1.0] * 50, "d": [float(-i) for i in range(40)], "e": [0.5]}
+    rows = spark.createDataFrame([(k, i + 1, x) for k, of in lists.items() for i, x in enumerate(of)], "case string, rank int, accessibility double")
+    got = {x.case: x.inversions for x in ev.inversions(rows, ["case"], "rank", "accessibility").collect()}
+
+    def sorted_count(of):
+        """Pairs in order of value, by merging halves."""
+        if len(of) < 2:
+            return of, 0
+        (a, n), (z, m) = sorted_count(of[: len(of) // 2]), sorted_count(of[len(of) // 2 :])
+        out, i, k = [], 0, n + m
+        for y in z:
+            while i < len(a) and a[i] < y:
+                out.append(a[i])
+                i += 1
+            k += i
+            out.append(y)
+        return sorted(a + z), k
+
+    assert got == {k: sorted_count(of)[1] for k, of in lists.items()} and got["c"] == got["d"] == got["e"] == 0
+
+
+def test_counted_before(spark):
+    lists = spark.createDataFrame([("p", 1, "x"), ("p", 1, "y"), ("p", 3, "a"), ("q", 2, "b")], "k string, n int, id string")
+    asked = spark.createDataFrame([("p", 1, "y", 7), ("p", 0, "y", 8), ("p", 9, "a", 9), ("r", 1, "x", 6), ("p", 1, "y", 7)], "k string, n int, id string, note int")
+    assert sorted((r.note, r.before) for r in ev.counted_before(asked, lists, ["k"], ["n", "id"]).collect()) == [(6, 0), (7, 1), (7, 1), (8, 0), (9, 3)]
+
+
 def test_inversions(spark):
     r = spark.createDataFrame([("q", 1, 0.2), ("q", 2, None), ("q", 3, 0.9), ("q", 4, 0.5), ("z", 1, 0.4)], "case string, rank int, accessibility double")
     got = {x.case: x for x in ev.ordering_inversions(spark.createDataFrame([("q",), ("z",), ("none",)], "case string"), r).collect()}

@@ -96,16 +96,40 @@ def band_thresholds(scores: DataFrame, column: str) -> DataFrame:
     return q.select(low.alias("low"), F.when(high > unit(F.col("a")), high).otherwise(F.least(F.lit(1.0), unit(F.col("a")) + 1e-6)).alias("high"))
 
 
+def counted_before(asked: DataFrame, lists: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """asked with before: how many rows of `lists` with equal keys come strictly before it in `order`.
+
+    Both lie in one window, those asked for ahead of rows of equal order, and the rows passed are counted on the way:
+    nothing is collected, so a list may have any length."""
+    one = asked.select("*", F.lit(0).alias("_counts"))
+    both = one.unionByName(lists.select(*keys, *order, F.lit(1).alias("_counts")), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(*order, "_counts").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("before", F.sum("_counts").over(w)).filter("_counts = 0").drop("_counts")
+
+
+def inversions(rows: DataFrame, keys: list[str], place: str, value: str, bits: int = 40) -> DataFrame:
+    """(keys, inversions): pairs of rows of which the one at the later place has the greater value.
+
+    Values become ranks, equal ones alike. Two ranks part at one bit, the highest in which they differ; so for every bit
+    the rows that agree above it are passed in order of place, and each with a 1 there counts those with a 0 before it.
+    That is a row a row and bit up to the number of the list's ranks, in one window, and no list is held."""
+    dense = rows.select(*keys, place, F.dense_rank().over(Window.partitionBy(*keys).orderBy(value)).alias("v")).withColumn("of", F.max("v").over(Window.partitionBy(*keys)))
+    each = dense.withColumn("bit", F.explode(F.sequence(F.lit(0), F.least(F.lit(bits), F.floor(F.log2("of")).cast("int")))))
+    high, one = F.expr("shiftright(v, bit + 1)"), F.expr("shiftright(v, bit) & 1")
+    w = Window.partitionBy(*keys, "bit", "high").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    passed = each.withColumn("high", high).withColumn("one", one).withColumn("zeros", F.coalesce(F.sum(1 - F.col("one")).over(w), F.lit(0)))
+    return passed.groupBy(*keys).agg(F.sum(F.col("one") * F.col("zeros")).alias("inversions"))
+
+
 def ordering_inversions(cases: DataFrame, ranking: DataFrame, top: int = 3) -> DataFrame:
     """(case, n, inversions, top_mean, monotone): pairs of a case's ranking whose later one is more accessible.
 
     cases: (case), all to be reported; ranking: (case, rank, accessibility). Unknown accessibilities are left
-    out of pairs and means. Rows are counted from a running multiset of those before, a window over one ranking."""
-    w = Window.partitionBy("case").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    known = ranking.filter("accessibility is not null").withColumn("before", F.collect_list("accessibility").over(w))
-    each = known.withColumn("worse", F.size(F.filter("before", lambda x: x < F.col("accessibility"))))
-    by = each.groupBy("case").agg(F.count("*").alias("n"), F.sum("worse").alias("inversions"), F.avg(F.when(F.col("rank") <= top, F.col("accessibility"))).alias("top_mean"))
-    out = cases.select("case").distinct().join(by, "case", "left").na.fill(0, ["n", "inversions"])
+    out of pairs and means."""
+    known = ranking.filter("accessibility is not null")
+    pairs = inversions(known, ["case"], "rank", "accessibility")
+    by = known.groupBy("case").agg(F.count("*").alias("n"), F.avg(F.when(F.col("rank") <= top, F.col("accessibility"))).alias("top_mean")).join(pairs, "case", "left")
+    out = cases.select("case").distinct().join(by.select("case", "n", "inversions", "top_mean"), "case", "left").na.fill(0, ["n", "inversions"])
     return out.withColumn("monotone", F.col("inversions") == 0)
 
 
@@ -114,15 +138,16 @@ def candidate_positions(observed: DataFrame, predictions: DataFrame, candidates:
 
     predictions: (src, dst, rank) come first, all other candidates behind them by id. A candidate without a
     score stands behind those with one and behind the lesser ids that have none, so its place is counted
-    from the source's own list; sources and candidates are not multiplied. candidates: (dst), the ids."""
+    along the source's own list; sources and candidates are not multiplied. candidates: (dst), the ids."""
     # the candidates are the roles of a graph; their ids alone are numbered in one task
     place = candidates.select("dst").distinct().withColumn("pos", F.row_number().over(Window.orderBy("dst")))
     total = place.agg(F.count("*").alias("total"))
-    lists = predictions.filter("src <> dst").join(place, "dst").groupBy("src").agg(F.array_sort(F.collect_list("pos")).alias("scored"))
+    lists = predictions.filter("src <> dst").join(place, "dst").select("src", "pos")
     own = place.select(F.col("dst").alias("src"), F.col("pos").alias("own"))
-    j = observed.select("src", "dst").distinct().join(place, "dst").join(predictions.select("src", "dst", "rank"), ["src", "dst"], "left").join(lists, "src", "left").join(own, "src", "left").crossJoin(F.broadcast(total))
-    scored = F.coalesce("scored", F.array().cast("array<int>"))
-    behind = F.size(scored) + F.col("pos") - F.size(F.filter(scored, lambda p: p < F.col("pos"))) - F.coalesce((F.col("own") < F.col("pos")).cast("int"), F.lit(0))
+    size = lists.groupBy("src").agg(F.count("*").alias("scored"))
+    asked = counted_before(observed.select("src", "dst").distinct().join(place, "dst"), lists, ["src"], ["pos"])
+    j = asked.join(predictions.select("src", "dst", "rank"), ["src", "dst"], "left").join(size, "src", "left").join(own, "src", "left").crossJoin(F.broadcast(total))
+    behind = F.coalesce("scored", F.lit(0)) + F.col("pos") - F.col("before") - F.coalesce((F.col("own") < F.col("pos")).cast("int"), F.lit(0))
     rank = F.when(F.col("src") == F.col("dst"), F.col("total")).when(F.col("rank").isNotNull(), F.col("rank")).otherwise(behind)
     return j.select("src", "dst", rank.cast("long").alias("rank"))
 

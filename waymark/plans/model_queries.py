@@ -219,11 +219,9 @@ def optimistic_rank(s, d):
 
 def rank_without_sort(s, d):
     """The place of each observed test destination in its source's counts: one more than those that are better."""
-    c = train_counts(s, d)
-    lists = c.groupBy("src").agg(F.collect_list(F.struct((-F.col("count")).alias("c"), "dst")).alias("all"))
-    own = held_out(s, d, "test").select("src", "dst").join(c.select("src", "dst", "count"), ["src", "dst"]).join(lists, "src")
-    better = F.size(F.filter("all", lambda x: x < F.struct((-F.col("count")).alias("c"), "dst")))
-    return own.select("src", "dst", (better + 1).cast("long").alias("rank"))
+    c = train_counts(s, d).select("src", "dst", (-F.col("count")).alias("worth"))
+    own = held_out(s, d, "test").select("src", "dst").join(c, ["src", "dst"])
+    return ev.counted_before(own, c, ["src"], ["worth", "dst"]).select("src", "dst", (F.col("before") + 1).cast("long").alias("rank"))
 
 
 def seed_spread(s, d):
