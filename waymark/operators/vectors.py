@@ -1,13 +1,15 @@
-"""Role vectors: cleaning, exact neighbours and threshold joins, block by block."""
+"""Role vectors: cleaning, exact neighbours and threshold joins over cells of like vectors, block by block."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 #: Vectors of one side in a unit, about.
 BLOCK = 2048
@@ -40,19 +42,99 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _units(queries: DataFrame, points: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """run(queries, points) over every pair of a block of queries and a block of points.
+#: Vectors that points are gathered around; with fewer points than this there is one cell.
+CENTRES = 256
+#: Above what rounding does to bounds and to similarities, which have nine decimals.
+_SLACK = 1e-8
 
-    Both sides are dealt to blocks of about BLOCK rows by a hash of their ids, and each block is sent to every
-    unit that it has a part in: what a task holds is two blocks, whatever the sizes of the sides, and what is
-    shuffled is each side times the number of the other's blocks. Only the numbers of rows reach the driver."""
-    n_q, n_p = (max(1, -(-df.count() // BLOCK)) for df in (queries, points))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.withColumn("qb", block(n_q)).withColumn("pb", every(n_p))
+
+@dataclass(frozen=True)
+class Cells:
+    """Points by the centre most similar to them: centres, and of each cell its number of points and the greatest angle
+    between its centre and one of them. A bounded index: it holds no points."""
+
+    centres: np.ndarray
+    sizes: np.ndarray
+    radii: np.ndarray
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """Of every vector and cell: a similarity that none of the cell's points exceeds. Angles obey the triangle inequality, so
+        a point lies no nearer than its centre does, less the radius."""
+        angle = np.arccos(np.clip(q @ self.centres.T, -1, 1)) - self.radii
+        return np.where(self.sizes > 0, np.cos(np.maximum(angle, 0)), -np.inf)
+
+    def first(self, q: np.ndarray, k: int) -> np.ndarray:
+        """Which cells come first for every vector: those of the most similar centres, until they hold k points."""
+        order = np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
+        held = np.cumsum(self.sizes[order], axis=1)
+        need = np.concatenate((np.ones((len(q), 1), bool), held[:, :-1] < k), axis=1)
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, need, axis=1)
+        return out & (self.sizes > 0)
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(float)
+
+
+def _assigned(points: DataFrame, centres: np.ndarray) -> DataFrame:
+    """points with cell and angle, the angle to its centre."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                sims = _matrix(b["vec"]) @ centres.T
+                cell = sims.argmax(1)
+                yield b.assign(cell=cell.astype("int32"), angle=np.arccos(np.clip(sims[np.arange(len(b)), cell], -1, 1)))
+
+    return points.mapInPandas(run, StructType([*points.schema.fields, StructField("cell", IntegerType()), StructField("angle", DoubleType())]))
+
+
+def cells(points: DataFrame, most: int = CENTRES) -> Cells | None:
+    """The index of points (id, vec), unit vectors; None without any. Centres are the `most` points of least hashes, a bounded
+    sample; every point is assigned. Only centres, sizes and radii reach the driver."""
+    rows = points.select("vec").orderBy(F.xxhash64("id"), "id").limit(most).collect()
+    if not rows:
+        return None
+    centres = np.array([r.vec for r in (rows if len(rows) == most else rows[:1])], float)
+    sizes, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in _assigned(points.select("id", "vec"), centres).groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():
+        sizes[r.cell], radii[r.cell] = r.n, r.radius
+    return Cells(centres, sizes, radii)
+
+
+def _visits(queries: DataFrame, index: Cells, choose: Callable[[np.ndarray, pd.DataFrame], np.ndarray]) -> DataFrame:
+    """queries with cell, a row for every cell that `choose` (vectors, rows) marks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                row, cell = np.nonzero(choose(_matrix(b["vec"]), b))
+                yield b.iloc[row].assign(cell=cell.astype("int32"))
+
+    return queries.mapInPandas(run, StructType([*queries.schema.fields, StructField("cell", IntegerType())]))
+
+
+def _met(visits: DataFrame, points: DataFrame, index: Cells, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """run(queries, points) over blocks of a cell's points and of the queries that visit it.
+
+    Both are cut into blocks of about BLOCK rows by a hash of their ids, so a task holds two blocks however many
+    points a cell has, and what is shuffled follows the cells that are visited. Cells are a bounded number."""
+    spark = visits.sparkSession
+    blocks = spark.createDataFrame([(i, max(1, -(-int(n) // BLOCK))) for i, n in enumerate(index.sizes)], "cell int, n_pb int")
+    visited = visits.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_qb"))
+    cut = F.broadcast(blocks.join(visited, "cell"))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = visits.join(cut, "cell").withColumn("qb", block("n_qb")).withColumn("pb", every("n_pb")).drop("n_qb", "n_pb")
+    p = _assigned(points, index.centres).drop("angle").join(cut, "cell").withColumn("pb", block("n_pb")).withColumn("qb", every("n_qb")).drop("n_qb", "n_pb")
     # columns of their own, for sides that come from one frame
-    p = points.select(*[F.col(c).alias(c) for c in points.columns]).withColumn("pb", block(n_p)).withColumn("qb", every(n_q))
-    return q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(run, schema)
+    q = q.toDF(*(f"q_{c}" for c in q.columns))
+
+    def renamed(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return run(a.rename(columns=lambda c: c[2:]), b)
+
+    return q.groupBy("q_cell", "q_qb", "q_pb").cogroup(p.groupBy("cell", "qb", "pb")).applyInPandas(renamed, schema)
 
 
 def _similarities(q: pd.DataFrame, p: pd.DataFrame) -> np.ndarray:
@@ -64,11 +146,22 @@ def _frame(ids, nbrs, sims) -> pd.DataFrame:
     return pd.DataFrame({"id": pd.Series(list(ids), dtype=object), "nbr": pd.Series(list(nbrs), dtype=object), "similarity": pd.Series(list(sims), dtype=float)})
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """(id, nbr, similarity, rank): each query's k most similar points but itself; ties by id.
+PAIRS = "id string, nbr string, similarity double"
+
+
+def _none(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([], schema)
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, index: Cells | None = None) -> DataFrame:
+    """(id, nbr, similarity, rank): each query's k most similar points but itself; ties by id. Exact.
 
-    Every unit gives its own k best for each query, so what meets in the end is bounded by queries times
-    point blocks times k."""
+    A query first visits the cells of the centres most similar to it, until they hold k points and one; its k-th best
+    there bounds what can still enter, and it visits no other cell than those whose bound reaches that."""
+    queries, points = queries.select("id", "vec"), points.select("id", "vec")
+    index = index or cells(points)
+    if index is None:
+        return _none(queries.sparkSession, PAIRS).withColumn("rank", F.lit(1))
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
@@ -81,12 +174,17 @@ def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
         return _frame(*zip(*found, strict=True)) if found else _frame((), (), ())
 
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "nbr")
-    each = _units(queries.select("id", "vec"), points.select("id", "vec"), run, "id string, nbr string, similarity double")
-    return each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = lambda df: df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    one = best(_met(_visits(queries, index, lambda q, _: index.first(q, k + 1)), points, index, run, PAIRS)).drop("rank")
+    least = one.groupBy("id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("least"))
+    asked = queries.join(least, "id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+    more = _visits(asked, index, lambda q, b: ~index.first(q, k + 1) & (index.bounds(q) >= b["least"].to_numpy()[:, None] - _SLACK)).drop("least")
+    return best(one.unionByName(_met(more, points, index, run, PAIRS)))
 
 
 def similar_pairs(a: DataFrame, b: DataFrame, threshold: float, inclusive: bool = False) -> DataFrame:
-    """(id, nbr, similarity): pairs of a and b above the threshold (at it too, if inclusive)."""
+    """(id, nbr, similarity): pairs of a and b above the threshold (at it too, if inclusive). A vector of a visits only
+    cells of b that can hold one."""
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
@@ -95,7 +193,11 @@ def similar_pairs(a: DataFrame, b: DataFrame, threshold: float, inclusive: bool
         i, j = np.nonzero(sims >= threshold if inclusive else sims > threshold)
         return _frame(q["id"].to_numpy()[i], p["id"].to_numpy()[j], sims[i, j])
 
-    return _units(a.select("id", "vec"), b.select("id", "vec"), run, "id string, nbr string, similarity double")
+    a, b = a.select("id", "vec"), b.select("id", "vec")
+    index = cells(b)
+    if index is None:
+        return _none(a.sparkSession, PAIRS)
+    return _met(_visits(a, index, lambda q, _: index.bounds(q) >= threshold - _SLACK), b, index, run, PAIRS)
 
 
 def threshold_sweep(a: DataFrame, b: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -111,7 +213,12 @@ def threshold_sweep(a: DataFrame, b: DataFrame, thresholds: list[float]) -> Data
         same = q["group"].to_numpy()[:, None] == p["group"].to_numpy()[None, :]
         return pd.DataFrame({"threshold": thresholds, "predicted": [int((sims >= t).sum()) for t in thresholds], "true": [int((same & (sims >= t)).sum()) for t in thresholds]})
 
-    each = _units(a.select("id", "vec", "group"), b.select("id", "vec", "group"), run, "threshold double, predicted long, true long")
+    counts, index, least = "threshold double, predicted long, true long", cells(b), min(thresholds)
+    zero = a.sparkSession.createDataFrame([(float(t), 0, 0) for t in thresholds], counts)
+    each = zero
+    if index is not None:
+        visits = _visits(a.select("id", "vec", "group"), index, lambda q, _: index.bounds(q) >= least - _SLACK)
+        each = zero.unionByName(_met(visits, b.select("id", "vec", "group"), index, run, counts))
     sizes = a.groupBy("group").agg(F.count("*").alias("n")).join(b.groupBy("group").agg(F.count("*").alias("m")), "group")
     positives = sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("positives"))
     got = each.groupBy("threshold").agg(F.sum("predicted").alias("predicted"), F.sum("true").alias("true")).crossJoin(F.broadcast(positives))
