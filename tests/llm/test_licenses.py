@@ -87,3 +87,28 @@ def test_differences_against_plain_edit_distance():
         want = min(cost(t, b[i:j]) for i in range(len(b) + 1) for j in range(i, len(b) + 1))
         start, stop, said = licenses.differences(t, b, len(t))
         assert len(said) == want == cost(t, b[start:stop])
+
+
+def test_tags_and_names_beyond_the_whole_texts(spark):
+    lines = {
+        "SPDX-License-Identifier: MIT": {"MIT"}, "// SPDX-License-Identifier: GPL-3.0-or-later": {"GPL-3.0"}, "Licensed under the Eclipse Public License 2.0.": {"EPL-2.0"}, "Licensed under the zlib license.": {"Zlib"},
+        "Apache License 2.0": {"Apache-2.0"}, "GPLv3": {"GPL-3.0"}, "released under LGPL v2.1, see there": {"LGPL-2.1"}, "under the SIL Open Font License, Version 1.1": {"OFL-1.1"}, "the licence of the pub is open": set(), "Boost Software License - Version 1.0": {"BSL-1.0"},
+    }
+    rows = [(i, f"{PROSE}\n{t}\n{PROSE}", "x") for i, t in enumerate(lines)] * 2 + [(99, "licence word " * 40_000 + "SPDX-License-Identifier: Zlib", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    found, n = {}, 0
+    for r in licenses.licenses(docs).collect():
+        found.setdefault(r.doc_id, set()).add(r.license)
+        n += 1
+    assert {i: found.get(i, set()) for i in range(len(lines))} == dict(enumerate(lines.values())) and found[99] == {"Zlib"}
+    assert n == 2 * sum(map(len, lines.values())) + 1  # repeated rows give rows each
+    assert licenses.licenses(docs.limit(0)).collect() == []
+    own = (("House-1", "under the {house license one}"), ("House-2", "under the {house license one}"), ("Inn", "{inn license}"))
+    mine = licenses.licenses(spark.createDataFrame([(1, "It is under the House License One, as the Inn License says. MIT License")], "doc_id long, text string"), own).collect()
+    assert sorted(r.license for r in mine) == ["House-1", "Inn"]
+
+
+def test_every_template_is_found_in_its_own_wording():
+    for name, wording in licenses.TEMPLATES:
+        plain = wording.replace("{", "").replace("}", "")
+        assert name in {w[0] for w in licenses.winners(plain)}, wording

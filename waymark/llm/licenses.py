@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-CUE = r"(?i)licen[cs]|copyright|permission|warrant|redistribut|liab|spdx|public domain|creative commons|\bcc[ -]by|\bcc0"
+CUE = r"(?i)licen[cs]|\b[al]?gpl|\beupl|copyright|permission|warrant|redistribut|liab|spdx|public domain|creative commons|\bcc[ -]by|\bcc0"
 #: Lines or sentences on both sides of one with a cue that belong to its block.
 AROUND = 3
 _GAP = "\x1e"
@@ -62,6 +62,21 @@ TEMPLATES = (
     ("CC0-1.0", "dedicated to the public domain under {cc0 1.0}"), ("CC0-1.0", "{cc0 1.0 universal}"),
     ("Unlicense", "{this is free and unencumbered software released into the public domain}"),
 )
+#: SPDX identifiers with the names that notices give them.
+NAMES = {
+    "MIT": ("mit license",), "MIT-0": ("mit no attribution license",), "ISC": ("isc license",), "Apache-2.0": ("apache license 2.0", "apache license version 2.0", "apache license v2.0", "apache-2.0"), "Apache-1.1": ("apache software license version 1.1",),
+    "BSD-2-Clause": ("bsd 2-clause license", "simplified bsd license", "freebsd license"), "BSD-3-Clause": ("bsd 3-clause license", "new bsd license", "modified bsd license"), "BSD-4-Clause": ("bsd 4-clause license",), "0BSD": ("bsd zero clause license", "zero-clause bsd license"),
+    "MPL-1.1": ("mozilla public license version 1.1", "mozilla public license 1.1"), "MPL-2.0": ("mozilla public license 2.0", "mozilla public license v2.0"), "EPL-1.0": ("eclipse public license 1.0", "eclipse public license v1.0", "eclipse public license version 1.0"),
+    "EPL-2.0": ("eclipse public license 2.0", "eclipse public license v2.0", "eclipse public license version 2.0"), "Zlib": ("zlib license",), "BSL-1.0": ("boost software license 1.0", "boost software license version 1.0"), "Artistic-2.0": ("artistic license 2.0",),
+    "WTFPL": ("do what the fuck you want to public license",), "CDDL-1.0": ("common development and distribution license 1.0", "common development and distribution license version 1.0"), "EUPL-1.2": ("european union public license 1.2", "european union public license version 1.2", "eupl-1.2"),
+    "MS-PL": ("microsoft public license",), "MS-RL": ("microsoft reciprocal license",), "OFL-1.1": ("sil open font license version 1.1", "sil open font license 1.1"), "PostgreSQL": ("postgresql license",), "PSF-2.0": ("python software foundation license",), "NCSA": ("university of illinois ncsa open source license",),
+    "ODbL-1.0": ("open database license", "open data commons open database license"), "AFL-3.0": ("academic free license 3.0",), "OSL-3.0": ("open software license 3.0",), "UPL-1.0": ("universal permissive license 1.0",), "X11": ("x11 license",), "Unlicense": ("the unlicense",),
+    "GPL-2.0": ("gplv2", "gpl v2", "gnu gpl version 2", "gpl-2.0"), "GPL-3.0": ("gplv3", "gpl v3", "gnu gpl version 3", "gpl-3.0"), "LGPL-2.1": ("lgplv2.1", "lgpl v2.1", "lgpl-2.1"), "LGPL-3.0": ("lgplv3", "lgpl v3", "lgpl-3.0"), "AGPL-3.0": ("agplv3", "agpl v3", "agpl-3.0"),
+    "CC0-1.0": (), "CC-BY-3.0": ("creative commons attribution 3.0", "cc by 3.0"), "CC-BY-SA-3.0": ("creative commons attribution-sharealike 3.0", "cc by-sa 3.0"), **{k: () for k in _CC},
+}
+# A tag with the identifier, alone or with what newer tags say of later versions, and every name by itself.
+TEMPLATES += tuple((k, f"{{spdx-license-identifier {k.lower()}{end}}}") for k in NAMES for end in (("", "-only", "-or-later", "+") if "GPL" in k else ("",)))
+TEMPLATES += tuple((k, f"{{{name}}}") for k, names in NAMES.items() for name in names)
 # The second license of "under ... or ...".
 TEMPLATES += tuple((name, f"{{or {the}{x[1]}}}") for name, w in TEMPLATES if (x := re.fullmatch(r"licensed under (?:the )?\{(.*)\}", w)) for the in ("the ", ""))
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
@@ -70,18 +85,18 @@ _PIECE = 50_000
 
 def words(text: str) -> list[str]:
     """Lower-cased words without marks; points and hyphens inside stay ("2.0", "by-nc")."""
-    return [w.replace("licence", "license").replace("cc-by", "cc by") for w in _WORD.findall(text.lower())]
+    return [p for w in _WORD.findall(text.lower()) for p in w.replace("licence", "license").replace("cc-by", "cc by").split(" ")]
 
 
-@cache
-def _templates() -> list[tuple[str, list[str], list[str], zstandard.ZstdCompressor]]:
-    """(license, words, key phrases, compressor) of each template."""
+@lru_cache(4)
+def _templates(table: tuple[tuple[str, str], ...]) -> list[tuple[str, list[str], list[str], zstandard.ZstdCompressor]]:
+    """(license, words, key phrases, compressor) of each template; of equal wordings the first."""
     out = []
-    for name, wording in TEMPLATES:
+    for wording, name in {w: n for n, w in reversed(table)}.items():
         plain = " ".join(words(wording.replace("{", " ").replace("}", " ")))
         keys = [" ".join(words(x)) for x in re.findall(r"\{(.*?)\}", wording, re.S)]
         out.append((name, plain.split(" "), keys, _compressor(zstandard.ZstdCompressionDict(plain.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))))
-    return out
+    return out[::-1]
 
 
 def _compressor(d: zstandard.ZstdCompressionDict | None = None) -> zstandard.ZstdCompressor:
@@ -127,13 +142,25 @@ def differences(template: list[str], block: list[str], most: int) -> tuple[int,
     return best
 
 
-@lru_cache(4096)
-def winners(block: str) -> tuple[tuple[str, int, float, tuple[str, ...]], ...]:
+#: Letters of the longest block whose answer is kept for blocks like it: repeated notices are short.
+_KEPT = 4096
+
+
+def winners(block: str, table: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[tuple[str, int, float, tuple[str, ...]], ...]:
     """(license, bytes saved, share saved, differences) of each template that stands in a block."""
+    return _known(block, table) if len(block) <= _KEPT else _winners(block, table)
+
+
+@lru_cache(4096)
+def _known(block: str, table: tuple[tuple[str, str], ...]) -> tuple[tuple[str, int, float, tuple[str, ...]], ...]:
+    return _winners(block, table)
+
+
+def _winners(block: str, table: tuple[tuple[str, str], ...]) -> tuple[tuple[str, int, float, tuple[str, ...]], ...]:
     left = words(block)
     plain = " ".join(left).encode()
     alone = len(_bare().compress(plain))
-    ranked = sorted(((alone - len(t[3].compress(plain)), -i, t) for i, t in enumerate(_templates())), key=lambda x: x[:2], reverse=True)
+    ranked = sorted(((alone - len(t[3].compress(plain)), -i, t) for i, t in enumerate(_templates(table))), key=lambda x: x[:2], reverse=True)
     out = []
     for saved, _, (name, template, keys, _) in ranked:
         # several times in a block: each place is taken, so that no shorter template meets it again
@@ -159,13 +186,15 @@ def blocks(text: Column) -> Column:
     return F.transform(F.array(cue), lambda all_: F.transform(all_, lambda x, i: F.when(F.exists(F.slice(all_, F.greatest(i + 1 - AROUND, F.lit(1)), F.least(i, F.lit(AROUND)) + 1 + AROUND), lambda y: y["cue"]), x["s"]).otherwise(_GAP)))[0]
 
 
-def licenses(docs: DataFrame) -> DataFrame:
+def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(doc_id, license, saved, reduction, n_blocks, n_differences, differences): a row for each license in each
     row of `docs` (doc_id, text).
 
     n_blocks counts the blocks that hold the license; the rest is of the one with the fewest differences in
-    wording, of those the one that saved most bytes. Null and empty texts hold nothing; repeated rows and null
-    ids are judged each by themselves."""
+    wording, of those the one that saved most bytes. templates: (license, wording with its key phrases in braces).
+    Templates that save equally are tried in their own order; of equal wordings the first counts. Null and empty
+    texts hold nothing; repeated rows and null ids are judged each by themselves; other columns are not read; an empty
+    table gives an empty one. Texts are read whole: long blocks are compared piece by piece."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, saved long, reduction double, n_blocks long, n_differences long, differences string"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -175,7 +204,7 @@ def licenses(docs: DataFrame) -> DataFrame:
             for doc_id, cut in zip(batch.column("doc_id").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
                 found: dict[str, list] = {}
                 for i, block in enumerate(cut):
-                    for name, *x in winners(block):
+                    for name, *x in winners(block, templates):
                         found.setdefault(name, []).append((len(x[2]), -x[0], x[1], x[2], i))
                 for name, all_ in sorted(found.items()):
                     n, saved, share, said, _ = min(all_)
