@@ -96,6 +96,15 @@ def test_bands(spark):
         ev.band_thresholds(rows(0.5, 0.6), "s").collect()
 
 
+def test_paired_bootstrap_draws_both_sides_alike(spark):
+    a = spark.createDataFrame([(i % 20, 0.5 if i % 3 else 0.2) for i in range(200)], "person long, rr double")
+    same = ev.paired_bootstrap(a, a, ("rr",), 50).first()
+    assert (same.gain, same.low, same.high, same.better) == (0.0, 0.0, 0.0, 0.0)
+    more = ev.paired_bootstrap(a, a.withColumn("rr", F.col("rr") + 0.25), ("rr",), 50).first()
+    # a constant gain has no spread, however the people differ
+    assert (more.gain, more.low, more.high, more.better) == (pytest.approx(0.25), pytest.approx(0.25), pytest.approx(0.25), 1.0)
+
+
 def test_inversions_of_long_lists(spark):
     import random
 

@@ -60,6 +60,22 @@ def person_bootstrap(values: DataFrame, column: str, replicates: int = 200) -> D
     return people.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(cut)
 
 
+def paired_bootstrap(before: DataFrame, after: DataFrame, columns: tuple[str, ...], replicates: int = 200) -> DataFrame:
+    """(metric, gain, low, high, better): what `after` adds to `before`, event values (person, *columns) of the same events, with the
+    2.5 and 97.5 percentiles and the share of replicates in which it's more. Both are drawn alike: a replicate draws people
+    with all their events of either side."""
+    sums = lambda df: df.groupBy("person").agg(*[F.sum(c).alias(c) for c in columns], F.count("*").alias("n"))
+    a = sums(before)
+    z = sums(after).select("person", *[F.col(c).alias(f"z_{c}") for c in columns])
+    people = a.join(z, "person").select("person", "n", *[(F.col(f"z_{c}") - F.col(c)).alias(c) for c in columns])
+    each = people.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("b")).withColumn("t", F.when(F.col("b") == 0, 1).otherwise(draw(F.col("person"), F.col("b"))))
+    # replicate 0 is the sample itself
+    means = each.groupBy("b").agg(*[(F.sum(F.col("t") * F.col(c)) / F.sum(F.col("t") * F.col("n"))).alias(c) for c in columns])
+    rows = means.select("b", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("m")) for c in columns])).alias("x")).select("b", "x.*")
+    drawn = F.when(F.col("b") > 0, F.col("m"))
+    return rows.groupBy("metric").agg(F.max(F.when(F.col("b") == 0, F.col("m"))).alias("gain"), F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"), F.avg((drawn > 0).cast("double")).alias("better"))
+
+
 def source_ranking_metrics(scored: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """One row over sources with a positive: Hits and MRR of the first positive, binary NDCG at 5 and 10.
 

@@ -192,6 +192,13 @@ def person_bootstrap(s, d):
     return r6(ev.person_bootstrap(ev.event_values(events(s, d), direct_predictions(s, d)), "rr", 100), "mean", "low", "high")
 
 
+def paired_bootstrap(s, d):
+    """What smoothing adds to direct transitions on test events, with intervals over people drawn alike for both."""
+    e = events(s, d)
+    before, after = (ev.event_values(e, p) for p in (direct_predictions(s, d), smooth_predictions(s, d)))
+    return r6(ev.paired_bootstrap(before, after, ("rr", "hit"), 100), "gain", "low", "high", "better")
+
+
 def labelled_scores(s, d):
     pos = held_out(s, d, "test").select("src", "dst", F.lit(1).alias("label"))
     return smoothed(s, d).select("src", "dst", F.round("score", 9).alias("score")).join(pos, ["src", "dst"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
@@ -271,7 +278,7 @@ def select_config(s, d):
 
 QUERIES = {f.__name__: f for f in (
     load_vectors, vector_norms, knn_join, vector_search, similarity_join, threshold_sweep, transition_walk, blend_walks, softmax_weights, smooth_transitions, smooth_empirical_bayes,
-    second_order_scores, heldout_metrics, strategy_comparison, acceptance_gate, prefix_metrics, person_bootstrap, source_ranking_metrics, auc_ap, full_candidate_rank, optimistic_rank,
+    second_order_scores, heldout_metrics, strategy_comparison, acceptance_gate, prefix_metrics, person_bootstrap, paired_bootstrap, source_ranking_metrics, auc_ap, full_candidate_rank, optimistic_rank,
     rank_without_sort, seed_spread, band_thresholds, ordering_inversions, select_config,
 )}
 
@@ -370,6 +377,13 @@ ORACLE_SQL = {
     ), d as (select b, s, n, case when u < 0.36787944117144233::double then 0 when u < 0.7357588823428847::double then 1 when u < 0.9196986029286058::double then 2 when u < 0.9810118431238462::double then 3 when u < 0.9963401531726563::double then 4 when u < 0.9994058151824183::double then 5 else 6 end as t from u
     ), m as (select b, sum(t * s) / sum(t * n) as m from d group by b)
     select (select round(sum(s) / sum(n), 6) from people) as mean, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m""",
+    "paired_bootstrap": f"""{_MODEL}, {_S}, {_SMOOTH_RANK}, {_EVENTS}, {_DIRECT.format(1)}, v as (
+      select person, count(*) as n, sum(coalesce(1 / z.rank, 0) - coalesce(1 / a.rank, 0)) as rr, sum((coalesce(z.rank, 99) <= 10)::int - (coalesce(a.rank, 99) <= 10)::int) as hit
+      from events_ e left join direct a on a.src = e.src and a.dst = e.dst left join ranked z on z.src = e.src and z.dst = e.dst group by person
+    ), u as (select v.*, b, (cast('0x' || substr(sha256(person || ':' || b), 1, 8) as bigint) + 0.5::double) / 4294967296 as u from v, range(0, 101) g(b)
+    ), d as (select *, case when b = 0 then 1 when u < 0.36787944117144233::double then 0 when u < 0.7357588823428847::double then 1 when u < 0.9196986029286058::double then 2 when u < 0.9810118431238462::double then 3 when u < 0.9963401531726563::double then 4 when u < 0.9994058151824183::double then 5 else 6 end as t from u
+    ), m as (select b, 'rr' as metric, sum(t * rr) / sum(t * n) as m from d group by b union all select b, 'hit', sum(t * hit) / sum(t * n) from d group by b)
+    select metric, round(max(m) filter (b = 0), 6) as gain, round(quantile_cont(m, 0.025) filter (b > 0), 6) as low, round(quantile_cont(m, 0.975) filter (b > 0), 6) as high, round(avg((m > 0)::int) filter (b > 0), 6) as better from m group by metric""",
     "source_ranking_metrics": f"""{_MODEL}, {_S}, {_LABELLED}, r as (select *, row_number() over (partition by src order by score desc, dst) as rank from labelled
     ), p as (select src, min(rank) filter (label = 1) as first, count(*) filter (label = 1) as pos, coalesce(sum(1 / log2(rank + 1)) filter (label = 1 and rank <= 5), 0) as d5, coalesce(sum(1 / log2(rank + 1)) filter (label = 1 and rank <= 10), 0) as d10 from r group by src having count(*) filter (label = 1) > 0)
     select count(*) as sources, round(avg(1 / first), 6) as mrr, {', '.join(f'round(avg((first <= {k})::int), 6) as hits_{k}' for k in (1, 3, 5, 10))},
