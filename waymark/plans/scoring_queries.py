@@ -236,6 +236,13 @@ def explain_path(s, d):
     return explained(s, d)
 
 
+def candidate_traces(s, d):
+    """What lies around each test person's current role and the three roles shown to them, and what evidence ties those to it."""
+    c = by_gap(s, d).filter("place <= 3").join(current_roles(s, d), "query_id").select("query_id", "current", "id", "evidence_type")
+    anchors = c.select("query_id", "id").unionByName(c.select("query_id", F.col("current").alias("id"))).distinct()
+    return g.evidence_triples(g.traverse(anchors, nodes(s, d), full_edges(s, d), tr.is_training()), c)
+
+
 def format_explanation(s, d):
     return sc.format_steps(explained(s, d))
 
@@ -434,7 +441,7 @@ def short_label(s, d):
 
 QUERIES = {f.__name__: f for f in (
     strongest_alignment, role_requirements, requirement_status, hybrid_retrieve, live_candidates, rank_by_gap, skill_gap, qualification, graph_retrieve, related_roles, isco_distance, effort_score, rank_by_effort,
-    priority_skills, learning_plan, path_skills, explain_path, format_explanation, course_queries, role_lookup, explore_skills, rrf, weighted_rrf, head_fusion, priority_combine, candidate_union,
+    priority_skills, learning_plan, path_skills, explain_path, candidate_traces, format_explanation, course_queries, role_lookup, explore_skills, rrf, weighted_rrf, head_fusion, priority_combine, candidate_union,
     channel_topk, rerank_topn, pair_features, shared_skill_pairs, meta_path, missing_edge_candidates, title_tfidf, title_cosine, neighbour_evidence, relevance_grade, skill_set_algebra, course_links,
     user_turns, role_document, short_label,
 )}
@@ -553,6 +560,12 @@ ORACLE_SQL = {
     "learning_plan": f"""{_FULL}, {_EFFORT}, {_SKILLS}, {_PLAN} select query_id, role, phase, 1 + (phase - 1) * per as week_start, phase * per as week_end, case when total > 0 then total else 4 * phases end as weeks_to_ready,
       sks[1] as focus, array_to_string(sks, '|') as skills, array_to_string(list_filter([tt[1], case when tt[2] <> tt[1] then tt[2] when tt[3] <> tt[1] then tt[3] end], lambda x: x is not null), '|') as courses from pp""",
     "explain_path": f"{_FULL}, {_EXPLAIN} select * from ex",
+    "candidate_traces": f"""{_FULL}, fe as ({_WHOLE} select * from fe), tc3 as (select query_id, cur, id, evidence_type from bg where place <= 3), an as (select query_id, id from tc3 union select query_id, cur from tc3
+      ), x as (select a.query_id, n.source as of_, e.* from an a join nodes n on n.id = a.id join fe e on e.src = a.id)
+      select query_id, src, relation, dst from x where (relation = 'REQUIRES' and case when of_ = 'onet' then importance >= 3.5 else requirement_level = 'essential' end) or relation in ('BELONGS_TO', 'BROADER_THAN', 'NARROWER_THAN', 'SIMILAR_TO')
+      union select query_id, src, relation, dst from (select x.query_id, x.src, x.relation, x.dst, row_number() over (partition by x.query_id, x.src order by probability desc, count desc, n.title, x.dst) as r from x join nodes n on n.id = x.dst where relation = 'TRANSITIONS_TO') where r <= 8
+      union select a.query_id, e.src, e.relation, e.dst from an a join fe e on e.dst = a.id and e.relation = 'SIMILAR_TO'
+      union select query_id, cur, case evidence_type when 'neighbour_transition' then 'SEMANTIC_TRANSITION_BACKOFF' when 'predicted_transition' then 'PREDICTED_TRANSITION' else 'TRANSITIONS_TO' end, id from tc3 where evidence_type is not null""",
     "format_explanation": f"""{_FULL}, {_EXPLAIN}, ln as (select query_id, target, step, other, case relation when 'TRANSITIONS_TO' then printf('  -> TRANSITIONS_TO (%.2f%%, n=%d) -> %s', round(value * 100, 2), count, other) when 'SIMILAR_TO' then printf('  -> SIMILAR_TO (%.2f) -> %s', round(value, 2), other)
       when 'PREDICTED_TRANSITION' then printf('  -> PREDICTED_TRANSITION (model score %.2f%%) -> %s', round(value * 100, 2), other) when 'SEMANTIC_TRANSITION_BACKOFF' then printf('  -> SEMANTIC_TRANSITION_BACKOFF (%.2f) -> %s', round(value, 2), other)
       else '  -> REQUIRES -> ' || other || case status when 'you_have_this' then ' (you already have this)' else ' (you need this)' end end as line from ex) select query_id, target, string_agg(line, chr(10) order by step, other) as explanation from ln group by query_id, target""",
