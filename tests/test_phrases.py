@@ -3,6 +3,7 @@
 import random
 import re
 
+from waymark.operators import graph as g
 from waymark.operators import phrases as ph
 from waymark.operators import text as x
 
@@ -76,3 +77,19 @@ def test_entities_by_rule(spark):
     for r in x.extract_entities(rows).orderBy("query_id", "n").collect():
         got.setdefault(r.query_id, []).append(r.entity)
     assert [got.get(i, []) for i in range(len(cases))] == list(cases.values())
+
+
+def test_reach_from_both_ends_equals_reach_from_one(spark):
+    r = random.Random(6)
+    nodes = [f"n{i}" for i in range(60)]
+    edges = spark.createDataFrame([(r.choice(nodes), r.choice(nodes)) for _ in range(75)], "src string, dst string")
+    starts = spark.createDataFrame([(q, r.choice(nodes)) for q in range(25) for _ in range(2)], "query_id long, id string")
+    ends = spark.createDataFrame([(q, x) for q in range(26) for x in r.sample(nodes, 12)], "query_id long, id string")
+    asked = {(e.query_id, e.id) for e in ends.collect()}
+    sizes = []
+    for hops in range(5):
+        far = {(e.query_id, e.id) for e in g.reach(edges, starts, hops).collect()} & asked
+        got = [(e.query_id, e.id) for e in g.reached(edges, starts, ends, hops).collect()]
+        assert len(got) == len(set(got)) and set(got) == far
+        sizes.append(len(far))
+    assert sizes == sorted(sizes) and sizes[0] < sizes[2] < sizes[4] < len(asked)
