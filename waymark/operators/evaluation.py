@@ -33,6 +33,25 @@ def heldout_metrics(predictions: DataFrame, held_out: DataFrame, ks: tuple[int,
     return by.agg(*out)
 
 
+def metrics_by(predictions: DataFrame, held: DataFrame, keys: list[str], held_keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, held_keys, mrr, hits_5, hits_10, macro_mrr, source_role_coverage, observation_coverage, destination_coverage) of
+    predictions (keys, src, dst, rank) against held (held_keys, src, dst, count), weighted by observations: many rankings and
+    many splits in one pass. Keys without a covered source have no row; held_keys are few."""
+    own = held.select(*held_keys, "src", "dst", "count")
+    of = own.groupBy(*held_keys, "src").agg(F.sum("count").alias("of"))
+    total = own.groupBy(*held_keys).agg(F.sum("count").alias("n"), F.countDistinct("src").alias("sources"))
+    hit = predictions.select(*keys, "src", "dst", "rank").join(own, ["src", "dst"])
+    at = [F.sum(F.when(F.col("rank") <= k, F.col("count")).otherwise(0)).alias(f"h{k}") for k in (5, 10)]
+    by = hit.groupBy(*keys, *held_keys, "src").agg(F.sum(F.col("count") / F.col("rank")).alias("rr"), *at, F.sum("count").alias("found"))
+    seen = predictions.select(*keys, "src").distinct().join(of, "src").join(by, [*keys, *held_keys, "src"], "left").na.fill(0, ["rr", "h5", "h10", "found"])
+    m = seen.groupBy(*keys, *held_keys).agg(
+        *(F.sum(c).alias(c) for c in ("rr", "h5", "h10", "found")), F.sum(F.col("rr") / F.col("of")).alias("macro"), F.count("*").alias("covered"), F.sum("of").alias("reached")
+    )
+    j = m.join(F.broadcast(total), list(held_keys) or F.lit(True))
+    names = {"mrr": ("rr", "n"), "hits_5": ("h5", "n"), "hits_10": ("h10", "n"), "macro_mrr": ("macro", "sources"), "source_role_coverage": ("covered", "sources"), "observation_coverage": ("reached", "n"), "destination_coverage": ("found", "n")}
+    return j.select(*keys, *held_keys, *(F.round(F.col(a) / F.col(b), 9).alias(c) for c, (a, b) in names.items()))
+
+
 def event_values(events: DataFrame, predictions: DataFrame, k: int = 10) -> DataFrame:
     """(person, rr, hit, ndcg, covered) of each event (person, src, target) by the rank of its target.
 

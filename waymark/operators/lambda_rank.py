@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.storagelevel import StorageLevel
 
+from .evaluation import metrics_by as metrics_by
+
 #: The gain of each grade.
 GAINS = (0.0, 1.0, 3.0, 7.0)
 
@@ -116,21 +118,6 @@ def scored_grid(learn: DataFrame, rows: DataFrame, configs: tuple[Boosting, ...]
     return out
 
 
-def metrics_by(predictions: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, mrr, hits_5, hits_10, macro_mrr, source_role_coverage, destination_coverage) of predictions (keys, src, dst, rank)
-    against held (src, dst, count), weighted by observations; all keys in one pass."""
-    own = held.select("src", "dst", "count")
-    of = own.groupBy("src").agg(F.sum("count").alias("of"))
-    total = own.agg(F.sum("count").alias("n"), F.countDistinct("src").alias("sources"))
-    hit = predictions.select(*keys, "src", "dst", "rank").join(own, ["src", "dst"])
-    by = hit.groupBy(*keys, "src").agg(F.sum(F.col("count") / F.col("rank")).alias("rr"), *(F.sum(F.when(F.col("rank") <= k, F.col("count")).otherwise(0)).alias(f"h{k}") for k in (5, 10)), F.sum("count").alias("found"))
-    seen = predictions.select(*keys, "src").distinct().join(of, "src").join(by, [*keys, "src"], "left").na.fill(0)
-    m = seen.groupBy(*keys).agg(F.sum("rr").alias("rr"), F.sum("h5").alias("h5"), F.sum("h10").alias("h10"), F.sum(F.col("rr") / F.col("of")).alias("macro"), F.count("*").alias("covered"), F.sum("found").alias("found"))
-    j = m.join(F.broadcast(total), F.lit(True))
-    part = lambda a, b: F.round(F.col(a) / F.col(b), 9)
-    return j.select(*keys, part("rr", "n").alias("mrr"), part("h5", "n").alias("hits_5"), part("h10", "n").alias("hits_10"), part("macro", "sources").alias("macro_mrr"), part("covered", "sources").alias("source_role_coverage"), part("found", "n").alias("destination_coverage"))
-
-
 def best(metrics: DataFrame, keys: list[str]) -> DataFrame:
     """(keys) of the row with the best mrr, then hits at 5 and 10; the first of equals. One row a configuration."""
     first = F.max(F.struct("mrr", "hits_5", "hits_10", *[(-F.col(k)).alias(k) for k in keys])).alias("m")

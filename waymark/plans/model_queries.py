@@ -161,16 +161,23 @@ def heldout_metrics(s, d):
     return r6(m, *[c for c in m.columns if c != "observations"])
 
 
+def held_counts(s, d):
+    """(split, src, dst, count) of both splits that are held out."""
+    return held_pairs(s, d).groupBy("split", "src", "dst").count()
+
+
 def strategy_comparison(s, d):
-    """Four ways to rank side by side, with what each adds to direct counts."""
+    """Four ways to rank side by side, with what each adds to direct counts; methods and splits are columns of one pass."""
     methods = {"direct": direct_predictions(s, d, 5), "smoothed": smooth_predictions(s, d), "evidence": evidence_predictions(s, d), "combined": combined_predictions(s, d)}
-    out = None
+    lists = None
     for name, p in methods.items():
-        for split in ("validation", "test"):
-            m = ev.heldout_metrics(p, held_out(s, d, split), (5, 10)).select(F.lit(name).alias("method"), F.lit(split).alias("split"), "mrr", "hits_5", "hits_10", "observation_coverage")
-            out = m if out is None else out.unionByName(m)
+        one = p.select(F.lit(name).alias("method"), "src", "dst", "rank")
+        lists = one if lists is None else lists.unionByName(one)
+    every = s.createDataFrame([(m, x) for m in methods for x in ("validation", "test")], "method string, split string")
+    names = ["mrr", "hits_5", "hits_10", "observation_coverage"]
+    out = every.join(ev.metrics_by(lists, held_counts(s, d), ["method"], ("split",)), ["method", "split"], "left").select("method", "split", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in names])
     base = F.max(F.when(F.col("method") == "direct", F.col("mrr"))).over(Window.partitionBy("split"))
-    return r6(out.withColumn("mrr_gain", F.col("mrr") - base), "mrr", "hits_5", "hits_10", "observation_coverage", "mrr_gain")
+    return r6(out.withColumn("mrr_gain", F.col("mrr") - base), *names, "mrr_gain")
 
 
 def acceptance_gate(s, d):

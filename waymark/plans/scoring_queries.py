@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as ev
 from ..operators import graph as g
 from ..operators import scoring as sc
 from ..operators import transitions as tr
@@ -13,7 +14,7 @@ from ..sources import bridge as b
 from ..sources.shared import staged
 from .graph_queries import _FULL as _WHOLE
 from .graph_queries import _IDF, GRAPH, alignment_pairs, full_edges, idf_table, nodes, transition_edges
-from .model_queries import _DIRECT, _EVIDENCE, _NEAR, _NEAR_10, _S, _SMOOTH_RANK, _VEC, brand_neighbours, direct_predictions, evidence_predictions, role_vectors, smooth_full, smooth_predictions
+from .model_queries import _DIRECT, _EVIDENCE, _NEAR, _NEAR_10, _S, _SMOOTH_RANK, _VEC, brand_neighbours, direct_predictions, evidence_predictions, held_counts, role_vectors, smooth_full, smooth_predictions
 from .trajectory_queries import kept, train_counts
 
 WEIGHTS = {"gap": 0.35, "domain": 0.15, "unsupported": 0.25, "transfer": 0.25}
@@ -287,6 +288,24 @@ def rrf(s, d):
     return sc.rrf(rankings(s, d)).withColumn("score", F.round("score", 6))
 
 
+#: Fusions of all lists, and of all but one.
+LEFT_OUT = (None, "direct", "smooth", "vector")
+
+
+def signal_ablation(s, d):
+    """What the fused ranking loses on held-out people when one of its lists is left out."""
+    names = [x for x in LEFT_OUT if x]
+    config = lambda out: f"without {out}" if out else "all"
+    rows = s.createDataFrame([(config(out), x) for out in LEFT_OUT for x in names if x != out], "config string, list string")
+    score = F.round(F.sum(1 / (F.lit(60.0) + F.col("rank"))), 9)
+    fused = rankings(s, d).join(F.broadcast(rows), "list").groupBy("config", F.col("query_id").alias("src"), F.col("id").alias("dst")).agg(score.alias("score"))
+    ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("config", "src").orderBy(F.desc("score"), "dst")))
+    m = ev.metrics_by(ranked, held_counts(s, d), ["config"], ("split",))
+    loss = F.max(F.when(F.col("config") == "all", F.col("mrr"))).over(Window.partitionBy("split")) - F.col("mrr")
+    out = m.withColumn("mrr_loss", loss)
+    return out.select("config", "split", *[F.round(c, 6).alias(c) for c in ("mrr", "hits_5", "hits_10", "observation_coverage", "mrr_loss")])
+
+
 #: Weights of three lists in steps of a quarter that sum to one.
 SIMPLEX = [(x / 4, y / 4, (4 - x - y) / 4) for x in range(5) for y in range(5 - x)]
 
@@ -441,7 +460,7 @@ def short_label(s, d):
 
 QUERIES = {f.__name__: f for f in (
     strongest_alignment, role_requirements, requirement_status, hybrid_retrieve, live_candidates, rank_by_gap, skill_gap, qualification, graph_retrieve, related_roles, isco_distance, effort_score, rank_by_effort,
-    priority_skills, learning_plan, path_skills, explain_path, candidate_traces, format_explanation, course_queries, role_lookup, explore_skills, rrf, weighted_rrf, head_fusion, priority_combine, candidate_union,
+    priority_skills, learning_plan, path_skills, explain_path, candidate_traces, format_explanation, course_queries, role_lookup, explore_skills, rrf, signal_ablation, weighted_rrf, head_fusion, priority_combine, candidate_union,
     channel_topk, rerank_topn, pair_features, shared_skill_pairs, meta_path, missing_edge_candidates, title_tfidf, title_cosine, neighbour_evidence, relevance_grade, skill_set_algebra, course_links,
     user_turns, role_document, short_label,
 )}
@@ -576,6 +595,13 @@ ORACLE_SQL = {
       select ' ' || upper(title) || '! ' as phrase, r.id, skills, first_destination, destinations, best.partner as aligned, mean_effort from roles_a r left join nk using (id) left join td using (id) left join best on best.id = r.id left join me on me.id = r.id""",
     "explore_skills": f"{_FULL} select skill, count(*) as roles, row_number() over (order by count(*) desc, skill) as rank from reqs group by skill order by roles desc, skill limit 20",
     "rrf": f"{_LISTS} select query_id, id, round(score, 6) as score, sources, rank from fused",
+    "signal_ablation": f"""{_LISTS}, cf(config, list) as (values {', '.join(f"('{f'without {o}' if o else 'all'}', '{x}')" for o in LEFT_OUT for x in LEFT_OUT if x and x != o)}
+      ), fr as (select config, query_id as src, id as dst, row_number() over (partition by config, query_id order by round(sum(1 / (60 + rank)), 9) desc, id) as rank from lists join cf using (list) group by config, query_id, id
+      ), hd as (select split, src, dst, count(*) as count from classified where reason = 'valid' and split <> 'train' group by all), tt as (select split, sum(count) as n from hd group by split
+      ), hi as (select config, split, sum(count / rank) as rr, sum(case when rank <= 5 then count else 0 end) as h5, sum(case when rank <= 10 then count else 0 end) as h10 from fr join hd using (src, dst) group by all
+      ), co as (select config, split, sum(count) as c from (select distinct config, src from fr) join hd using (src) group by all
+      ), m as (select config, split, coalesce(rr, 0) / n as mrr, coalesce(h5, 0) / n as h5, coalesce(h10, 0) / n as h10, c / n as oc from co join tt using (split) left join hi using (config, split))
+      select config, split, round(mrr, 6) as mrr, round(h5, 6) as hits_5, round(h10, 6) as hits_10, round(oc, 6) as observation_coverage, round(max(mrr) filter (config = 'all') over (partition by split) - mrr, 6) as mrr_loss from m""",
     "weighted_rrf": f"""{_LISTS}, wg(config, list, weight) as (values {', '.join(f"('{x}/{y}/{z}', '{n}', {v}::double)" for x, y, z in SIMPLEX for n, v in (('direct', x), ('smooth', y), ('vector', z)))}
       ), g as (select config, query_id, id, round(sum(weight / (60 + rank)), 9) as score from lists join wg using (list) group by all), o as (select *, row_number() over (partition by config, query_id order by score desc, id) as rank from g where score > 0)
       select config, query_id, id, round(score, 6) as score, rank from o where rank <= 5""",
