@@ -300,7 +300,7 @@ def signal_ablation(s, d):
     score = F.round(F.sum(1 / (F.lit(60.0) + F.col("rank"))), 9)
     fused = rankings(s, d).join(F.broadcast(rows), "list").groupBy("config", F.col("query_id").alias("src"), F.col("id").alias("dst")).agg(score.alias("score"))
     ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("config", "src").orderBy(F.desc("score"), "dst")))
-    m = ev.metrics_by(ranked, held_counts(s, d), ["config"], ("split",))
+    m = ev.metrics_by(ranked, held_counts(s, d), ["config"], ("split",)).withColumn("mrr", F.round("mrr", 6))
     loss = F.max(F.when(F.col("config") == "all", F.col("mrr"))).over(Window.partitionBy("split")) - F.col("mrr")
     out = m.withColumn("mrr_loss", loss)
     return out.select("config", "split", *[F.round(c, 6).alias(c) for c in ("mrr", "hits_5", "hits_10", "observation_coverage", "mrr_loss")])
@@ -601,7 +601,7 @@ ORACLE_SQL = {
       ), hi as (select config, split, sum(count / rank) as rr, sum(case when rank <= 5 then count else 0 end) as h5, sum(case when rank <= 10 then count else 0 end) as h10 from fr join hd using (src, dst) group by all
       ), co as (select config, split, sum(count) as c from (select distinct config, src from fr) join hd using (src) group by all
       ), m as (select config, split, coalesce(rr, 0) / n as mrr, coalesce(h5, 0) / n as h5, coalesce(h10, 0) / n as h10, c / n as oc from co join tt using (split) left join hi using (config, split))
-      select config, split, round(mrr, 6) as mrr, round(h5, 6) as hits_5, round(h10, 6) as hits_10, round(oc, 6) as observation_coverage, round(max(mrr) filter (config = 'all') over (partition by split) - mrr, 6) as mrr_loss from m""",
+      select config, split, round(mrr, 6) as mrr, round(h5, 6) as hits_5, round(h10, 6) as hits_10, round(oc, 6) as observation_coverage, round(max(round(mrr, 6)) filter (config = 'all') over (partition by split) - round(mrr, 6), 6) as mrr_loss from m""",
     "weighted_rrf": f"""{_LISTS}, wg(config, list, weight) as (values {', '.join(f"('{x}/{y}/{z}', '{n}', {v}::double)" for x, y, z in SIMPLEX for n, v in (('direct', x), ('smooth', y), ('vector', z)))}
       ), g as (select config, query_id, id, round(sum(weight / (60 + rank)), 9) as score from lists join wg using (list) group by all), o as (select *, row_number() over (partition by config, query_id order by score desc, id) as rank from g where score > 0)
       select config, query_id, id, round(score, 6) as score, rank from o where rank <= 5""",
