@@ -17,10 +17,11 @@ def frame(spark, x, name):
     return spark.createDataFrame([(f"{name}{i:04d}", [float(y) for y in row], str(i % 3)) for i, row in enumerate(x)], "id string, vec array<double>, group string")
 
 
-@pytest.fixture(params=[(12, 0.05), (700, 1.0)])
+@pytest.fixture(params=[(12, 0.05, 4), (700, 1.0, 1024)])
 def sides(spark, request, monkeypatch):
     monkeypatch.setattr(v, "BLOCK", 40)
-    groups, spread = request.param
+    groups, spread, rows = request.param
+    monkeypatch.setattr(v, "CELL_ROWS", rows)
     q, p = clustered(60, groups, 10, 1, spread), clustered(700, groups, 10, 1, spread)
     return frame(spark, q, "q"), frame(spark, p, "p"), np.round(q @ p.T, 9)
 
@@ -52,7 +53,8 @@ def test_pairs_and_sweep_equal_all_pairs(sides):
         assert (r.predicted, r.true) == ((sims >= r.threshold).sum(), (same & (sims >= r.threshold)).sum())
 
 
-def test_few_cells_are_visited(spark):
+def test_few_cells_are_visited(spark, monkeypatch):
+    monkeypatch.setattr(v, "CELL_ROWS", 4)
     q, p = (frame(spark, clustered(n, 30, 24, 3, 0.02), name) for n, name in ((200, "q"), (3000, "p")))
     index = v.cells(p.select("id", "vec"))
     assert len(index.centres) == v.CENTRES and index.sizes.sum() == 3000

@@ -42,8 +42,8 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Vectors that points are gathered around; with fewer points than this there is one cell.
-CENTRES = 256
+#: Most vectors that points are gathered around, and points for each: with fewer points there are fewer cells, or one.
+CENTRES, CELL_ROWS = 256, 1024
 #: Above what rounding does to bounds and to similarities, which have nine decimals.
 _SLACK = 1e-8
 
@@ -93,10 +93,13 @@ def _assigned(points: DataFrame, centres: np.ndarray) -> DataFrame:
 def cells(points: DataFrame, most: int = CENTRES) -> Cells | None:
     """The index of points (id, vec), unit vectors; None without any. Centres are the `most` points of least hashes, a bounded
     sample; every point is assigned. Only centres, sizes and radii reach the driver."""
-    rows = points.select("vec").orderBy(F.xxhash64("id"), "id").limit(most).collect()
-    if not rows:
+    n = points.count()
+    if not n:
         return None
-    centres = np.array([r.vec for r in (rows if len(rows) == most else rows[:1])], float)
+    rows = points.select("vec").orderBy(F.xxhash64("id"), "id").limit(min(most, -(-n // CELL_ROWS))).collect()
+    centres = np.array([r.vec for r in rows], float)
+    if len(centres) == 1:  # one cell holds all, and no bound rules it out
+        return Cells(centres, np.array([n]), np.array([np.pi]))
     sizes, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
     for r in _assigned(points.select("id", "vec"), centres).groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():
         sizes[r.cell], radii[r.cell] = r.n, r.radius
@@ -176,6 +179,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, index: Cells | None =
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "nbr")
     best = lambda df: df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     one = best(_met(_visits(queries, index, lambda q, _: index.first(q, k + 1)), points, index, run, PAIRS)).drop("rank")
+    if len(index.centres) == 1:
+        return best(one)
     least = one.groupBy("id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("least"))
     asked = queries.join(least, "id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
     more = _visits(asked, index, lambda q, b: ~index.first(q, k + 1) & (index.bounds(q) >= b["least"].to_numpy()[:, None] - _SLACK)).drop("least")
