@@ -74,6 +74,15 @@ def test_lambdas_rank_better_than_grades_one_by_one(spark):
         lr.packed(df, ["q"])
 
 
+def test_lists_of_one_grade_teach_nothing(spark):
+    rows = [(s, f"d{i}", [float(i), 1.0], 3) for s in ("a", "b") for i in range(5)]
+    same = spark.createDataFrame(rows, "src string, dst string, features array<double>, grade int")
+    config = lr.Boosting(2, 2)
+    assert lr.fit(same, config) == []
+    mixed = spark.createDataFrame([("c", f"d{i}", [float(i), 1.0], i % 2) for i in range(6)], same.schema)
+    assert [t.toDebugString for t in lr.fit(same.unionByName(mixed), config)] == [t.toDebugString for t in lr.fit(mixed, config)]
+
+
 def test_fusion_grid_equals_one_fusion_after_the_other(spark):
     r = np.random.default_rng(9)
     lists = lambda n: [(f"s{s}", f"d{c}", k + 1) for s in range(6) for k, c in enumerate(r.permutation(30)[:n])]

@@ -87,8 +87,9 @@ def fit(rows: DataFrame, config: Boosting) -> list[DecisionTreeRegressionModel]:
     """Trees learnt from graded rows (src, dst, features, grade), one a round on the lambdas under the trees before it.
 
     A leaf is the sum of its lambdas over that of their weights. The rows lie by source, in memory or on disk, so that
-    no round shuffles them. Lists without a positive grade teach nothing; without any the ranker is empty."""
-    some = rows.filter("grade > 0").select("src").distinct()
+    no round shuffles them. Lists whose rows all have one grade, be it none or the highest, teach nothing, for no two of
+    them could change places; without any other list the ranker is empty."""
+    some = rows.groupBy("src").agg(F.min("grade").alias("least"), F.max("grade").alias("most")).filter("least < most").select("src")
     held = rows.select("src", "dst", "features", F.col("grade").cast("int").alias("grade")).join(some, "src").repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
     trees: list[DecisionTreeRegressionModel] = []
     try:
