@@ -1,6 +1,7 @@
 """Vectors, transition models, metrics, graph and scoring: literal cases with known values."""
 
 import math
+import re
 import uuid
 
 import pytest
@@ -336,3 +337,58 @@ def test_incremental_pairs_equal_batch(spark, tmp_path):
     got = run_available(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "state"), 1)
     want = t.transitions(spark.createDataFrame(rows, schema)).select("person", "src", "dst")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def _planned(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_gaps_keep_a_target_one_row(spark):
+    t = spark.createDataFrame([(1, "r1"), (1, "r2"), (2, "r1"), (1, "r1")], "query_id long, role string")
+    need = spark.createDataFrame([("r1", "x"), ("r1", "y"), ("r2", "z"), ("r3", "x")], "role string, skill string")
+    own = spark.createDataFrame([(1, "x"), (1, "q")], "query_id long, skill string")
+    idf = spark.createDataFrame([("x", 3.0), ("z", 2.0)], "dst string, idf double")
+    out = sc.gaps(t, need, own, idf)
+    assert sorted(map(tuple, out.collect())) == [(1, "r1", 2, 1, 0.75, 0.75), (1, "r2", 1, 0, 0.0, 0.0), (2, "r1", 2, 0, None, 0.0)]
+    assert "hashpartitioning(query_id" in _planned(out) and "query_id#" in _planned(out)
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, skill", _planned(out))
+
+
+def test_path_skills_are_chosen_once_for_each_set_of_roles(spark):
+    need = spark.createDataFrame([("r1", f"s{i}") for i in range(4)] + [("r2", "s1"), ("r2", "s9")], "role string, skill string")
+    shown = spark.createDataFrame([(q, r) for q in range(40) for r in (("r1", "r2") if q % 2 else ("r1",))], "query_id long, role string")
+    out = sc.path_skills(shown, need, 2)
+    got = sorted((r.query_id, r.skill, r.n) for r in out.collect())
+    odd, even = [("s0", 1), ("s1", 2), ("s9", 1)], [("s0", 1), ("s1", 1)]
+    assert got == [(q, *x) for q in range(40) for x in (odd if q % 2 else even)]
+    assert "FlatMapGroups" not in _planned(out)
+
+
+def test_surroundings_of_aligned_anchors_come_once_without_a_shuffle_of_triples(spark):
+    nodes = spark.createDataFrame([("a", "esco", "A"), ("b", "onet", "B"), ("c", "esco", "C"), ("d", "esco", "D")], "id string, source string, title string")
+    none = (None, None, None, None, None)
+    rows = [("a", "b", "SIMILAR_TO", *none), ("b", "a", "SIMILAR_TO", *none), ("d", "a", "SIMILAR_TO", *none), ("a", "s", "REQUIRES", "essential", *none[1:]), ("b", "s", "REQUIRES", None, 4.0, *none[2:])]
+    rows.append(("a", "c", "TRANSITIONS_TO", None, None, "train", 0.5, 5))
+    edges = spark.createDataFrame(rows, "src string, dst string, relation string, requirement_level string, importance double, split string, probability double, count long")
+    anchors = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "query_id long, id string")
+    out = g.traverse(anchors, nodes, edges, F.col("relation") == "TRANSITIONS_TO")
+    of_a = [("a", "REQUIRES", "s"), ("a", "SIMILAR_TO", "b"), ("a", "TRANSITIONS_TO", "c"), ("b", "SIMILAR_TO", "a"), ("d", "SIMILAR_TO", "a")]
+    want = [(1, *x) for x in [*of_a, ("b", "REQUIRES", "s")]] + [(2, *x) for x in of_a]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, src#\d+, relation", _planned(out))
+    told = g.evidence_triples(out, spark.createDataFrame([(1, "a", "c", "direct_transition"), (2, "a", "d", "predicted_transition")], "query_id long, current string, id string, evidence_type string"))
+    assert sorted(map(tuple, told.collect())) == sorted([*want, (2, "a", "PREDICTED_TRANSITION", "d")])
+
+
+def test_similar_names_meet_by_subsequences_as_by_pieces(spark, monkeypatch):
+    names = [f"supplier {i:06d}" for i in range(300)]
+    roles = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(names)], "id string, title string")
+    asked = spark.createDataFrame([(t,) for i, n in enumerate(names[::7]) for t in [(n + "x", n[:3] + n[4:], "zz" + n[2:], n.upper())[i % 4]]], "phrase string")
+    keys, aliases = asked.select(x.normalize_label(F.col("phrase")).alias("key")), roles.select(F.col("title").alias("alias"))
+    met = {tuple(r) for r in x._similar(keys, aliases, 0.9).collect()}
+    assert len(met) < keys.count() * 60
+    ratio = lambda a, z: x.SequenceMatcher(None, a, z).ratio()
+    assert {(k.key, a) for k in keys.collect() for a in names if ratio(k.key, a) >= 0.9} <= met
+    got = sorted(map(tuple, x.resolve_roles(asked, roles).collect()))
+    monkeypatch.setattr(x, "SUBSEQUENCES", 0)
+    assert got == sorted(map(tuple, x.resolve_roles(asked, roles).collect())) and sum(r[1] is not None for r in got) > 20
