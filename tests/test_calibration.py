@@ -93,3 +93,18 @@ def test_limits_and_defaults(spark):
     none = cal.calibration(spark, d.limit(0), some).collect()
     assert [(r.weight, r.low_max, r.moderate_max, r.origin) for r in none] == [(w, 0.3, 0.6, "default") for w in cal.DEFAULT["weights"]]
     assert {r.origin for r in cal.calibration(spark, d, some.limit(2), 5).collect()} == {"default"}
+
+
+def test_draws_of_events_are_not_shuffled_and_equal_differences_are_one(spark):
+    roles = spark.createDataFrame(roles_of(60), "role string, grp string, popular boolean")
+    events = spark.createDataFrame([(f"e{i}", f"r{i % 60:03d}", f"r{(i * 7 + 1) % 60:03d}", i % 3) for i in range(200)], "event string, src string, dst string, kind long")
+    one = cal.sample_alternatives(events, roles, (6, 5, 4))
+    by = cal.sample_alternatives(events, roles, (6, 5, 4), by=("kind",))
+    assert sorted((r.event, r.role, r.stratum, r.weight) for r in by.collect()) == sorted(map(tuple, one.collect()))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+    part = lambda *v: ("e", *map(float, v))
+    names = "event string, " + ", ".join(f"{c} double" for c in cal.PARTS)
+    alternatives = spark.createDataFrame([(*part(1, 0, 0, 0), 2.0), (*part(1, 0, 0, 0), 3.0), (*part(0, 1, 0, 0), 1.0)], names + ", weight double")
+    d = cal.differences(spark.createDataFrame([part(0, 0, 0, 0)], names), alternatives)
+    assert sorted((r.d_gap, r.weight, r.n) for r in d.collect()) == [(-1.0, 5.0, 2), (0.0, 1.0, 1)] and cal.descend(d, 3)[1] == 3

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from ..sources.shared import stored
 from .scoring import group_distance
 
 #: Alternatives for a step by stratum, the parts of effort, and what stands for them without evidence.
@@ -33,51 +34,70 @@ def _numbered(members: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     return placed, n.groupBy("pool").agg(F.sum("n").alias("size"))
 
 
-def sample_alternatives(events: DataFrame, roles: DataFrame, take: tuple[int, int, int] = TAKE, seed: int = 17) -> DataFrame:
-    """(event, role, stratum, weight): for each step (event, src, dst) roles that could have been next, drawn without
+def sample_alternatives(events: DataFrame, roles: DataFrame, take: tuple[int, int, int] = TAKE, seed: int = 17, by: tuple[str, ...] = ()) -> DataFrame:
+    """(event, *by, role, stratum, weight): for each step (event, src, dst) roles that could have been next, drawn without
     replacement from those of the source's group (0), the popular ones (1), and all (2).
 
     roles: (role, grp, popular), grp null for none. Source and target are no alternatives in strata 0 and 2; a role is
     drawn once; where a group has no other role, stratum 0 draws from all. weight is how many roles of the stratum each
     drawn one stands for: pool / taken. An event walks each pool, which lies in an order of hashes, from a place and
     with a stride of its own, so only as many rows are made as may be needed, whatever a pool's size, and
-    the draw is the same on every run and partitioning."""
-    known = roles.select("role", "grp", F.coalesce("popular", F.lit(False)).alias("popular"))
+    the draw is the same on every run and partitioning. Events are dealt once, by columns of theirs (`by`, or event), before
+    draws are made; those of an event are then one list, and no draw is shuffled."""
+    keys = by or ("event",)
+    known = stored(roles.select("role", "grp", F.coalesce("popular", F.lit(False)).alias("popular")), "roles")
     any_, popular = F.lit("any"), F.lit("popular")
     members = known.filter("grp is not null and grp <> ''").select(F.concat(F.lit("g:"), "grp").alias("pool"), "role")
     members = members.unionByName(known.filter("popular").select(popular.alias("pool"), "role")).unionByName(known.select(any_.alias("pool"), "role"))
-    placed, sizes = _numbered(members, seed)
+    placed, sizes = (stored(df, "pools") for df in _numbered(members, seed))
+    by_only = [c for c in by if c not in ("event", "src", "dst")]
     end = lambda name: known.select(F.col("role").alias(name), F.col("grp").alias(f"{name}_grp"), F.lit(1).alias(f"{name}_known"))
-    e = events.select("event", "src", "dst").join(end("src"), "src", "left").join(end("dst"), "dst", "left").na.fill(0, ["src_known", "dst_known"])
+    e = events.select("event", "src", "dst", *by_only).join(end("src"), "src", "left").join(end("dst"), "dst", "left").na.fill(0, ["src_known", "dst_known"])
     own = sizes.filter("pool like 'g:%'").select(F.expr("substring(pool, 3)").alias("src_grp"), F.col("size").alias("own"))
     same = F.when((F.col("dst_grp") == F.col("src_grp")) & (F.col("dst") != F.col("src")), 1).otherwise(0)
     e = e.join(own, "src_grp", "left").withColumn("hard", F.coalesce(F.col("own"), F.lit(0)) - F.col("src_known") - same)
+    e = e.repartition(*keys)
     # as many draws as can be turned down, and those that are taken
     most = (take[0] + 2, take[1] + take[0], take[2] + 2 + take[0] + take[1])
     hard = F.when(F.col("hard") > 0, F.concat(F.lit("g:"), "src_grp")).otherwise(any_)
     strata = F.array(*(F.struct(F.lit(k).alias("stratum"), pool.alias("pool"), F.lit(n).alias("most")) for k, (pool, n) in enumerate(zip((hard, popular, any_), most, strict=True))))
-    s = e.select("event", "src", "dst", "hard", (F.col("src_known") + F.when(F.col("dst") != F.col("src"), F.col("dst_known")).otherwise(0)).alias("ends"), F.explode(strata).alias("x")).select("event", "src", "dst", "hard", "ends", "x.*")
+    own_columns = ["event", "src", "dst", *by_only]
+    s = e.select(*own_columns, "hard", (F.col("src_known") + F.when(F.col("dst") != F.col("src"), F.col("dst_known")).otherwise(0)).alias("ends"), F.explode(strata).alias("x")).select(*own_columns, "hard", "ends", "x.*")
     s = s.join(sizes, "pool")
     key = lambda *salt: F.xxhash64(F.lit(seed), "event", "stratum", *map(F.lit, salt))
     stride = F.element_at(F.array(*map(F.lit, _STRIDES)), (F.pmod(key("stride"), F.lit(len(_STRIDES))) + 1).cast("int"))
     draws = s.withColumn("stride", stride % F.col("size")).withColumn("first", F.pmod(key("first"), F.col("size"))).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.least("size", F.col("most").cast("long")) - 1)))
     d = draws.withColumn("place", (F.col("first") + F.col("draw") * F.col("stride")) % F.col("size")).join(placed, ["pool", "place"])
     d = d.join(known.select("role", "popular"), "role").filter((F.col("stratum") == 1) | ((F.col("role") != F.col("src")) & (F.col("role") != F.col("dst"))))
-    by_event, by_role = Window.partitionBy("event"), Window.partitionBy("event", "role")
-    d = d.withColumn("taken", F.lit(False))
+    elsewhere = (F.col("role") != F.col("src")) & (F.col("role") != F.col("dst"))
+    drawn = F.array_sort(F.collect_list(F.struct("stratum", "draw", "role", "popular", "size", elsewhere.alias("elsewhere"))))
+    one = d.groupBy(*own_columns).agg(F.first("hard").alias("hard"), F.first("ends").alias("ends"), drawn.alias("drawn"))
+    names = lambda k: F.transform(f"taken_{k}", lambda y: y["role"])
     for k, n in enumerate(take):
-        order = F.row_number().over(Window.partitionBy("event", "stratum").orderBy("draw"))
-        d = d.withColumn("n", order).withColumn("taken", F.col("taken") | ((F.col("stratum") == k) & (F.col("n") <= n)))
-        d = d.withColumn("gone", F.max("taken").over(by_role)).filter(F.col("taken") | ((F.col("stratum") > k) & ~F.col("gone")))
-    out = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(by_event)
-    zero, one = F.col("stratum") == 0, F.col("stratum") == 1
-    elsewhere = one & (F.col("role") != F.col("src")) & (F.col("role") != F.col("dst"))
-    d = d.withColumns({"first_popular": out(zero & F.col("popular")), "first_taken": out(zero), "second_taken": out(elsewhere), "of": F.count("*").over(Window.partitionBy("event", "stratum"))})
-    pool = (
-        F.when(zero & (F.col("hard") > 0), F.col("hard")).when(zero, F.col("size") - F.col("ends")).when(one, F.col("size") - F.col("first_popular"))
-        .otherwise(F.col("size") - F.col("ends") - F.col("first_taken") - F.col("second_taken"))
+        one = one.withColumn(f"taken_{k}", F.slice(F.filter("drawn", _free(k)), 1, n))
+        one = one.withColumn(f"names_{k}", names(k))
+    zero, first, rest = (F.size(f"taken_{k}") for k in range(3))
+    first_popular = F.size(F.filter("taken_0", lambda y: y["popular"]))
+    second_taken = F.size(F.filter("taken_1", lambda y: y["elsewhere"]))
+    pools = (
+        lambda y: F.when(F.col("hard") > 0, F.col("hard")).otherwise(y["size"] - F.col("ends")) / zero, lambda y: (y["size"] - first_popular) / first,
+        lambda y: (y["size"] - F.col("ends") - zero - second_taken) / rest,
     )
-    return d.select("event", "role", "stratum", (pool / F.col("of")).alias("weight"))
+    weighed = lambda pool: lambda y: F.struct(y["role"].alias("role"), y["stratum"].alias("stratum"), pool(y).cast("double").alias("weight"))
+    out = F.concat(*(F.transform(f"taken_{k}", weighed(pool)) for k, pool in enumerate(pools)))
+    return one.select(*dict.fromkeys(["event", *by]), F.explode(out).alias("x")).select(*dict.fromkeys(["event", *by]), "x.role", "x.stratum", "x.weight")
+
+
+def _free(k: int):
+    """Whether a draw is of stratum k and its role wasn't taken in one before."""
+    return lambda y: _all([y["stratum"] == k, *(~F.array_contains(f"names_{i}", y["role"]) for i in range(k))])
+
+
+def _all(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
 
 
 def step_features(pairs: DataFrame, owned: DataFrame, roles: DataFrame, support: DataFrame) -> DataFrame:
@@ -101,9 +121,16 @@ def _idf(skills: Column) -> Column:
 
 
 def differences(positive: DataFrame, alternatives: DataFrame) -> DataFrame:
-    """(d_*, weight): each observed step's parts less those of each of its alternatives, with their weights."""
+    """(d_*, weight, n): each observed step's parts less those of each of its alternatives, with their weights; equal ones are
+    one, with the sum of their weights and how many they are. alternatives may be n in one themselves."""
     p = positive.select("event", *[F.col(c).alias(f"p_{c}") for c in PARTS])
-    return alternatives.join(p, "event").select(*[(F.col(f"p_{c}") - F.col(c)).alias(f"d_{c}") for c in PARTS], "weight")
+    n = F.col("n") if "n" in alternatives.columns else F.lit(1)
+    return merged(alternatives.join(p, "event").select(*[(F.col(f"p_{c}") - F.col(c)).alias(f"d_{c}") for c in PARTS], "weight", n.cast("long").alias("n")))
+
+
+def merged(diffs: DataFrame) -> DataFrame:
+    """diffs (d_*, weight, n) with equal differences as one: the loss is a sum, so weights add up."""
+    return diffs.groupBy(*[f"d_{c}" for c in PARTS]).agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
 
 
 def descend(diffs: DataFrame, steps: int = 500, rate: float = 0.1, ridge: float = 1e-3) -> tuple[np.ndarray, int]:
@@ -114,7 +141,7 @@ def descend(diffs: DataFrame, steps: int = 500, rate: float = 0.1, ridge: float
     gradient, and those few numbers a partition are all that reaches the driver."""
     names = [f"d_{c}" for c in PARTS]
     k = len(names)
-    total = diffs.agg(F.count("*").alias("n"), F.sum("weight").alias("w")).first()
+    total = diffs.agg((F.sum("n") if "n" in diffs.columns else F.count("*")).alias("n"), F.sum("weight").alias("w")).first()
     beta = np.full(k, 1 / k)
     if not total.n:
         return beta, 0

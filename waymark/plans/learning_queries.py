@@ -12,7 +12,7 @@ from ..operators import ranker as rk
 from ..operators import stores as st
 from ..operators import trajectories as t
 from ..sources import bridge as b
-from ..sources.shared import cache_by_folder, new_folder, staged
+from ..sources.shared import cache_by_folder, new_folder, staged, stored
 from ..streaming.incremental import run_available
 from .graph_queries import _FULL, _TRANS, full_edges, idf_table, nodes, skills, transition_edges
 from .model_queries import _NEAR, _NEAR_10, _VEC, _WALK, brand_neighbours, brand_vectors, held_out, role_vectors, smooth_predictions
@@ -31,6 +31,8 @@ def incremental_transitions(s, d):
     end = plain.groupBy("person").agg((F.max("ord") + 1).alias("ord")).select("person", "ord", F.lit(None).cast("string").alias("label"), F.lit(2).alias("part"))
     every = plain.drop("event_id").unionByName(late.drop("event_id")).unionByName(end)
     files = int(s.conf.get("spark.sql.shuffle.partitions"))
+    # numbered and joined once, not for each of the batches
+    every = stored(every, "batches")
     for part in range(3):
         every.filter(F.col("part") == part).select("person", "ord", "label").repartition(files, "person").write.mode("append").parquet(source)
     pairs = run_available(s, source, "person long, ord long, label string", new_folder(s, "pairs"), new_folder(s, "state"), files)
@@ -248,47 +250,67 @@ def ranker_gate(s, d):
     return lr.gate(out)
 
 
-def _steps(s, d, split):
-    """(event, history, src, dst): observed steps of a split's people with the roles before them."""
+@staged
+def observed_steps(s, d):
+    """(split, event, known, src, dst): observed steps of training and validation people with the roles before them as one sorted text, which says what
+    a person owns."""
     role = lambda c: F.concat(F.lit("a:"), c)
-    p = t.prefixes(kept(s, d).filter(F.col("split") == split))
-    return p.select(F.concat_ws("|", "person", "ord").alias("event"), F.transform("history", role).alias("history"), role(F.element_at("history", -1)).alias("src"), role(F.col("target")).alias("dst"))
+    one = lambda split: t.prefixes(kept(s, d).filter(F.col("split") == split)).withColumn("split", F.lit(split))
+    p = one("train").unionByName(one("validation"))
+    known = F.array_join(F.array_sort(F.array_distinct(F.transform("history", role))), "|")
+    return p.select("split", F.concat_ws("|", "person", "ord").alias("event"), known.alias("known"), role(F.element_at("history", -1)).alias("src"), role(F.col("target")).alias("dst"))
 
 
-def _role_skills(s, d):
-    """(role, grp, skills): roles of the first source with their skills and these' idf."""
-    need = requirements(s, d).join(idf_table(s, d).select(F.col("dst").alias("skill"), F.round("idf", 9).alias("idf")), "skill", "left").select("role", F.struct("skill", F.coalesce("idf", F.lit(1.0)).alias("idf")).alias("x"))
+@staged
+def role_lists(s, d):
+    """(role, isco_group, grp, skills): roles of the first source with their skills and these' idf."""
+    need = requirements(s, d).filter("role like 'a:%'").join(idf_table(s, d).select(F.col("dst").alias("skill"), F.round("idf", 9).alias("idf")), "skill", "left").select("role", F.struct("skill", F.coalesce("idf", F.lit(1.0)).alias("idf")).alias("x"))
     by = need.groupBy("role").agg(F.sort_array(F.collect_set("x")).alias("skills"))
     roles = b.roles_a(s, d).select(F.col("id").alias("role"), "isco_group", F.substring("isco_group", 1, 2).alias("grp")).join(by, "role", "left")
     return roles.withColumn("skills", F.coalesce("skills", F.array().cast(by.schema["skills"].dataType)))
 
 
-def _known_parts(s, d, steps, pairs):
-    """pairs (event, src, role, ...) of `steps` with the parts of effort; a person owns what the roles before a step need."""
-    roles = _role_skills(s, d)
-    each = steps.select("event", F.explode("history").alias("role")).join(roles.select("role", F.explode("skills").alias("x")), "role")
-    owned = each.groupBy("event").agg(F.collect_set("x").alias("skills"))
+def _known_parts(s, d, asked):
+    """(known, src, role) with the parts of effort; who had the roles of `known` owns what they need. Each triple once."""
+    roles, each = role_lists(s, d), asked.select("known", "src", "role").distinct()
+    of = each.select("known").distinct().select(F.col("known").alias("event"), F.explode(F.split("known", r"\|")).alias("role"))
+    owned = of.join(roles.select("role", "skills"), "role").select("event", F.explode("skills").alias("x")).groupBy("event").agg(F.collect_set("x").alias("skills"))
     support = transition_edges(s, d).select("src", F.col("dst").alias("role"), F.least(F.lit(1.0), F.col("probability") * F.log2(1.0 + F.col("count"))).alias("support"))
-    return cal.step_features(pairs, owned, roles.select("role", F.col("isco_group").alias("grp"), "skills"), support)
+    return cal.step_features(each.withColumnRenamed("known", "event"), owned, roles.select("role", F.col("isco_group").alias("grp"), "skills"), support).withColumnRenamed("event", "known")
 
 
 @staged
-def calibration_pairs(s, d):
-    """Differences of every training step and its sampled alternatives."""
-    steps, roles = _steps(s, d, "train"), _role_skills(s, d)
+def drawn_alternatives(s, d):
+    """(known, src, dst, role, weight, n): the alternatives drawn for every training step; those of steps that know the same and lead
+    from and to the same roles are summed up where they are drawn."""
+    steps = observed_steps(s, d).filter("split = 'train'")
     popular = steps.select(F.col("dst").alias("role")).distinct().withColumn("popular", F.lit(True))
-    drawn = cal.sample_alternatives(steps, roles.join(popular, "role", "left"))
-    ends = steps.select("event", "src", "dst")
-    observed = _known_parts(s, d, steps, ends.withColumnRenamed("dst", "role"))
-    return cal.differences(observed, _known_parts(s, d, steps, drawn.join(ends.select("event", "src"), "event")))
+    drawn = cal.sample_alternatives(steps, role_lists(s, d).join(popular, "role", "left"), by=("known", "src", "dst"))
+    return drawn.groupBy("known", "src", "dst", "role").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+
+
+@staged
+def calibration_parts(s, d):
+    """Parts of effort of all that training and validation steps and their alternatives lead to."""
+    steps = observed_steps(s, d).select("known", "src", F.col("dst").alias("role"))
+    return _known_parts(s, d, steps.unionByName(drawn_alternatives(s, d).select("known", "src", "role")))
+
+
+@staged
+def calibration_pairs(s, d):
+    """Differences of every training step and its sampled alternatives, equal ones summed up."""
+    parts, drawn = calibration_parts(s, d), drawn_alternatives(s, d)
+    event = F.concat_ws(">", "known", "src", "dst").alias("event")
+    ends = drawn.select("known", "src", "dst").distinct()
+    observed = ends.withColumn("role", F.col("dst")).join(parts, ["known", "src", "role"]).select(event, *cal.PARTS)
+    return cal.differences(observed, drawn.join(parts, ["known", "src", "role"]).select(event, *cal.PARTS, "weight", "n"))
 
 
 def effort_calibration(s, d):
     """Weights of the four parts of effort under which observed training steps are cheaper than the alternatives drawn for each,
     and limits of the bands from observed validation steps. Every training step takes part."""
-    steps = _steps(s, d, "validation")
-    seen = _known_parts(s, d, steps, steps.select("event", "src", F.col("dst").alias("role")))
-    return cal.calibration(s, calibration_pairs(s, d), seen)
+    steps = observed_steps(s, d).filter("split = 'validation'").select("known", "src", F.col("dst").alias("role"))
+    return cal.calibration(s, calibration_pairs(s, d), steps.join(calibration_parts(s, d), ["known", "src", "role"]))
 
 
 QUERIES = {f.__name__: f for f in (
