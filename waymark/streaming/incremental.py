@@ -34,8 +34,9 @@ def stream_pairs(steps: DataFrame, idle_ms: int | None = None) -> DataFrame:
             closed(now, out, key[0])
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values(["ord", "label"], na_position="last")
-            for position, label in zip(rows["ord"].tolist(), rows["label"].tolist(), strict=True):
+            # a person has few rows in a batch: sorting them as a list costs far less than a frame
+            rows = [x for b in batches for x in zip(b["ord"].tolist(), b["label"].tolist(), strict=True)]
+            for position, label in sorted(rows, key=lambda x: (x[0], x[1] is None or x[1] != x[1], str(x[1]))):
                 if now[2] is None or position > now[2]:
                     now = closed(now, out, key[0])
                     if label is not None and label == label and (now[0] is None or position > now[0]):
