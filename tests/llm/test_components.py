@@ -38,6 +38,32 @@ def test_path_of_random_ids_ends_soon(spark, monkeypatch):
     assert len(rounds) <= 20
 
 
+def test_a_graph_that_fits_a_partition_is_known_before_the_first_step(spark, monkeypatch):
+    rounds, step = [], c._small_star
+    monkeypatch.setattr(c, "_small_star", lambda e: rounds.append(1) or step(e))
+    rng = random.Random(4)
+    ids = rng.sample(range(2**40), 10_000)
+    assert found(spark, list(zip(ids, ids[1:], strict=False)) + [(-1, -1)]) == {**dict.fromkeys(ids, min(ids)), -1: -1}
+    assert len(rounds) == 1
+
+
+@pytest.mark.parametrize("held", [1, 40, 500])
+def test_edges_of_a_partition_in_several_parts(spark, monkeypatch, held):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(c, "_HELD", held)
+    rng = random.Random(held)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(400)]
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            batches = [pa.RecordBatch.from_pydict({"u": [a for a, _ in edges[i : i + 30]], "v": [b for _, b in edges[i : i + 30]]}) for i in range(0, len(edges), 30)]
+            return np.concatenate([np.stack([x.to_numpy() for x in out.columns]) for out in run(iter(batches))], axis=1)
+
+    assert plain(c._contract(Frame()).T.tolist()) == plain(edges)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_random_graphs(spark, seed):
     rng = random.Random(seed)

@@ -295,6 +295,9 @@ def _inside(members: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFram
     leads = units.select("lead", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.col("lead").alias("set_id"))
     first = _forests(dealt.drop("units").union(leads), rows, percent)
     labels = components(first)
+    if not dealt.filter("units > 1").limit(1).count():
+        released(dealt)
+        return first, labels
     large = dealt.filter("units > 1").join(labels, F.col("set_id") == F.col("node"), "left").select("lead", "unit", "units", "set_id", F.coalesce("label", "set_id").alias("label"))
     main = large.groupBy("lead", "label").count().groupBy("lead").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
     apart = large.join(main, "lead").filter("label <> main")

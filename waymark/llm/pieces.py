@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import over_batches, stored, texts_of
+from .common import ARROW_ROWS, over_batches, stored, texts_of
 
 SPACE = "▁"
 #: Units whose encoding is broadcast, at most, and their greatest length.
@@ -391,10 +391,12 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     found = frequent_units(docs, p, text_col).toArrow()
     table = {}
-    for u, i in zip(found.column("unit").to_pylist(), found.column("ids").to_pylist(), strict=True):
-        ids = np.array(i, np.int32).tobytes()
-        if same_bytes(ids, u, p):
-            table[_key(u)] = ids
+    for batch in found.to_batches(max_chunksize=ARROW_ROWS):  # a few at a time as Python's lists
+        for u, i in zip(batch.column("unit").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            ids = np.array(i, np.int32).tobytes()
+            if same_bytes(ids, u, p):
+                table[_key(u)] = ids
+    del found
     shared = spark.sparkContext.broadcast((p, table))
     arrow = to_arrow_schema(StructType.fromDDL(schema := f"{id_col} {docs.schema[id_col].dataType.simpleString()}, piece_ids array<int>, n_pieces int, round_trip boolean"))
 
