@@ -305,6 +305,14 @@ def test_what_texts_name_is_worked_out_once(spark):
     assert "EvalPython" not in got._jdf.queryExecution().executedPlan().toString() and got.first().score == 1.0
 
 
+def test_edges_are_judged_once(spark):
+    nodes = spark.createDataFrame([("r", "role", "onet", "R", None, 1, None), ("s", "skill", "esco", "S", None, None, None)], "id string, type string, source string, title string, typical_education_level string, job_zone int, job_zone_title string")
+    edges = spark.createDataFrame([("r", "s", "REQUIRES", "esco", "essential", None, None, None, "train")] * 2, "src string, dst string, relation string, source string, requirement_level string, importance double, count long, probability double, split string")
+    edges = edges.withColumn("similarity", F.lit(None).cast("double")).withColumn("level_score", F.lit(None).cast("double")).withColumn("source_total", F.lit(None).cast("long"))
+    for df, rows in zip(g.improve(nodes, edges, tr.is_training()), (3, 2, 1), strict=True):
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == rows
+
+
 def test_stores_refuse_what_is_wrong(spark, tmp_path):
     one = spark.createDataFrame([("p", 1)], "person string, ord int")
     for name in ("my_train", "my_validation", "test_a", "test_b"):
