@@ -395,6 +395,29 @@ def test_surroundings_of_aligned_anchors_come_once_without_a_shuffle_of_triples(
     assert sorted(map(tuple, told.collect())) == sorted([*want, (2, "a", "PREDICTED_TRANSITION", "d")])
 
 
+def test_traces_are_made_by_one_join_and_never_dealt_anew(spark):
+    nodes = spark.createDataFrame([("a", "esco", "A"), ("b", "onet", "B"), ("c", "esco", "C")], "id string, source string, title string")
+    none = (None, None, None, None, None)
+    rows = [("a", "b", "SIMILAR_TO", *none), ("b", "a", "SIMILAR_TO", *none), ("x", "a", "SIMILAR_TO", *none), ("a", "c", "TRANSITIONS_TO", None, None, "train", 0.5, 5)]
+    edges = spark.createDataFrame(rows, "src string, dst string, relation string, requirement_level string, importance double, split string, probability double, count long")
+    c = spark.createDataFrame([(1, "a", "b", None), (1, "a", "c", "direct_transition"), (2, "c", "a", "direct_transition"), (3, "a", "x", "predicted_transition")], "query_id long, current string, id string, evidence_type string")
+    anchors = c.select("query_id", "id").unionByName(c.select("query_id", F.col("current").alias("id"))).distinct()
+    found = g.surroundings(nodes.select("id"), nodes, edges, F.col("relation") == "TRANSITIONS_TO").localCheckpoint()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = g.around(anchors, found)
+        plan = _planned(out).split("== Physical Plan ==")[1]
+        assert plan.count("SortMergeJoin") == 1 and not re.search(r"hashpartitioning\(query_id#\d+L?, src", plan)
+        told = g.evidence_triples(out, c, found)
+        assert _planned(told).split("== Physical Plan ==")[1].count("SortMergeJoin") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    of_a = [("a", "SIMILAR_TO", "b"), ("a", "TRANSITIONS_TO", "c"), ("b", "SIMILAR_TO", "a"), ("x", "SIMILAR_TO", "a")]
+    want = [(1, *x) for x in of_a] + [(2, *x) for x in of_a] + [(2, "c", "TRANSITIONS_TO", "a")] + [(3, *x) for x in of_a] + [(3, "a", "PREDICTED_TRANSITION", "x")]
+    assert sorted(map(tuple, told.collect())) == sorted(want) == sorted(map(tuple, g.evidence_triples(out, c).collect()))
+
+
 def test_similar_names_meet_by_subsequences_as_by_pieces(spark, monkeypatch):
     names = [f"supplier {i:06d}" for i in range(300)]
     roles = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(names)], "id string, title string")
