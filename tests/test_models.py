@@ -1,5 +1,6 @@
 """Vectors, transition models, metrics, graph and scoring: literal cases with known values."""
 
+import datetime
 import math
 import re
 import uuid
@@ -298,6 +299,34 @@ def test_faithfulness(spark):
     assert (got[1].entities, got[1].matched, got[1].reachable, got[1].score) == (4, 3, 2, 0.5) and got[2].score == 1.0
 
 
+def test_faithfulness_walks_the_whole_graph(spark, tmp_path):
+    from waymark.plans import text_queries
+
+    def put(name, columns, *rows):
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    # optional skills of brands, a supplier that needs both skills, and a ring that the first brand doesn't need itself
+    put("part", "p_partkey long, p_name string, p_brand string, p_size int", (1, "old gizmo", "Brand#1", 10), (2, "hot ring", "Brand#2", 10), (3, "hot ring", "Brand#1", 10))
+    put("supplier", "s_suppkey long, s_name string, s_nationkey int", (5, "Five", 0))
+    put("lineitem", "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double", (1, 1, 1, 5, 1.0, 0.0), (1, 2, 2, 5, 1.0, 0.0))
+    put("orders", "o_orderkey long, o_custkey long, o_orderdate timestamp", (1, 1, datetime.datetime(1995, 1, 1)))
+    put("nation", "n_nationkey int, n_name string", (0, "N"))
+    put("embeddings", "vec_id long, embedding array<float>", (1, [1.0, 0.0]), (2, [0.0, 1.0]), (105, [-1.0, -1.0]))
+    got = text_queries.faithfulness(spark, str(tmp_path)).collect()
+    # the second brand is four steps from the first
+    assert sorted((r.query_id, r.entities, r.matched, r.reachable, r.score) for r in got) == [(1, 4, 3, 2, 0.5), (2, 4, 2, 2, 0.5), (3, 4, 2, 2, 0.5)]
+
+
+def test_pairs_that_have_met_are_not_walked_for(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(g, "stored", lambda df, label: steps.append(label) or df.localCheckpoint())
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    starts = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "query_id long, id string")
+    ends = spark.createDataFrame([(1, "b"), (2, "a"), (2, "b"), (3, "a"), (4, "d"), (1, None)], "query_id long, id string")
+    got = sorted(map(tuple, g.reached(edges, starts, ends, 9).collect()))
+    assert got == [(1, "b"), (2, "a"), (2, "b")] and "front" not in steps
+
+
 def test_what_texts_name_is_worked_out_once(spark):
     nodes = spark.createDataFrame([("a", "role", "Night Guard"), ("c", "skill", "Judo")], "id string, type string, title string")
     texts = spark.createDataFrame([(1, "A **Night Guard** who knows **Judo**.")], "query_id long, text string")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import text as x
 from ..sources import bridge as b
-from .graph_queries import _NODES, nodes, skills, transition_edges
+from .graph_queries import _NODES, full_edges, nodes, skills
 
 
 def titled_skills(s, d):
@@ -63,10 +63,10 @@ def entity_match(s, d):
 
 
 def faithfulness(s, d):
+    """What each answer names against the whole graph: edges of every relation and source, of every level of requirement."""
     a = answers(s, d)
     every = nodes(s, d).select("id", "type", "title").unionByName(skills(s, d).select("id", "type", "title"))
-    edges = transition_edges(s, d).select("src", "dst").unionByName(b.requires(s, d).filter("requirement_level = 'essential'").select("src", "dst"))
-    return x.faithfulness(a.select("query_id", "text"), a.select("query_id", F.concat(F.lit("a:"), "p_brand").alias("id")), every, edges, 2)
+    return x.faithfulness(a.select("query_id", "text"), a.select("query_id", F.concat(F.lit("a:"), "p_brand").alias("id")), every, full_edges(s, d).select("src", "dst"))
 
 
 def fuzzy_role_match(s, d):
