@@ -447,6 +447,15 @@ def test_traces_are_made_by_one_join_and_never_dealt_anew(spark):
     assert sorted(map(tuple, told.collect())) == sorted(want) == sorted(map(tuple, g.evidence_triples(out, c).collect()))
 
 
+def test_triples_of_one_anchor_lie_together(spark):
+    found = spark.createDataFrame([(a, a, "REQUIRES", f"s{i}", False, False) for a in "abc" for i in range(4)], "anchor string, src string, relation string, dst string, into boolean, again boolean")
+    anchors = spark.createDataFrame([(q, a) for q in range(200) for a in "abc" if q % 7 or a != "b"], "query_id long, id string")
+    parts = g.around(anchors, found).groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list("src").alias("src")).collect()
+    assert sum(len(p.src) for p in parts) == anchors.count() * 4
+    for p in parts:
+        assert sum(x != y for x, y in zip(p.src, p.src[1:], strict=False)) < 3
+
+
 def test_similar_names_meet_by_subsequences_as_by_pieces(spark, monkeypatch):
     names = [f"supplier {i:06d}" for i in range(300)]
     roles = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(names)], "id string, title string")
